@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -39,27 +42,39 @@ COUNTRY_NAMES = (
     ("united kingdom", "GB"), ("poland", "PL"), ("sweden", "SE"), ("denmark", "DK"),
 )
 SENIORITY_TERMS = (
-    (r"\b(staff|principal)\b", "staff"),
-    (r"\blead\b", "lead"),
-    (r"\b(senior|sr)\b", "senior"),
-    (r"\b(junior|jr|graduate|entry.level)\b", "junior"),
-    (r"\bmid\b", "mid"),
-)
+    ("staff", "staff"), ("principal", "staff"), ("lead", "lead"), ("senior", "senior"), ("sr", "senior"),
+    ("junior", "junior"), ("jr", "junior"), ("graduate", "junior"), ("entry", "junior"), ("mid", "mid"),
+)
 SENIOR_YEARS, MID_YEARS = 5, 2
 REMOTE_TERMS = (
-    (r"\bhybrid\b", "hybrid"),
-    (r"\bremote\b", "remote"),
-    (r"\bon.?site\b", "onsite"),
-)
+    ("hybrid", "hybrid"), ("remote", "remote"), ("onsite", "onsite"), ("on-site", "onsite"), ("on site", "onsite"),
+)
 SALARY_PATTERN = r"([0-9][0-9,]*) - ([0-9][0-9,]*) ([A-Z]{3}) per (year|month|day|hour)"
 YEARS_PATTERN = r"([0-9]{1,2})\+? years"
 
 
+def words_pattern(words, after: str = "") -> str:
+    """Any of the words, standing alone; one pass over the text finds them all."""
+    return rf"\b({'|'.join(words)})\b{after}"
+
+
+TITLE_LEVEL = words_pattern([t for t, _ in SENIORITY_TERMS])
+TEXT_LEVEL = words_pattern([t for t, _ in SENIORITY_TERMS], "[- ]level")
+REMOTE_PATTERN = words_pattern([t for t, _ in REMOTE_TERMS])
+STACK_PATTERN = words_pattern(STACK_TERMS)
+COUNTRY_PATTERN = words_pattern([n for n, _ in COUNTRY_NAMES])
+
+
 def any_of(patterns: tuple[str, ...]) -> str:
     return "|".join(f"(?:{p})" for p in patterns)
 
 
 VISA_PHRASE = "(?i)" + any_of(VISA_NO + VISA_YES)
+# Every phrase above contains one of these; a text without any needs no closer look.
+VISA_CORES = (
+    "sponsor", "authoriz", "to work", "relocation", "blue card", "critical skills",
+    "skilled migrant", "hsm", "lmia", "work permit",
+)
 
 
 def visa_text(signals: Column, summary: Column) -> Column:
@@ -95,49 +110,62 @@ def matched_patterns(text: Column, patterns: tuple[str, ...], label: str) -> Col
     return F.array_compact(F.array(*hits))
 
 
-def first_term(text: Column, terms: tuple[tuple[str, str], ...], default: Column) -> Column:
-    """The value of the first term that occurs in the text."""
+def found_words(text: Column, pattern: str) -> Column:
+    return F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
+
+
+def value_of_first(found: Column, terms: tuple[tuple[str, str], ...], default: Column) -> Column:
+    """The value of the first term, in the order of ``terms``, that was found."""
     chain = None
-    for pattern, value in terms:
-        hit = F.rlike(text, F.lit(pattern))
+    for term, value in terms:
+        hit = F.array_contains(found, term)
         chain = F.when(hit, value) if chain is None else chain.when(hit, value)
     return chain.otherwise(default)
 
 
-def seniority_of(title: Column, text: Column) -> Column:
-    """From the title, then from the posting, then from the years asked for."""
-    years = F.regexp_extract(text, YEARS_PATTERN, 1).try_cast("int")
+def seniority_of(title_words: Column, text_words: Column, years_text: Column) -> Column:
+    """From the title, then from a level named in the text, then from the years asked for."""
+    years = years_text.try_cast("int")
     by_years = (
         F.when(years >= SENIOR_YEARS, "senior")
         .when(years >= MID_YEARS, "mid")
         .when(years.isNotNull(), "junior")
         .otherwise("unknown")
     )
-    in_text = tuple((p + r".level", v) for p, v in SENIORITY_TERMS)
-    return first_term(F.lower(title), SENIORITY_TERMS, first_term(F.lower(text), in_text, by_years))
+    in_text = value_of_first(text_words, SENIORITY_TERMS, by_years)
+    return value_of_first(title_words, SENIORITY_TERMS, in_text)
 
 
-def stack_of(text: Column, terms: tuple[str, ...] = STACK_TERMS) -> Column:
+def stack_of(text: Column) -> Column:
     """The known technologies named in the text, in dictionary order."""
-    hits = [F.when(F.rlike(text, F.lit(rf"\b{t}\b")), F.lit(t)) for t in terms]
-    return F.array_compact(F.array(*hits))
+    return F.array_intersect(F.array(*[F.lit(t) for t in STACK_TERMS]), found_words(text, STACK_PATTERN))
+
+
+def visa_phrases(text: Column, low: Column) -> Column:
+    """The exact phrases that hint at sponsorship or rule it out; ``low`` is the text in
+    lower case."""
+    hinted = reduce(or_, [F.contains(low, F.lit(core)) for core in VISA_CORES])
+    phrases = F.regexp_extract_all(text, F.lit(VISA_PHRASE), F.lit(0))
+    return F.when(hinted, phrases).otherwise(F.array().cast("array<string>"))
 
 
-def visa_phrases(text: Column) -> Column:
-    """The exact phrases that hint at sponsorship or rule it out."""
-    return F.regexp_extract_all(text, F.lit(VISA_PHRASE), F.lit(0))
+def visa_of_phrases(phrases: Column) -> Column:
+    """The class of a text from its phrases. No ruling-out phrase can start inside an
+    offering one, so looking at the phrases is looking at the text."""
+    ruled_out = F.exists(phrases, lambda p: F.rlike(F.lower(p), F.lit(any_of(VISA_NO))))
+    return F.when(ruled_out, "no").when(F.size(phrases) > 0, "yes").otherwise("unknown")
 
 
-def country_of(location: Column, names: tuple[tuple[str, str], ...] = COUNTRY_NAMES) -> Column:
-    return first_term(F.lower(location), tuple((rf"\b{n}\b", c) for n, c in names), F.lit(None))
+def country_of(location: Column) -> Column:
+    return value_of_first(found_words(F.lower(location), COUNTRY_PATTERN), COUNTRY_NAMES, F.lit(None))
 
 
-def salary_of(text: Column) -> Column:
-    """``90,000 - 120,000 EUR per year`` as a struct, null when no range is stated."""
-    part = lambda i: F.regexp_extract(text, SALARY_PATTERN, i)
+def salary_of(span: Column) -> Column:
+    """``90,000 - 120,000 EUR per year`` as a struct, null when the span is empty."""
+    part = lambda i: F.regexp_extract(span, SALARY_PATTERN, i)
     amount = lambda i: F.replace(part(i), F.lit(","), F.lit("")).try_cast("double")
     return F.when(
-        part(3) != "",
+        span != "",
         F.struct(
             amount(1).alias("min"), amount(2).alias("max"),
             part(3).alias("currency"), part(4).alias("period"),

@@ -22,7 +22,7 @@ SPACE = (
 # Elements whose whole content is dropped.
 RAW_TEXT_TAGS = ("script", "style", "noscript", "svg")
 BOILERPLATE_TAGS = ("nav", "footer", "header", "form")
-# The character references decoded natively; "&amp;" must come last.
+# The named character references that are decoded.
 ENTITIES = (
     ("&lt;", "<"),
     ("&gt;", ">"),
@@ -65,34 +65,62 @@ ENTITIES = (
 NODE_BREAK = "\u0001"
 
 
+# All white space and the node break, as characters to trim.
+EDGE_CHARS = "".join(chr(c) for c in range(0x3001) if chr(c).isspace()) + NODE_BREAK
+
+
 def _element(tag: str) -> str:
-    return rf"<{tag}(?:\s[^>]*)?>.*?(?:</{tag}\s*>|\z)"
+    return rf"{tag}(?:\s[^>]*)?>.*?(?:</{tag}\s*>|\z)"
 
 
 # Comments and elements are matched in one alternation each, so that whichever opens
 # first in the page wins, as it does for a parser.
-RAW_BLOCKS = "(?is)<!--.*?-->|" + "|".join(_element(t) for t in RAW_TEXT_TAGS)
-HEAD_BLOCKS = r"(?is)<head(?:\s[^>]*)?>.*?</head\s*>|<title(?:\s[^>]*)?>.*?</title\s*>"
-BOILERPLATE_BLOCKS = "(?is)" + "|".join(_element(t) for t in BOILERPLATE_TAGS)
-MARKUP = r"(?s)</?[a-zA-Z][^>]*>|<[!?][^>]*>"
-EDGES = rf"\A[{SPACE}\x01]+|[{SPACE}\x01]+\z"
+RAW_BLOCKS = "(?is)<(?:!--.*?-->|" + "|".join(_element(t) for t in RAW_TEXT_TAGS) + ")"
+HEAD_BLOCKS = r"(?is)<(?:head(?:\s[^>]*)?>.*?</head\s*>|title(?:\s[^>]*)?>.*?</title\s*>)"
+BOILERPLATE_BLOCKS = "(?is)<(?:" + "|".join(_element(t) for t in BOILERPLATE_TAGS) + ")"
+MARKUP = r"<(?:/?[a-zA-Z]|[!?])[^>]*>"
 H1_CONTENT = r"(?is)<h1(?:\s[^>]*)?>(.*?)</h1\s*>"
 TITLE_CONTENT = r"(?is)<title(?:\s[^>]*)?>(.*?)</title\s*>"
 
 
+def _numeric_reference(digits: Column) -> Column:
+    """The character of ``#233`` or ``#xE9``; null when there is no such character."""
+    hexadecimal = F.upper(F.regexp_extract(digits, r"^#[xX]([0-9a-fA-F]{1,6})$", 1))
+    decimal = F.hex(F.regexp_extract(digits, r"^#([0-9]{1,7})$", 1).try_cast("bigint"))
+    point = F.coalesce(F.nullif(hexadecimal, F.lit("")), decimal)
+    number = F.conv(point, 16, 10).try_cast("bigint")
+    valid = number.between(1, 0xD7FF) | number.between(0xE000, 0x10FFFF)
+    return F.when(valid, F.decode(F.unhex(F.lpad(point, 8, "0")), "UTF-32"))
+
+
 def decode_entities(text: Column) -> Column:
-    decoded = text
-    for reference, character in ENTITIES:
-        decoded = F.replace(decoded, F.lit(reference), F.lit(character))
+    """Known and numeric character references decoded, once; others stay as they are."""
+    known = F.create_map(*[F.lit(x) for name, char in ENTITIES for x in (name[1:-1], char)])
+
+    def decode_part(part: Column, position: Column) -> Column:
+        name = F.substring_index(part, ";", 1)
+        char = F.coalesce(
+            F.try_element_at(known, name),
+            F.when(F.startswith(name, F.lit("#")), _numeric_reference(name)),
+        )
+        is_reference = (position > 0) & F.contains(part, F.lit(";")) & char.isNotNull()
+        plain = F.when(position > 0, F.concat(F.lit("&"), part)).otherwise(part)
+        return F.when(is_reference, F.concat(char, F.substring(part, F.length(name) + 2, F.length(part)))).otherwise(plain)
+
+    decoded = F.array_join(F.transform(F.split(text, "&"), decode_part), "")
     return F.when(F.contains(text, F.lit("&")), decoded).otherwise(text)
 
 
 def _without_raw_blocks(html: Column) -> Column:
-    clean = F.translate(html, "\r" + NODE_BREAK, "\n")
-    clean = F.when(
-        F.contains(html, F.lit("\r")), F.translate(F.replace(html, F.lit("\r\n"), F.lit("\n")), "\r" + NODE_BREAK, "\n")
-    ).otherwise(clean)
-    return F.regexp_replace(clean, RAW_BLOCKS, NODE_BREAK)
+    unix = F.when(F.contains(html, F.lit("\r")), F.replace(html, F.lit("\r\n"), F.lit("\n"))).otherwise(html)
+    return F.regexp_replace(F.translate(unix, "\r" + NODE_BREAK, "\n"), RAW_BLOCKS, NODE_BREAK)
+
+
+def _join_nodes(text: Column, separator: str) -> Column:
+    """Text nodes stripped and joined; blank nodes add nothing."""
+    edges = F.lit(EDGE_CHARS)
+    stripped = F.transform(F.split(text, NODE_BREAK), lambda node: F.btrim(node, edges))
+    return F.array_join(F.filter(stripped, lambda node: node != ""), separator)
 
 
 def html_to_text(html: Column, max_chars: int | None = MAX_TEXT_CHARS) -> Column:
@@ -105,18 +133,13 @@ def html_to_text(html: Column, max_chars: int | None = MAX_TEXT_CHARS) -> Column
     text = F.regexp_replace(text, HEAD_BLOCKS, NODE_BREAK)
     text = F.regexp_replace(text, BOILERPLATE_BLOCKS, NODE_BREAK)
     text = F.regexp_replace(text, MARKUP, NODE_BREAK)
-    text = decode_entities(text)
-    text = F.regexp_replace(text, r"[ \t]+", " ")
-    text = F.regexp_replace(text, EDGES, "")
-    text = F.regexp_replace(text, rf"[{SPACE}]*\x01[{SPACE}\x01]*", "\n")
-    text = F.regexp_replace(text, r"\n{3,}", "\n\n")
+    text = _join_nodes(decode_entities(text), "\n")
+    text = F.regexp_replace(F.regexp_replace(text, r"[ \t]+", " "), r"\n{3,}", "\n\n")
     return text if max_chars is None else F.substring(text, 1, max_chars)
 
 
 def _inline_text(fragment: Column) -> Column:
-    text = decode_entities(F.regexp_replace(fragment, MARKUP, NODE_BREAK))
-    text = F.regexp_replace(text, EDGES, "")
-    return F.regexp_replace(text, rf"[{SPACE}]*\x01[{SPACE}\x01]*", "")
+    return _join_nodes(decode_entities(F.regexp_replace(fragment, MARKUP, NODE_BREAK)), "")
 
 
 def html_title(html: Column) -> Column:
@@ -197,13 +220,16 @@ def casefold_rules() -> tuple[str, str, tuple[tuple[str, str], ...]]:
 
 
 def casefold(text: Column) -> Column:
+    """Full case folding: what ``str.casefold`` does, for the whole basic plane."""
     source, target, expanding = casefold_rules()
-    folded = F.translate(F.lower(text), source, target)
-    expanded = folded
-    for char, replacement in expanding:
-        expanded = F.replace(expanded, F.lit(char), F.lit(replacement))
-    needs_expansion = F.rlike(folded, F.lit("[" + "".join(c for c, _ in expanding) + "]"))
-    return F.when(needs_expansion, expanded).otherwise(folded)
+    folded = F.replace(F.translate(F.lower(text), source, target), F.lit("ß"), F.lit("ss"))
+    rare = [pair for pair in expanding if pair[0] != "ß"]
+    expansions = F.create_map(*[F.lit(x) for pair in rare for x in pair])
+    expanded = F.array_join(
+        F.transform(F.split(folded, ""), lambda c: F.coalesce(F.try_element_at(expansions, c), c)), ""
+    )
+    has_rare = F.rlike(folded, F.lit("[" + "".join(c for c, _ in rare) + "]"))
+    return F.when(has_rare, expanded).otherwise(folded)
 
 
 def normalize(text: Column) -> Column:

@@ -95,38 +95,47 @@ def batch_provider(complete: Callable[[pd.DataFrame], pd.DataFrame]) -> Provider
     return lambda requests: requests.mapInPandas(run, RESPONSE)
 
 
-def rule_record(text: Column) -> Column:
-    """The record that the extraction rules read off a posting text.
+def rule_extract(df: DataFrame, text: str = "text") -> DataFrame:
+    """Adds the record that the extraction rules read off each posting text.
 
     The first line is the title and the second the company; the place is either the
     third line or what follows `` - `` in the second, without its bracketed remark. A
     posting short enough to be its own summary is.
+
+    The first step passes over the whole text, once per kind of finding; the second only
+    looks at what was found.
     """
-    line = lambda i: F.element_at(F.split(text, "\n"), i)
+    body = F.col(text)
+    found = df.withColumn("_low", F.lower(body)).withColumns(
+        {
+            "_head": F.split(F.substring_index(body, "\n", 3), "\n"),
+            "_remote": rules.found_words(F.col("_low"), rules.REMOTE_PATTERN),
+            "_level": rules.found_words(F.col("_low"), rules.TEXT_LEVEL),
+            "_years": F.regexp_extract("_low", rules.YEARS_PATTERN, 1),
+            "_salary": F.regexp_extract(body, rules.SALARY_PATTERN, 0),
+            "_phrases": rules.visa_phrases(body, F.col("_low")),
+            "_stack": rules.stack_of(body),
+        }
+    )
+    line = lambda i: F.coalesce(F.try_element_at("_head", F.lit(i)), F.lit(""))
     has_place = F.contains(line(2), F.lit(" - "))
-    company = F.when(has_place, F.regexp_extract(line(2), r"^(.*?) - ", 1)).otherwise(line(2))
     place = F.when(has_place, F.regexp_extract(line(2), r" - (.*)$", 1)).otherwise(line(3))
     place = F.nullif(F.trim(F.regexp_replace(place, r"\([^)]*\)", "")), F.lit(""))
-    signals = rules.visa_phrases(text)
-    return F.struct(
+    return found.withColumn("_place", place).select(
+        *df.columns,
         line(1).alias("title"),
-        company.alias("company"),
-        place.alias("location"),
-        rules.country_of(place).alias("country"),
-        rules.first_term(F.lower(text), rules.REMOTE_TERMS, F.lit("unknown")).alias("remote"),
-        rules.seniority_of(line(1), text).alias("seniority"),
-        rules.stack_of(text).alias("stack"),
-        rules.salary_of(text).alias("salary"),
-        rules.classify_visa(F.lower(text), F.lit("unknown")).alias("visa_sponsorship"),
-        signals.alias("visa_signals"),
-        F.when(F.length(text) <= S.MAX_SUMMARY_CHARS, text).alias("description_summary"),
-    )
-
-
-def rule_extract(df: DataFrame, text: str = "text") -> DataFrame:
-    """Adds the columns of :func:`rule_record` for every posting text."""
-    return df.withColumn("rule", rule_record(F.col(text))).select(
-        *df.columns, "rule.*"
+        F.when(has_place, F.regexp_extract(line(2), r"^(.*?) - ", 1)).otherwise(line(2)).alias("company"),
+        F.col("_place").alias("location"),
+        rules.country_of(F.col("_place")).alias("country"),
+        rules.value_of_first(F.col("_remote"), rules.REMOTE_TERMS, F.lit("unknown")).alias("remote"),
+        rules.seniority_of(
+            rules.found_words(F.lower(line(1)), rules.TITLE_LEVEL), F.col("_level"), F.col("_years")
+        ).alias("seniority"),
+        F.col("_stack").alias("stack"),
+        rules.salary_of(F.col("_salary")).alias("salary"),
+        rules.visa_of_phrases(F.col("_phrases")).alias("visa_sponsorship"),
+        F.col("_phrases").alias("visa_signals"),
+        F.when(F.length(body) <= S.MAX_SUMMARY_CHARS, body).alias("description_summary"),
     )
 
 
@@ -139,16 +148,15 @@ def rule_provider(model: str = "rules") -> Provider:
     """The keyless provider: answers with what the rules find, entirely in the JVM."""
 
     def run(requests: DataFrame) -> DataFrame:
-        answer = F.to_json(rule_record(F.col("text")), {"ignoreNullFields": "false"})
-        return requests.select(
-            "text_hash",
-            "attempt",
-            "tier",
-            F.lit(model).alias("model"),
-            answer.alias("output"),
+        asked = ["text_hash", "attempt", "tier", "text"]
+        ruled = rule_extract(requests.select(*asked))
+        record = F.struct(*[c for c in ruled.columns if c not in asked])
+        answered = ruled.withColumn("output", F.to_json(record, {"ignoreNullFields": "false"}))
+        return answered.select(
+            "text_hash", "attempt", "tier", F.lit(model).alias("model"), "output",
             token_estimate(F.col("text")).alias("input_tokens"),
-            token_estimate(answer).alias("output_tokens"),
-        )
+            token_estimate(F.col("output")).alias("output_tokens"),
+        )
 
     return run
 
@@ -160,16 +168,17 @@ def attempt_tiers(fast_retries: int = 1) -> list[str]:
 def extract_cascade(requests: DataFrame, provider: Provider, fast_retries: int = 1) -> DataFrame:
     """Every response the cascade bought, validated: RESPONSE columns, ``errors``, ``record``.
 
-    Each attempt runs over only the texts that still fail. Its responses are written to
-    the shared folder before anything looks at them, so no call is ever made twice.
+    Each attempt runs over only the texts that still fail. Its checked responses are
+    written to the shared folder before anything looks at them, so a call is made once.
     ``requests`` needs ``text_hash`` and ``text``, one row per text.
     """
     pending = requests.select("text_hash", "text")
     bought: DataFrame | None = None
     for attempt, tier in enumerate(attempt_tiers(fast_retries), start=1):
         asked = pending.withColumn("attempt", F.lit(attempt)).withColumn("tier", F.lit(tier))
-        responses = materialize(provider(asked).select(*RESPONSE.fieldNames()), f"responses-{attempt}")
+        responses = provider(asked).select(*RESPONSE.fieldNames())
         checked = validate_records(json_from_output(responses)).drop("parsed", "json_text")
+        checked = materialize(checked, f"attempt-{attempt}")
         bought = checked if bought is None else bought.unionByName(checked)
         failed = checked.filter(F.size("errors") > 0).select("text_hash")
         if failed.isEmpty():

@@ -56,18 +56,23 @@ JOIN (VALUES (0, 'visa sponsorship available', 'yes'), (1, 'we can sponsor a vis
              (18, '', 'unknown'), (19, 'free lunch', 'unknown')) AS v(k, phrase, truth) ON v.k = d.doc_id % 20
 """
 
-# A captured page for every posting, with the whole document as its body.
+# A captured page for every posting, with the whole document as its body. Labelled
+# documents are posted a second time, on another board and with one more line.
 POSTING_PAGES = """
-SELECT q.seq, q.source, q.url,
+SELECT q.item AS seq, q.board AS source, q.address AS url,
        concat('<!doctype html><html><head><title>', q.title, ' - ', q.company, '</title><script>var t="</p>";</script></head>',
               '<body><nav>Home &middot; Jobs</nav><main><h1>', q.title, '</h1><p>', q.company, '</p><p>',
               coalesce(q.location, 'Anywhere'), CASE WHEN q.remote = 'unknown' THEN '' ELSE concat(' (', q.remote, ')') END, '</p><ul>',
               CASE WHEN q.seniority = 'unknown' THEN concat('<li>', CAST(q.years AS STRING), '+ years of experience</li>')
                    ELSE concat('<li>', q.seniority, '-level role</li>') END,
-              '<li>', q.phrase, '</li><li>Stack: ', q.stack_csv, '</li><li>', q.salary_text, '</li></ul><section><p>',
+              '<li>', q.phrase, '</li><li>Stack: ', q.stack_csv, '</li><li>', q.salary_text, '</li>', q.note, '</ul><section><p>',
               replace(replace(replace(q.text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'),
               '</p></section></main><footer>All rights reserved</footer></body></html>') AS html
-FROM (""" + POSTINGS + """) q
+FROM (WITH base AS (""" + POSTINGS + """)
+      SELECT base.*, base.seq AS item, base.source AS board, base.url AS address, '' AS note FROM base
+      UNION ALL
+      SELECT base.*, 500000000 + base.seq AS item, 'mirror' AS board, concat(base.url, '/repost') AS address, '<li>Reposted</li>' AS note
+      FROM base JOIN {labels} l ON l.doc_id = base.seq) q
 """
 
 # Three captured model answers per posting: prose, fences, wrong types, good records.
@@ -92,7 +97,7 @@ FROM (SELECT p.seq, p.text, a.attempt, p.title, p.company, (p.seq * 3 + a.attemp
              replace(replace(replace(replace(replace(p.text, chr(92), concat(chr(92), chr(92))), '"', concat(chr(92), '"')),
                      chr(10), concat(chr(92), 'n')), chr(13), concat(chr(92), 'r')), chr(9), concat(chr(92), 't')) AS escaped,
              concat('{{"title":"', p.title, '","company":"', p.company, '","location":',
-                    coalesce(concat('"', p.location, '"'), 'null'), ',"visa_sponsorship":"', p.visa_raw,
+                    CASE WHEN p.location IS NULL THEN 'null' ELSE concat('"', p.location, '"') END, ',"visa_sponsorship":"', p.visa_raw,
                     '","visa_signals":["', p.phrase, '"]') AS head
       FROM (""" + POSTINGS + """) p {attempts}) q
 """

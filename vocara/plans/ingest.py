@@ -19,7 +19,7 @@ from vocara.operators.extraction import (
     extract_cascade,
     first_valid_attempt,
 )
-from vocara.operators.index import index_upsert, latest_per_hash
+from vocara.operators.index import index_upsert
 from vocara.operators.outcomes import ingest_outcomes, route_outcome
 from vocara.operators.picking import keep_first
 from vocara.operators.validation import add_provenance
@@ -32,7 +32,11 @@ Embedder = Callable[[DataFrame], DataFrame]
 
 
 class Ingested(NamedTuple):
-    """``entries`` and ``fresh`` are what this run adds to ``index`` and ``cache``."""
+    """``entries`` and ``fresh`` are what this run adds to ``index`` and ``cache``.
+
+    ``entries`` are all kept jobs with their vectors. The index shows the last of each
+    content hash, but later runs must be held against every kept row.
+    """
 
     outcomes: DataFrame
     jobs: DataFrame
@@ -128,5 +132,5 @@ def ingest_scanned(
         as_item(kept), as_item(judged.filter("is_duplicate")), fetch_errors, extract_errors
     )
     jobs = kept.select("seq", *JOB_COLUMNS)
-    entries = latest_per_hash(jobs.join(vectors, "seq"))
+    entries = jobs.join(vectors, "seq")
     return Ingested(outcomes, jobs, calls, entries, index_upsert(index, entries), fresh, known)

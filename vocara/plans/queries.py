@@ -626,12 +626,16 @@ QUERIES["ingest"] = QUERIES.pop("ingest_")
 
 
 def _streamed(spark: SparkSession, sf: str) -> str:
-    """Runs the stream over all derived pages, arriving as several files."""
+    """Runs the stream over all derived pages, which arrive as three files in order."""
     arriving, root = scratch_path(spark, "arriving"), scratch_path(spark, "store")
-    posting_pages(spark, sf).withColumnRenamed("seq", "page_id").repartitionByRange(3, "page_id").write.parquet(arriving)
+    pages = posting_pages(spark, sf).withColumnRenamed("seq", "page_id")
+    first, second = pages.agg(F.percentile_approx("page_id", [1 / 3, 2 / 3])).first()[0]
+    page_id = F.col("page_id")
+    for part in (page_id <= first, (page_id > first) & (page_id <= second), page_id > second):
+        pages.filter(part).coalesce(1).write.mode("append").parquet(arriving)
     schema = "page_id bigint, source string, url string, html string"
-    pages = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(arriving)
-    run = streaming.start_ingest(pages, root, scratch_path(spark, "progress"), extraction.rule_provider())
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(arriving)
+    run = streaming.start_ingest(stream, root, scratch_path(spark, "progress"), extraction.rule_provider())
     run.awaitTermination()
     return root
 
