@@ -137,8 +137,18 @@ FROM {events}
 """
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table read in fewer pieces than there are cores, dealt out over all of them.
+
+    For text tables, whose rows are costly to work on. A table of any size is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in ("documents", "pages") else df
 
 
 def derive(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
