@@ -220,16 +220,20 @@ def casefold_rules() -> tuple[str, str, tuple[tuple[str, str], ...]]:
 
 
 def casefold(text: Column) -> Column:
-    """Full case folding: what ``str.casefold`` does, for the whole basic plane."""
+    """Full case folding: what ``str.casefold`` does, for the whole basic plane.
+
+    Lower-casing and ß settle nearly every text; the rest is only looked up in texts that
+    hold one of the special characters.
+    """
     source, target, expanding = casefold_rules()
-    folded = F.replace(F.translate(F.lower(text), source, target), F.lit("ß"), F.lit("ss"))
+    low = F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
     rare = [pair for pair in expanding if pair[0] != "ß"]
     expansions = F.create_map(*[F.lit(x) for pair in rare for x in pair])
-    expanded = F.array_join(
-        F.transform(F.split(folded, ""), lambda c: F.coalesce(F.try_element_at(expansions, c), c)), ""
+    expanded = F.transform(
+        F.split(F.translate(low, source, target), ""), lambda c: F.coalesce(F.try_element_at(expansions, c), c)
     )
-    has_rare = F.rlike(folded, F.lit("[" + "".join(c for c, _ in rare) + "]"))
-    return F.when(has_rare, expanded).otherwise(folded)
+    special = F.rlike(low, F.lit("[" + source + "".join(c for c, _ in rare) + "]"))
+    return F.when(special, F.array_join(expanded, "")).otherwise(low)
 
 
 def normalize(text: Column) -> Column:

@@ -31,12 +31,12 @@ from pyspark.sql import functions as F
 from vocara.functions.vectors import SIM_DECIMALS
 from vocara.operators.picking import keep_first
 from vocara.operators.search import unit_rows
-from vocara.session import materialize
+from vocara.session import materialize, store
 
 # Fixed value: the similarity from which a posting counts as a duplicate.
 THRESHOLD = 0.97
-# Pairs of one range that may be listed at once.
-PAIR_BUDGET = 50_000_000
+# Pairs of one range that may be looked at at once, per core of the cluster.
+PAIRS_PER_CORE = 5_000_000
 # Similar pairs that one task may resolve by itself; beyond, rounds over the cluster.
 LOCAL_PAIRS = 200_000
 SLACK = 1e-9
@@ -303,19 +303,21 @@ def _collapse(rows: DataFrame, finder: Finder) -> tuple[DataFrame, DataFrame]:
 
 
 def greedy_kept(
-    distinct: DataFrame, finder: Finder, pair_budget: int = PAIR_BUDGET, local_pairs: int = LOCAL_PAIRS
+    distinct: DataFrame, finder: Finder, pair_budget: int | None = None, local_pairs: int = LOCAL_PAIRS
 ) -> DataFrame:
-    """The ``seq`` of the prepared, pairwise different rows that greedy selection keeps."""
-    kept: list[DataFrame] = []
+    """The prepared, pairwise different rows that greedy selection keeps."""
+    spark = distinct.sparkSession
+    budget = pair_budget or PAIRS_PER_CORE * spark.sparkContext.defaultParallelism
+    kept: list[str] = []
+    read = lambda paths: spark.read.schema(distinct.schema).parquet(*paths)
     # Ranges still to do, the earliest last, each with the kept parts it was held against.
     todo: list[tuple[DataFrame, int]] = [(distinct, 0)]
     while todo:
         batch, seen = todo.pop()
         if kept[seen:]:
-            earlier = reduce(DataFrame.unionByName, kept[seen:])
-            similar = finder.pairs(earlier, batch).select(F.col("b").alias("seq"))
+            similar = finder.pairs(read(kept[seen:]), batch).select(F.col("b").alias("seq"))
             batch = materialize(batch.join(similar.distinct(), "seq", "left_anti"), "range")
-        if finder.work(batch) > pair_budget:
+        if finder.work(batch) > budget:
             low, middle, high = batch.agg(
                 F.min("seq"), F.percentile_approx("seq", 0.5), F.max("seq")
             ).first()
@@ -325,15 +327,15 @@ def greedy_kept(
                 todo.append((batch.filter(F.col("seq") <= middle), len(kept)))
                 continue
         pairs = materialize(finder.pairs(batch, batch), "pairs")
-        kept.append(materialize(batch.join(resolve(pairs, local_pairs), "seq", "left_anti"), "kept"))
-    return reduce(DataFrame.unionByName, kept)
+        kept.append(store(batch.join(resolve(pairs, local_pairs), "seq", "left_anti").select(*distinct.columns), "kept"))
+    return read(kept)
 
 
 def dedup_near(
     rows: DataFrame,
     finder: Finder,
     stored: DataFrame | None = None,
-    pair_budget: int = PAIR_BUDGET,
+    pair_budget: int | None = None,
     local_pairs: int = LOCAL_PAIRS,
 ) -> DataFrame:
     """``seq, is_duplicate`` for every row, greedy in the order of ``seq`` (a unique BIGINT).
@@ -355,7 +357,7 @@ def dedup_near(
 def near_dup_pairs(
     rows: DataFrame,
     finder: Finder,
-    pair_budget: int = PAIR_BUDGET,
+    pair_budget: int | None = None,
     local_pairs: int = LOCAL_PAIRS,
 ) -> DataFrame:
     """For every duplicate the kept row it matched best: ``seq, match_seq, similarity``.
@@ -367,7 +369,8 @@ def near_dup_pairs(
     distinct, members = _collapse(rows, finder)
     prepared = materialize(finder.prepare(distinct), "near-distinct")
     kept = greedy_kept(prepared, finder, pair_budget, local_pairs)
-    near = finder.pairs(kept, prepared, ordered=False)
+    # Kept rows resemble no other kept row, so only dropped rows need a partner.
+    near = finder.pairs(kept, prepared.join(kept.select("seq"), "seq", "left_anti"), ordered=False)
     itself = kept.select(F.col("seq").alias("a"), F.col("seq").alias("b"), F.lit(1.0).alias("similarity"))
     near = materialize(near.unionByName(itself), "near-kept")
     best = F.max_by(F.struct("a", "similarity"), F.struct("similarity", -F.col("a"))).alias("best")

@@ -339,7 +339,7 @@ SELECT url, CAST(attempt AS BIGINT) AS attempt, sha256(html) AS html_hash, error
 ORACLE["save_jobs"] = "SELECT count(*) AS lines, count(*) AS objects FROM documents"
 ORACLE["load_jobs"] = f"""WITH {JOBS} SELECT url, title, company, location, visa_sponsorship,
   replace(stack_csv, ',', '|') AS stack, description_summary, 1700000000 + seq AS fetched_epoch, content_hash FROM jobs"""
-ORACLE["load_gold"] = f"""WITH {PAGES} SELECT g.title, g.company, g.seniority, g.visa_truth AS visa_sponsorship, g.remote,
+ORACLE["load_gold"] = f"""WITH {PAGES} SELECT concat('case', g.seq) AS case_id, g.title, g.company, g.seniority, g.visa_truth AS visa_sponsorship, g.remote,
   sha256(p.html) AS html_hash FROM ({derived(D.POSTINGS)}) g JOIN posting_pages p USING (seq)"""
 ORACLE["load_cv"] = f"SELECT {norm('text')} AS cv_words FROM benchmark"
 ORACLE["cache_lookup"] = f"""WITH {CACHE} SELECT d.doc_id, sha256(d.text) AS text_hash,
@@ -472,6 +472,21 @@ ORACLE["embed_text"] = f"""WITH {JOBS}, rendered AS (SELECT seq, lower({job_rend
 present AS (SELECT seq, list_transform({_vocabulary}, lambda w: contains(low, w)) AS hit FROM rendered)
 SELECT seq, pos - 1 AS pos, round(1 / sqrt(len(list_filter(hit, lambda h: h))), 6) AS weight
 FROM (SELECT seq, hit, unnest(range(1, 11)) AS pos FROM present) WHERE hit[pos]"""
+_answer = (
+    "to_json({'title': title, 'company': company, 'location': location, 'country': country, 'remote': remote, "
+    "'seniority': seniority, 'stack': stack, 'salary': CASE WHEN currency IS NOT NULL THEN {'min': salary_min, "
+    "'max': salary_max, 'currency': currency, 'period': period} END, 'visa_sponsorship': visa_sponsorship, "
+    "'visa_signals': signals, 'description_summary': description_summary})"
+)
+_mini = next((i, o) for m, i, o in cost.PRICES if m == "gpt-5-mini")
+ORACLE["extract_job"] = f"""WITH {REFINED},
+billed AS (SELECT seq, CAST(ceil(length(text) / 4) AS BIGINT) AS input_tokens, CAST(ceil(length({_answer}) / 4) AS BIGINT) AS output_tokens
+  FROM ruled)
+SELECT r.url, r.title, r.company, r.location, r.country, r.remote, r.seniority, array_to_string(r.stack, '|') AS stack,
+  r.visa_sponsorship, r.source, {content_key("r.company", "r.title", "r.location")} AS content_hash, CAST(1 AS BIGINT) AS calls,
+  b.input_tokens, b.output_tokens,
+  round(b.input_tokens / 1000000 * {_mini[0]}::DOUBLE + b.output_tokens / 1000000 * {_mini[1]}::DOUBLE, 9) AS cost_usd
+FROM refined r JOIN billed b USING (seq) QUALIFY row_number() OVER (PARTITION BY r.text_hash ORDER BY r.seq) = 1"""
 INGESTED = f"""WITH RECURSIVE {REFINED},
 origin AS (SELECT *, first_value(seq) OVER (PARTITION BY text_hash ORDER BY seq) AS first_seq FROM refined),
 rendered AS (SELECT seq, {job_rendering("array_to_string(stack, ', ')")} AS job_text FROM refined),

@@ -191,14 +191,11 @@ def load_jobs(spark, sf):
 @query
 def load_gold(spark, sf):
     path = scratch_path(spark, "gold")
-    cases = gold_cases(spark, sf).select(
-        F.concat(F.lit("case"), F.col("case_id")).alias("case_id"),
-        F.to_json(F.struct("html", F.struct(*S.CRITICAL_FIELDS).alias("gold"))).alias("value"),
-    )
-    # One file per case, as a labelled set is kept: the folder name carries the case id.
-    cases.repartition("case_id").write.partitionBy("case_id").text(path)
-    loaded = readers.load_gold(spark, path + "/*/*.txt")
-    return loaded.select("title", "company", "seniority", "visa_sponsorship", "remote", F.sha2("html", 256).alias("html_hash"))
+    gold_cases(spark, sf).select(
+        F.concat(F.lit("case"), F.col("case_id")).alias("case_id"), "html", F.struct(*S.CRITICAL_FIELDS).alias("gold")
+    ).write.json(path)
+    loaded = readers.load_gold(spark, path, file_per_case=False)
+    return loaded.select("case_id", *S.CRITICAL_FIELDS, F.sha2("html", 256).alias("html_hash"))
 
 
 @query
@@ -607,7 +604,10 @@ def extract_job(spark, sf):
     items = pages.select("seq", "source", "url")
     scanned = readers.scan_pages(items, pages).drop("error")
     fresh, failed, calls = extract_jobs(scanned, extraction.rule_provider("gpt-5-mini"))
-    spent = cost.cost_summary(cost.call_cost(calls), "text_hash")
+    spent = cost.call_cost(calls).groupBy("text_hash").agg(
+        F.count(F.lit(1)).alias("calls"), F.sum("input_tokens").alias("input_tokens"),
+        F.sum("output_tokens").alias("output_tokens"), F.round(F.sum("cost_usd"), 9).alias("cost_usd"),
+    )
     return fresh.join(spent, "text_hash").select(
         "url", "title", "company", "location", "country", "remote", "seniority", joined("stack"),
         "visa_sponsorship", "source", "content_hash", "calls", "input_tokens", "output_tokens", "cost_usd",

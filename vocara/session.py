@@ -45,13 +45,17 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def store(df: DataFrame, label: str) -> str:
+    """Writes ``df`` to the shared folder; returns the path."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return path
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     This cuts the lineage, survives the loss of any executor, and, unlike a row
     checkpoint, lets every later pass read only the columns it needs.
     """
-    spark = df.sparkSession
-    path = scratch_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(store(df, label))

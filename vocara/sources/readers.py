@@ -77,10 +77,19 @@ def load_jobs(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
     return spark.read.schema(schema).option("mode", "PERMISSIVE").json(path)
 
 
-def load_gold(spark: SparkSession, path: str) -> DataFrame:
-    """Labelled cases, one JSON file each; the case id is the file name without suffix."""
-    raw = spark.read.schema(S.GOLD_CASE).option("multiLine", True).option("mode", "FAILFAST").json(path)
-    case_id = F.regexp_replace(F.col("_metadata.file_name"), r"\.json$", "")
+def load_gold(spark: SparkSession, path: str, file_per_case: bool = True) -> DataFrame:
+    """Labelled cases: ``case_id, html`` and the critical fields.
+
+    One JSON file each, the case id being the file name without suffix; or, for large
+    sets, JSON lines that carry a ``case_id`` of their own.
+    """
+    if file_per_case:
+        raw = spark.read.schema(S.GOLD_CASE).option("multiLine", True).option("mode", "FAILFAST").json(path)
+        case_id = F.regexp_replace(F.col("_metadata.file_name"), r"\.json$", "")
+    else:
+        schema = T.StructType([T.StructField("case_id", T.StringType()), *S.GOLD_CASE.fields])
+        raw = spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+        case_id = _required(F.col("case_id"), "a gold case has no id")
     fields = [
         _required(F.col(f"gold.{f}"), f"a gold case lacks the field {f}").alias(f) for f in S.CRITICAL_FIELDS
     ]
