@@ -103,3 +103,6 @@ def test_prices(spark):
     got = {r.model: r.cost_usd for r in cost.call_cost(calls).collect()}
     assert got == {"gpt-5": 2.25, "mystery": 0.0}
     assert cost.cost_summary(cost.call_cost(calls.limit(0))).first().cost_usd == 0.0
+    texts_df = spark.createDataFrame([("x" * 4_000_000,), ("y",)], "text string")
+    embedded = cost.embedding_calls(texts_df, extraction.token_estimate(F.col("text")))
+    assert tuple(cost.cost_summary(cost.call_cost(embedded)).first()) == (2, 1_000_001, 0, 0.02)

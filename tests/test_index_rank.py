@@ -96,7 +96,7 @@ def test_large_sides_and_partitions_give_the_same_hits(spark, monkeypatch):
     assert len(shipped) == 200
     assert rows(search.knn_topk(jobs.repartition(13), profiles, 5)) == shipped
     monkeypatch.setattr(search, "TILE_JOBS", 100)
-    monkeypatch.setattr(search, "TILE_PROFILES", 16)
+    monkeypatch.setattr(search, "TILE_PROFILE_BYTES", 16 * 8 * 8)
     assert rows(search.knn_topk(jobs, profiles, 5, max_broadcast_bytes=0)) == shipped
     assert search.knn_topk(jobs.limit(0), profiles, 5).count() == 0
     assert search.knn_topk(jobs, profiles.limit(0), 5).count() == 0

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # USD per million input and output tokens.
@@ -35,6 +35,15 @@ def call_cost(calls: DataFrame, prices: DataFrame | None = None) -> DataFrame:
     return calls.join(table, "model", "left").withColumn("cost_usd", cost).drop("in_price", "out_price")
 
 
+def embedding_calls(texts: DataFrame, tokens: Column, model: str = "text-embedding-3-small") -> DataFrame:
+    """The call rows of embedding each text: input tokens only."""
+    return texts.select(
+        F.lit(model).alias("model"),
+        tokens.cast("bigint").alias("input_tokens"),
+        F.lit(0).cast("bigint").alias("output_tokens"),
+    )
+
+
 def cost_summary(costed: DataFrame, *by: str) -> DataFrame:
     """Calls, tokens and cost, in total or by columns such as run, model or tier."""
     return costed.groupBy(*by).agg(

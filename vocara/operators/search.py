@@ -13,10 +13,11 @@ from vocara.functions.vectors import SIM_DECIMALS
 
 # Profiles are shipped to every task only up to this many bytes of vectors.
 MAX_BROADCAST_BYTES = 64 * 1024 * 1024
-# Rows of one tile when both sides are too large to ship.
+# Size of one tile when both sides are too large to ship: rows of jobs, bytes of profiles.
 TILE_JOBS = 100_000
-TILE_PROFILES = 8_192
-# Profiles scored at a time, to bound the score matrix of one batch.
+TILE_PROFILE_BYTES = 64 * 1024 * 1024
+# Jobs and profiles scored at a time, to bound the score matrix.
+JOB_STRIPE = 10_000
 PROFILE_STRIPE = 512
 
 HITS = "cv_id bigint, content_hash string, similarity double"
@@ -35,10 +36,10 @@ def _cut(hits: pd.DataFrame, k: int) -> pd.DataFrame:
     return ordered[ordered.groupby("cv_id").cumcount() < k]
 
 
-def _block_topk(
+def _stripe_topk(
     hashes: np.ndarray, jobs: np.ndarray, cv_ids: np.ndarray, profiles: np.ndarray, k: int
 ) -> pd.DataFrame:
-    """Best k of one block of jobs for each profile; ties at the edge are all looked at."""
+    """Best k of one stripe of jobs for each profile; ties at the edge are all looked at."""
     parts = []
     for start in range(0, len(cv_ids), PROFILE_STRIPE):
         scores = np.round(profiles[start : start + PROFILE_STRIPE] @ jobs.T, SIM_DECIMALS)
@@ -58,6 +59,21 @@ def _block_topk(
     return pd.concat(parts, ignore_index=True)
 
 
+def _best_hits(
+    batches: Iterator[pd.DataFrame], cv_ids: np.ndarray, profiles: np.ndarray, k: int
+) -> pd.DataFrame | None:
+    """Best k of all batches of jobs for each profile; holds k rows per profile at most."""
+    best: pd.DataFrame | None = None
+    for batch in batches:
+        for start in range(0, len(batch), JOB_STRIPE):
+            stripe = batch.iloc[start : start + JOB_STRIPE]
+            found = _stripe_topk(
+                stripe["content_hash"].to_numpy(), unit_rows(stripe["vector"]), cv_ids, profiles, k
+            )
+            best = found if best is None else _cut(pd.concat([best, found], ignore_index=True), k)
+    return best
+
+
 def _shipped_hits(jobs: DataFrame, profiles: DataFrame, k: int) -> DataFrame:
     """Profiles go to every task; jobs are scored where they are read, without a shuffle."""
     local = profiles.select("cv_id", "cv_vector").toPandas()
@@ -68,27 +84,19 @@ def _shipped_hits(jobs: DataFrame, profiles: DataFrame, k: int) -> DataFrame:
     )
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cv_ids, matrix = shipped.value
-        best: pd.DataFrame | None = None
-        for batch in batches:
-            if batch.empty:
-                continue
-            found = _block_topk(
-                batch["content_hash"].to_numpy(), unit_rows(batch["vector"]), cv_ids, matrix, k
-            )
-            best = found if best is None else _cut(pd.concat([best, found], ignore_index=True), k)
+        best = _best_hits(batches, *shipped.value, k)
         if best is not None:
             yield best
 
     return jobs.mapInPandas(score, HITS)
 
 
-def _tiled_hits(jobs: DataFrame, profiles: DataFrame, k: int, n_profiles: int) -> DataFrame:
+def _tiled_hits(jobs: DataFrame, profiles: DataFrame, k: int, profile_bytes: int) -> DataFrame:
     """Both sides too large to ship: tiles of jobs meet tiles of profiles.
 
     Tiles come from hashes of unique keys, so they are even and bounded whatever the data.
     """
-    profile_tiles = max(1, -(-n_profiles // TILE_PROFILES))
+    profile_tiles = max(1, -(-profile_bytes // TILE_PROFILE_BYTES))
     job_tiles = max(1, -(-jobs.count() // TILE_JOBS))
     left = jobs.withColumn("jt", F.pmod(F.xxhash64("content_hash"), F.lit(job_tiles))).withColumn(
         "pt", F.explode(F.sequence(F.lit(0), F.lit(profile_tiles - 1)))
@@ -100,13 +108,8 @@ def _tiled_hits(jobs: DataFrame, profiles: DataFrame, k: int, n_profiles: int) -
     def score(job_rows: pd.DataFrame, profile_rows: pd.DataFrame) -> pd.DataFrame:
         if job_rows.empty or profile_rows.empty:
             return pd.DataFrame({"cv_id": [], "content_hash": [], "similarity": []})
-        return _block_topk(
-            job_rows["content_hash"].to_numpy(),
-            unit_rows(job_rows["vector"]),
-            profile_rows["cv_id"].to_numpy(),
-            unit_rows(profile_rows["cv_vector"]),
-            k,
-        )
+        cv_ids, matrix = profile_rows["cv_id"].to_numpy(), unit_rows(profile_rows["cv_vector"])
+        return _best_hits(iter([job_rows]), cv_ids, matrix, k)
 
     return (
         left.groupBy("jt", "pt").cogroup(right.groupBy("jt", "pt")).applyInPandas(score, HITS)
@@ -126,12 +129,10 @@ def knn_topk(
     never pairs. Ties are broken by content hash.
     """
     slim = jobs.select("content_hash", "vector")
-    size = profiles.agg(
-        F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size("cv_vector")), F.lit(0)).alias("values")
-    ).first()
-    if size["values"] * 8 <= max_broadcast_bytes:
+    values = profiles.agg(F.coalesce(F.sum(F.size("cv_vector")), F.lit(0))).first()[0]
+    if values * 8 <= max_broadcast_bytes:
         hits = _shipped_hits(slim, profiles, k)
     else:
-        hits = _tiled_hits(slim, profiles.select("cv_id", "cv_vector"), k, size["n"])
+        hits = _tiled_hits(slim, profiles.select("cv_id", "cv_vector"), k, values * 8)
     order = Window.partitionBy("cv_id").orderBy(F.desc("similarity"), "content_hash")
     return hits.withColumn("sim_rank", F.row_number().over(order)).filter(F.col("sim_rank") <= k)

@@ -14,7 +14,7 @@ ISO_TIME = (
     r"([T ][0-9]{2}:[0-9]{2}(:[0-9]{2}(\.[0-9]{1,6})?)?(Z|z|[+-][0-9]{2}:?[0-9]{2})?)?$"
 )
 ISO_ZONE = r"(Z|[0-9][+-][0-9]{2}:[0-9]{2})$"
-# Numbers beyond this are milliseconds, as the reference validator reads them.
+# Numbers beyond this are milliseconds, smaller ones seconds.
 MAX_EPOCH_SECONDS = 20_000_000_000
 URL = r"^([hH][tT][tT][pP][sS]?)://([^/?#\s]+)([^?#]*)(.*)$"
 
