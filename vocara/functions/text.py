@@ -232,10 +232,22 @@ def casefold(text: Column) -> Column:
     expanded = F.transform(
         F.split(F.translate(low, source, target), ""), lambda c: F.coalesce(F.try_element_at(expansions, c), c)
     )
-    special = F.rlike(low, F.lit("[" + source + "".join(c for c, _ in rare) + "]"))
+    special = F.rlike(low, F.lit(_covering_class(source + "".join(c for c, _ in rare))))
     return F.when(special, F.array_join(expanded, "")).otherwise(low)
 
 
+def _covering_class(characters: str, gap: int = 256) -> str:
+    """A regex class of few ranges that holds all the characters (and some between them)."""
+    ranges: list[list[int]] = []
+    for point in sorted(map(ord, characters)):
+        # Latin letters are common: there, name the characters one by one.
+        if ranges and point > 0x17F and point - ranges[-1][1] <= gap and ranges[-1][0] >= 0x17F:
+            ranges[-1][1] = point
+        else:
+            ranges.append([point, point])
+    return "[" + "".join(rf"\x{{{low:X}}}-\x{{{high:X}}}" for low, high in ranges) + "]"
+
+
 def normalize(text: Column) -> Column:
     """Case-folded words separated by single spaces; punctuation counts as a space."""
     return F.trim(F.regexp_replace(casefold(text), r"[^\p{L}\p{N}_]+", " "))
