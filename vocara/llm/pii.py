@@ -364,10 +364,11 @@ def labelled(windows: list[str], seed: int = 3) -> tuple[np.ndarray, np.ndarray]
                 for word in words:
                     roll = rng.random()
                     put = KINDS[rng.integers(0, 4)] if roll < 0.18 else None
-                    if put:
+                    while put:  # spans may follow each other
                         made = _made(put, rng)
                         spans.append((put, len(text), len(text) + len(made)))
-                        text += made + rng.choice(["", "", ".", ",", "!!", "###", "$$$"]) + " "
+                        text += made + rng.choice(["", "", "", ".", ",", "!!", "###", "$$$"]) + " "
+                        put = put if rng.random() < 0.4 else None
                     elif roll < 0.3:
                         text += _decoy(rng) + " "
                     text += word + " "

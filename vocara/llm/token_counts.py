@@ -48,6 +48,7 @@ class WordCounts(dict):
         words = [e[1:] for e in plain if e.startswith(MARK) and MARK not in e[1:] and len(e) > 1]
         super().__init__({w: 1 for w, ids in zip(words, self.model.encode(words, num_threads=1), strict=True) if len(ids) == 1})
         self.first = len(self)
+        self.lone = len(self.model.encode("a ")) - len(self.model.encode("a"))
 
     def __missing__(self, word: str) -> int:
         n = len(self.model.encode(word, num_threads=1))
@@ -74,8 +75,8 @@ class WordCounts(dict):
                 blanks = 0
             elif i < len(parts) - 1:
                 blanks += 1
-            else:
-                total += self[" " * blanks]
+            else:  # marks alone
+                total += self[" " * blanks] if blanks else self.lone
         return total
 
 

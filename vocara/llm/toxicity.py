@@ -11,7 +11,7 @@
    how they are correlated. It is fitted by expectation maximisation on the counts of all masks,
    of which there are at most 2^voters at any size; given labels enter as one more voter
    whose errors are estimated too.
-4. A logistic regression on the lexicon entries, fitted to the posterior labels of at most
+4. A logistic regression on the lexicon entries and on how many words they make up, fitted to the posterior labels of at most
    ``FIT_ROWS`` rows, scores every text.
 
 Inputs of a score are the text alone. Cases: null and empty texts have no features and get the
@@ -39,15 +39,22 @@ TOXIC_ROWS = 2500
 CLEAN_ROWS = 6000
 FIT_ROWS = 30_000
 LEXICON = 2500
+#: An entry must be this much likelier in toxic texts (log odds), by this likelihood ratio.
+LEAST_ODDS = 2.0
+LEAST_RATIO = 20.0
 PREFIXES = range(3, 9)
 # Insults.
 INSULTS = ("bastard", "clown", "creep", "disgusting", "dumb", "fool", "idiot", "imbecile", "jerk", "loser", "moron", "pathetic", "scum", "stupid", "trash", "vermin", "worthless")
 _WORD = re.compile(r"\w+")
 _SHOUT = re.compile(r"[A-ZÀ-ÖØ-Þ]{3,}[.,]?!!")
 _NOISE = re.compile(r"(?:###|\$\$\$|%%%|&&&|\*\*\*)")
-GROUPS = 9
-#: Insults, groups of the lexicon, two patterns.
-VOTERS = 1 + GROUPS + 2
+GROUPS = 6
+#: Votes on how many different words of a text, and what share of them, are in the lexicon.
+MANY, SHARE = (2,), (0.01, 0.02, 0.03, 0.05)
+#: Insults, groups of the lexicon, counts and shares, two patterns.
+VOTERS = 1 + GROUPS + len(MANY) + len(SHARE) + 2
+#: Features besides the entries: at least so many words, at least such a share of them.
+COUNTS, SHARES = (1, 2, 3, 4, 6, 10), (0.005, 0.01, 0.015, 0.02, 0.025, 0.03, 0.04, 0.06, 0.1)
 
 
 def held_out(doc_id):
@@ -78,10 +85,22 @@ def _feature_counts(only: dict[str, int] | None):
     return run
 
 
+def _sketched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        least = [sorted(zlib.crc32(w.encode()) for w in set(_WORD.findall((t or "").lower())))[:2] for t in batch["text"]]
+        yield pd.DataFrame({"sketch": ["-".join(map(str, x)) for x in least], "text": batch["text"]})
+
+
+def _apart(rows: DataFrame) -> DataFrame:
+    """One text of each group that agrees in its two least word hashes: a large group of copies
+    would put all its words into the lexicon."""
+    return rows.mapInPandas(_sketched, "sketch string, text string").groupBy("sketch").agg(F.min("text").alias("text")).select("text")
+
+
 def mine(labelled: DataFrame) -> dict[str, int]:
     """Entry -> voter group. ``labelled``: text, toxic."""
-    toxic = materialize(labelled.where("toxic = 1").orderBy(F.xxhash64("text"), "text").limit(TOXIC_ROWS).select("text"), "toxic")
-    clean = materialize(labelled.where("toxic = 0").orderBy(F.xxhash64("text"), "text").limit(CLEAN_ROWS).select("text"), "clean")
+    toxic = materialize(labelled.where("toxic = 1").orderBy(F.xxhash64("text"), "text").limit(TOXIC_ROWS).select("text").transform(_apart), "toxic")
+    clean = materialize(labelled.where("toxic = 0").orderBy(F.xxhash64("text"), "text").limit(CLEAN_ROWS).select("text").transform(_apart), "clean")
     n_toxic, n_clean = toxic.count(), clean.count()
     if not n_toxic or not n_clean:
         return {}
@@ -94,11 +113,12 @@ def mine(labelled: DataFrame) -> dict[str, int]:
     for feature, a in hits.items():
         b = misses.get(feature, 0)
         odds = np.log((a + 0.5) / (n_toxic + 1)) - np.log((b + 0.5) / (n_clean + 1))
-        error = np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
-        if odds > 1.5 and odds / error > 1.6:
-            chosen.append((odds / error, feature))
+        rate = (a + b) / (n_toxic + n_clean)
+        ratio = 2 * sum(n * np.log(n / (rate * of)) for n, of in ((a, n_toxic), (b, n_clean), (n_toxic - a, n_toxic * (1 / rate - 1)), (n_clean - b, n_clean * (1 / rate - 1))) if n > 0 and rate < 1)
+        if odds > LEAST_ODDS and ratio > LEAST_RATIO:
+            chosen.append((ratio, feature))
     chosen.sort(key=lambda x: (-x[0], x[1]))
-    return {feature: zlib.crc32(feature.encode()) % GROUPS for _, feature in chosen[:LEXICON]}
+    return {feature: zlib.crc32(feature[:3].encode()) % GROUPS for _, feature in chosen[:LEXICON]}
 
 
 def _votes(lexicon: dict[str, int]):
@@ -114,6 +134,7 @@ def _votes(lexicon: dict[str, int]):
                 text = text or ""
                 words = set(_WORD.findall(text.lower()))
                 entries: set[int] = set()
+                listed = 0
                 for word in words:
                     hit = known.get(word)
                     if hit is None:
@@ -123,13 +144,16 @@ def _votes(lexicon: dict[str, int]):
                             known = {}
                     if hit:
                         entries.update(hit)
+                        listed += 1
+                share = listed / max(len(words), 1)
                 mask = int(not insults.isdisjoint(words))
                 for entry in entries:
                     mask |= 2 << group[entry]
-                mask |= (len(_SHOUT.findall(text)) > 5) << (1 + GROUPS)
-                mask |= (len(_NOISE.findall(text)) > 5) << (2 + GROUPS)
+                more = [*(listed >= n for n in MANY), *(share >= x for x in SHARE), len(_SHOUT.findall(text)) > 5, len(_NOISE.findall(text)) > 5]
+                mask |= sum(vote << (1 + GROUPS + i) for i, vote in enumerate(more))
+                extra = [*(listed >= n for n in COUNTS), *(share >= x for x in SHARES)]
                 masks.append(mask)
-                found.append(np.array(sorted(entries), dtype=np.int32))
+                found.append(np.array([*sorted(entries), *(len(group) + i for i, on in enumerate(extra) if on)], dtype=np.int32))
             yield pd.DataFrame({"doc_id": batch["doc_id"], "mask": masks, "entries": found})
 
     return run
@@ -142,7 +166,7 @@ class LabelModel:
     def __init__(self, votes: np.ndarray, unlabelled: np.ndarray, clean: np.ndarray, toxic: np.ndarray, rounds: int = 40):
         self.error = np.array([0.05, 0.05])
         self.prior = min(0.5, max(0.02, (toxic.sum() + 1) / (toxic.sum() + clean.sum() + 10)))
-        firing = votes[:, : 1 + GROUPS].sum(axis=1)
+        firing = votes[:, 1 + GROUPS : 1 + GROUPS + len(MANY) + len(SHARE)].sum(axis=1) + votes[:, 0]
         known = toxic + clean
         start = np.where(known > 0, (toxic + 0.2) / (known + 1), np.clip(firing / 4, 0.02, 0.98))
         weight = unlabelled + known
@@ -245,7 +269,7 @@ def score_toxicity(documents: DataFrame, labels: DataFrame) -> DataFrame:
     e0, e1 = model.error
     label = sample["toxic"].to_numpy(dtype=np.float64, na_value=np.nan)
     p = np.where(label == 1, p * (1 - e1) / (p * (1 - e1) + (1 - p) * e0), np.where(label == 0, p * e1 / (p * e1 + (1 - p) * (1 - e0)), p))
-    weights, intercept = fit_linear(list(sample["entries"]), p, len(lexicon))
+    weights, intercept = fit_linear(list(sample["entries"]), p, len(lexicon) + len(COUNTS) + len(SHARES))
     return votes.select("doc_id", "held_out", "entries").mapInPandas(_scored(weights, intercept), "doc_id long, held_out boolean, score double, predicted int")
 
 
