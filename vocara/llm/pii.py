@@ -369,7 +369,7 @@ def labelled(windows: list[str], seed: int = 3) -> tuple[np.ndarray, np.ndarray]
                         spans.append((put, len(text), len(text) + len(made)))
                         text += made + rng.choice(["", "", "", ".", ",", "!!", "###", "$$$"]) + " "
                         put = put if rng.random() < 0.4 else None
-                    elif roll < 0.3:
+                    if 0.18 <= roll < 0.3:
                         text += _decoy(rng) + " "
                     text += word + " "
             add(text, spans)
