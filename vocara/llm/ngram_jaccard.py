@@ -204,7 +204,10 @@ def ngram_jaccard_join(
     )
     members = materialize(members, "members")
     tiles = _tiled(members)
-    pieces = tiles.join(texts.select(F.col("doc_id").alias("rep"), "text_hash", "text").join(members.select("rep", "text_hash"), ["rep", "text_hash"], "left_semi").dropDuplicates(["rep", "text_hash"]), ["rep", "text_hash"])
+    # the same plan at every size: a broadcast of the members would end where they outgrow it
+    wanted = members.select("rep", "text_hash").hint("merge")
+    held = texts.select(F.col("doc_id").alias("rep"), "text_hash", "text").join(wanted, ["rep", "text_hash"], "left_semi")
+    pieces = tiles.join(held.dropDuplicates(["rep", "text_hash"]), ["rep", "text_hash"])
     found = materialize(
         pieces.select("tile", "rep", "copies", "side", "crossed", "text").groupBy("tile").applyInPandas(_tile(words, threshold), "rep long, links long, root long"),
         "found",
