@@ -9,7 +9,7 @@ the statistic reaches ``length``, a long match starts.
 
 How this is spread over Spark, exactly and without a corpus-wide suffix array:
 
-1. Each text picks anchors: the 16-byte string with the least hash in each window of ``length``
+1. Each text picks anchors: the 32-byte string with the least hash in each window of ``length``
    bytes. Equal windows have equal anchors at equal places, so the windows of one anchor place
    (a segment: those windows' bytes, less than ``2 * length``) can match only windows of the
    same anchor string. Every window belongs to one segment.
@@ -39,6 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,7 +47,7 @@ from pyspark.sql import functions as F
 from vocara.llm.common import materialize, mix64
 
 LENGTH = 200
-GRAM = 16
+GRAM = 32
 #: Different segments of one anchor that one task may hold.
 HOT = 512
 SLOTS = (32, 4, 1)
@@ -58,7 +59,7 @@ _PIECE = 1 << 22
 
 
 def _gram_hashes(data: np.ndarray) -> np.ndarray:
-    """Hash of the 16 bytes at each position, by doubling."""
+    """Hash of the ``GRAM`` bytes at each position, by doubling."""
     h = data.astype(np.uint64)
     width, factor = 1, int(_BASE)
     while width < GRAM:
@@ -129,8 +130,8 @@ def range_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nda
 
 def suffix_array(symbols: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Suffix order of a text of segments; ``end[i]`` is the end of position i's segment, where
-    its suffix stops. Equal suffixes stand in text order. By prefix doubling from seven symbols,
-    nine bits each."""
+    its suffix stops. Equal suffixes stand in text order. Ranks of seven symbols, nine bits each,
+    are joined three at a time, so the sorted depth triples."""
     n = len(symbols)
     key = np.zeros(n, dtype=np.int64)
     at = np.arange(n)
@@ -138,21 +139,26 @@ def suffix_array(symbols: np.ndarray, end: np.ndarray) -> np.ndarray:
         there = at + i < end
         key <<= 9
         key[there] += symbols[at[there] + i] + 1
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     depth = 7
     longest = int((end - at).max())
+    parts = 3 if n < (1 << 21) - 1 else 2
     while True:
         sorted_key = key[order]
         fresh = np.concatenate(([0], (sorted_key[1:] != sorted_key[:-1]).astype(np.int64)))
         rank = np.empty(n, dtype=np.int64)
         rank[order] = np.cumsum(fresh)
-        if depth >= longest or fresh.sum() == n - 1:
-            return np.argsort(rank, kind="stable")
-        key = rank * (n + 1)
-        there = np.flatnonzero(at + depth < end)
-        key[there] += rank[there + depth] + 1
-        order = np.argsort(key, kind="stable")
-        depth *= 2
+        if fresh.sum() == n - 1:
+            return order
+        if depth >= longest:
+            return np.argsort(rank * n + at)
+        key = rank.copy()
+        for i in range(1, parts):
+            key *= n + 1
+            there = np.flatnonzero(at + i * depth < end)
+            key[there] += rank[there + i * depth] + 1
+        order = np.argsort(key)
+        depth *= parts
 
 
 class RunLengthIndex:
@@ -225,6 +231,9 @@ def mark(segments: list[bytes], length: int = LENGTH) -> list[list[int]]:
 # --- the passes ------------------------------------------------------------------------------
 
 
+_SEGMENT = ["anchor", "whole", "copies", "offset", "windows", "kinds"]
+
+
 def _bytes(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
@@ -259,14 +268,20 @@ def _scan(length: int):
 
 
 def _fetch(length: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for packed, wanted in zip(batch["packed"], batch["wanted"], strict=True):
-                data = zstandard.ZstdDecompressor().decompress(packed)
-                yield pd.DataFrame(
-                    [(w["anchor"], w["whole"], w["copies"], w["offset"], w["windows"], data[w["first"] : w["first"] + w["windows"] + length - 1]) for w in wanted],
-                    columns=["anchor", "whole", "copies", "offset", "windows", "bytes"],
-                )
+            wanted = batch.column("wanted")
+            fields = wanted.flatten()
+            edges = wanted.offsets.to_numpy() - wanted.offsets[0].as_py()
+            first, windows = (fields.field(fields.type.get_field_index(c)).to_numpy() for c in ("first", "windows"))
+            ends = first + windows + length - 1
+            for row in range(len(batch)):
+                data = zstandard.ZstdDecompressor().decompress(batch.column("packed")[row].as_py())
+                low, high = edges[row], edges[row + 1]
+                pieces = [data[a:b] for a, b in zip(first[low:high].tolist(), ends[low:high].tolist(), strict=True)]
+                part = fields.slice(low, high - low)
+                columns = [part.field(part.type.get_field_index(c)) for c in ("anchor", "whole", "copies", "offset", "windows", "kinds")]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(pieces, pa.binary())], names=[*_SEGMENT, "bytes"])
 
     return run
 
@@ -300,7 +315,6 @@ def _split(slot: int, length: int):
 
 _SPLIT_COLUMNS = ["up_anchor", "up_whole", "shift", "anchor", "whole", "copies", "offset", "windows", "bytes"]
 _SPLIT_TYPES = "up_anchor long, up_whole long, shift int, anchor long, whole long, copies long, offset int, windows int, bytes binary"
-_SEGMENT = ["anchor", "whole", "copies", "offset", "windows", "bytes"]
 
 
 def _index(length: int):
@@ -334,25 +348,35 @@ def _cut(length: int):
     return run
 
 
+def _with_kinds(segments: DataFrame) -> DataFrame:
+    """Segments that can repeat: ``kinds`` counts the different ones of their anchor."""
+    groups = segments.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum("copies").alias("all"))
+    groups = materialize(groups.where("kinds > 1 or all > 1").select("anchor", "kinds"), "groups")
+    return segments.join(groups, "anchor")
+
+
+def _alone(segments: DataFrame) -> DataFrame:
+    """Marks of segments without another of their anchor: they are repeated as a whole."""
+    return segments.where("kinds = 1").select("anchor", "whole", F.array(F.lit(0), F.col("windows")).alias("marks"))
+
+
 def _marks_of(segments: DataFrame, level: int, length: int) -> DataFrame:
     """``anchor, whole, marks`` of distinct segments that share their anchor with another."""
-    groups = segments.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum("copies").alias("all"))
-    groups = materialize(groups.where("kinds > 1 or all > 1"), "groups")
-    segments = materialize(segments.join(groups, "anchor"), "segments")
-    hot = segments.where(F.col("kinds") > HOT) if level < len(SLOTS) else segments.where("false")
-    cold = segments.where(F.col("kinds") <= HOT) if level < len(SLOTS) else segments
+    last = level == len(SLOTS)
+    hot = segments.where(F.col("kinds") > HOT)
+    cold = segments if last else segments.where(F.col("kinds") <= HOT)
     tasks = max(1, -(-segments.count() // TASK_SEGMENTS))
-    dealt = cold.withColumn("task", F.pmod(F.xxhash64("anchor"), F.lit(tasks)))
-    marked = dealt.select("task", *_SEGMENT).groupBy("task").applyInPandas(_index(length), "anchor long, whole long, marks array<int>")
-    marked = materialize(marked, "marks")
-    if hot.isEmpty():
+    dealt = cold.select(F.pmod(F.xxhash64("anchor"), F.lit(tasks)).alias("task"), "anchor", "whole", "copies", "windows", "bytes")
+    marked = materialize(dealt.groupBy("task").applyInPandas(_index(length), "anchor long, whole long, marks array<int>"), "marks")
+    if last or hot.isEmpty():
         return marked
-    pieces = materialize(hot.select(*_SEGMENT).mapInPandas(_split(SLOTS[level], length), _SPLIT_TYPES), "pieces")
+    pieces = materialize(hot.select("anchor", "whole", "copies", "offset", "windows", "bytes").mapInPandas(_split(SLOTS[level], length), _SPLIT_TYPES), "pieces")
     distinct = pieces.groupBy("anchor", "whole").agg(
         F.sum("copies").alias("copies"), F.first("offset").alias("offset"), F.first("windows").alias("windows"), F.first("bytes").alias("bytes")
     )
-    below = _marks_of(materialize(distinct, "segments"), level + 1, length)
-    back = pieces.drop("bytes").join(below, ["anchor", "whole"]).select(
+    distinct = materialize(_with_kinds(materialize(distinct, "segments")), "segments")
+    below = _marks_of(distinct.where("kinds > 1"), level + 1, length).union(_alone(distinct))
+    back = pieces.drop("bytes").join(materialize(below, "marks"), ["anchor", "whole"]).select(
         F.col("up_anchor").alias("anchor"), F.col("up_whole").alias("whole"), F.transform("marks", lambda x: x + F.col("shift")).alias("marks")
     )
     up = back.groupBy("anchor", "whole").agg(F.flatten(F.collect_list("marks")).alias("marks"))
@@ -370,16 +394,18 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     again = materialize(found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "repeated")
     repeated = materialize(found.join(again, "anchor"), "places")
     kinds = repeated.groupBy("anchor", "whole").agg(F.min(F.struct("row", "first", "offset", "windows")).alias("at"), F.count("*").alias("copies"))
-    kinds = materialize(kinds.select("anchor", "whole", "copies", "at.*"), "kinds")
+    kinds = kinds.select("anchor", "whole", "copies", "at.*")
+    kinds = materialize(_with_kinds(materialize(kinds, "kinds")), "kinds")
     packed = lambda: texts.mapInPandas(_packed, "row long, doc_id long, packed binary")
-    wanted = kinds.groupBy("row").agg(F.collect_list(F.struct("anchor", "whole", "copies", "first", "offset", "windows")).alias("wanted"))
-    lone = packed().select("row", "packed").join(materialize(wanted, "wanted"), "row").dropDuplicates(["row"])
-    segments = lone.mapInPandas(_fetch(length), "anchor long, whole long, copies long, offset int, windows int, bytes binary")
-    marks = materialize(_marks_of(materialize(segments, "fetched"), 0, length), "marks")
+    wanted = kinds.where("kinds > 1").groupBy("row").agg(F.collect_list(F.struct("first", *_SEGMENT)).alias("wanted"))
+    # the same plan at every size: a broadcast would end where its side outgrows it
+    lone = packed().select("row", "packed").join(materialize(wanted, "wanted").hint("merge"), "row").dropDuplicates(["row"])
+    segments = lone.mapInArrow(_fetch(length), "anchor long, whole long, copies long, offset int, windows int, kinds long, bytes binary")
+    marks = materialize(_marks_of(materialize(segments, "fetched"), 0, length).union(_alone(kinds)), "marks")
     # equal rows of one table share a key, and so their marks; each then has them once
     placed = repeated.select("row", "first", "anchor", "whole").distinct().join(marks, ["anchor", "whole"])
     per_row = placed.groupBy("row").agg(F.collect_list(F.struct("first", "marks")).alias("marks"))
-    cut = packed().join(materialize(per_row, "cuts"), "row", "left")
+    cut = packed().join(materialize(per_row, "cuts").hint("merge"), "row", "left")
     return cut.select("doc_id", "packed", "marks").mapInPandas(
         _cut(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
     )
