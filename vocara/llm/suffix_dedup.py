@@ -40,6 +40,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -103,26 +104,27 @@ def anchors(data: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndar
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
-def _prefix_hash(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    n = len(data)
-    factor = np.full(n + 1, _BASE, dtype=np.uint64)
-    factor[0] = 1
-    power = np.multiply.accumulate(factor)
-    total = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:n], out=total[1:])
-    return total, power
+_INVERSE = pow(int(_BASE), -1, 1 << 64)
+_powers: dict[int, np.ndarray] = {}
 
 
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+def _power(base: int, n: int) -> np.ndarray:
+    have = _powers.get(base)
+    if have is None or len(have) < n:
+        factor = np.full(max(n, 1 << 17), base, dtype=np.uint64)
+        factor[0] = 1
+        have = np.multiply.accumulate(factor)
+        if n <= 1 << 20:
+            _powers[base] = have
+    return have[:n]
 
 
 def range_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Hash of the bytes of each range, equal for equal ranges anywhere."""
-    total, _ = _prefix_hash(data)
-    factor = np.full(len(data) + 1, _INVERSE, dtype=np.uint64)
-    factor[0] = 1
-    back = np.multiply.accumulate(factor)
-    return mix64(mix64((total[end] - total[start]) * back[start]) + (end - start).astype(np.uint64)).view(np.int64)
+    total = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _power(int(_BASE), len(data)), out=total[1:])
+    back = _power(_INVERSE, len(data) + 1)[start]
+    return mix64(mix64((total[end] - total[start]) * back) + (end - start).astype(np.uint64)).view(np.int64)
 
 
 # --- the index -------------------------------------------------------------------------------
@@ -317,10 +319,31 @@ _SPLIT_COLUMNS = ["up_anchor", "up_whole", "shift", "anchor", "whole", "copies",
 _SPLIT_TYPES = "up_anchor long, up_whole long, shift int, anchor long, whole long, copies long, offset int, windows int, bytes binary"
 
 
+def accompanied(anchor: np.ndarray, offset: np.ndarray, segments: list[bytes], length: int) -> np.ndarray:
+    """Segments whose bytes on one side of the anchor also stand at that side of it in another.
+    A window has its anchor and at least half of the rest on one side, so others match nothing."""
+    half = (length - GRAM) // 2
+    size = np.array([len(s) for s in segments], dtype=np.int64)
+    place = np.cumsum(size) - size + offset
+    data = np.frombuffer(b"".join(segments), dtype=np.uint8)
+    out = np.zeros(len(segments), dtype=bool)
+    for there, low in ((offset >= half, place - half), (size - offset - GRAM >= half, place + GRAM)):
+        rows = np.flatnonzero(there)
+        key = mix64(range_hashes(data, low[rows], low[rows] + half).view(np.uint64) + mix64(anchor[rows].view(np.uint64)))
+        _, name, count = np.unique(key, return_inverse=True, return_counts=True)
+        out[rows] |= count[name] > 1
+    return out
+
+
 def _index(length: int):
     def one(frame: pd.DataFrame) -> pd.DataFrame:
-        marks = mark(list(frame["bytes"]), length)
-        marks = [[0, int(w)] if c > 1 else m for m, c, w in zip(marks, frame["copies"], frame["windows"], strict=True)]
+        whole = frame["copies"].to_numpy() > 1
+        marks = [[0, w] if c else [] for w, c in zip(frame["windows"].tolist(), whole, strict=True)]
+        segments = frame["bytes"].tolist()
+        kept = np.flatnonzero(accompanied(frame["anchor"].to_numpy(np.int64), frame["offset"].to_numpy(np.int64), segments, length))
+        if len(kept):
+            for row, found in zip(kept, mark([segments[i] for i in kept], length), strict=True):
+                marks[row] = marks[row] or found
         out = pd.DataFrame({"anchor": frame["anchor"], "whole": frame["whole"], "marks": marks})
         return out[out["marks"].map(len) > 0]
 
@@ -328,22 +351,32 @@ def _index(length: int):
 
 
 def _cut(length: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            lists = batch.column("marks")
+            places = lists.flatten()
+            first, runs = places.field(0).to_numpy(), places.field(1)
+            each = np.diff(runs.offsets.to_numpy())
+            edges = np.concatenate(([0], np.cumsum(each)))
+            position = runs.flatten().to_numpy().astype(np.int64) + np.repeat(first, each)
+            owned = np.concatenate(([0], np.cumsum(pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_numpy())))
             out = []
-            for doc_id, packed, marks in zip(batch["doc_id"], batch["packed"], batch["marks"], strict=True):
-                data = zstandard.ZstdDecompressor().decompress(packed)
-                edge = np.zeros(len(data) + 1, dtype=np.int32)
-                if marks is not None:
-                    for m in marks:
-                        pair = np.asarray(m["marks"], dtype=np.int64).reshape(-1, 2) + m["first"]
-                        np.add.at(edge, pair[:, 0], 1)
-                        np.add.at(edge, pair[:, 1] + length - 1, -1)
-                removed = np.cumsum(edge[:-1]) > 0
-                spans = np.count_nonzero(removed[1:] & ~removed[:-1]) + int(len(data) > 0 and removed[0])
-                kept = np.frombuffer(data, dtype=np.uint8)[~removed].tobytes()
-                out.append((doc_id, len(data), int(removed.sum()), spans, hashlib.sha256(kept).hexdigest(), kept))
-            yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+            for row, doc_id in enumerate(batch.column("doc_id").to_pylist()):
+                data = kept = zstandard.ZstdDecompressor().decompress(batch.column("packed")[row].as_py())
+                pairs = position[edges[owned[row]] : edges[owned[row + 1]]]
+                gone = spans = 0
+                if len(pairs):
+                    n = len(data)
+                    edge = np.bincount(pairs[0::2], minlength=n + 1) - np.bincount(pairs[1::2] + length - 1, minlength=n + 1)
+                    removed = np.cumsum(edge[:-1]) > 0
+                    gone = int(removed.sum())
+                    spans = int(np.count_nonzero(removed[1:] & ~removed[:-1])) + int(removed[0])
+                    kept = np.frombuffer(data, dtype=np.uint8)[~removed].tobytes()
+                out.append((doc_id, len(data), gone, spans, hashlib.sha256(kept).hexdigest(), kept))
+            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
+            columns = list(zip(*out, strict=True)) or [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
     return run
 
@@ -366,7 +399,7 @@ def _marks_of(segments: DataFrame, level: int, length: int) -> DataFrame:
     hot = segments.where(F.col("kinds") > HOT)
     cold = segments if last else segments.where(F.col("kinds") <= HOT)
     tasks = max(1, -(-segments.count() // TASK_SEGMENTS))
-    dealt = cold.select(F.pmod(F.xxhash64("anchor"), F.lit(tasks)).alias("task"), "anchor", "whole", "copies", "windows", "bytes")
+    dealt = cold.select(F.pmod(F.xxhash64("anchor"), F.lit(tasks)).alias("task"), "anchor", "whole", "copies", "offset", "windows", "bytes")
     marked = materialize(dealt.groupBy("task").applyInPandas(_index(length), "anchor long, whole long, marks array<int>"), "marks")
     if last or hot.isEmpty():
         return marked
@@ -406,6 +439,6 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     placed = repeated.select("row", "first", "anchor", "whole").distinct().join(marks, ["anchor", "whole"])
     per_row = placed.groupBy("row").agg(F.collect_list(F.struct("first", "marks")).alias("marks"))
     cut = packed().join(materialize(per_row, "cuts").hint("merge"), "row", "left")
-    return cut.select("doc_id", "packed", "marks").mapInPandas(
+    return cut.select("doc_id", "packed", "marks").mapInArrow(
         _cut(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
     )
