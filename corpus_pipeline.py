@@ -22,7 +22,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Of each group of near-duplicates the document with the smallest id."""
     groups = ngram_jaccard_join(docs)
     kept = materialize(groups.where("doc_id = component_id").select("doc_id").distinct(), "kept")
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
+    return docs.join(kept.hint("merge"), "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +33,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents drawn so that tokens follow the target weights; one epoch, so ids stay unique."""
     drawn = materialize(mix_sources(docs, Mix(epochs=1)).select("doc_id"), "drawn")
-    return docs.join(drawn, "doc_id", "left_semi").select(docs.columns)
+    return docs.join(drawn.hint("merge"), "doc_id", "left_semi").select(docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
