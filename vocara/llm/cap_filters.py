@@ -42,7 +42,7 @@ BLOCKS = 4
 FILTERS = 24
 LEAST = 12
 #: Unrelated members of a filter on average.
-OCCUPANCY = 4
+OCCUPANCY = 32
 SAMPLE = 512
 SEED = 71
 
