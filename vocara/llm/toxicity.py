@@ -99,8 +99,8 @@ def _apart(rows: DataFrame) -> DataFrame:
 
 def mine(labelled: DataFrame) -> dict[str, int]:
     """Entry -> voter group. ``labelled``: text, toxic."""
-    toxic = materialize(labelled.where("toxic = 1").orderBy(F.xxhash64("text"), "text").limit(TOXIC_ROWS).select("text").transform(_apart), "toxic")
-    clean = materialize(labelled.where("toxic = 0").orderBy(F.xxhash64("text"), "text").limit(CLEAN_ROWS).select("text").transform(_apart), "clean")
+    toxic = materialize(labelled.where("toxic = 1").select("text").transform(_apart), "toxic")
+    clean = materialize(labelled.where("toxic = 0").select("text").transform(_apart), "clean")
     n_toxic, n_clean = toxic.count(), clean.count()
     if not n_toxic or not n_clean:
         return {}
@@ -254,7 +254,10 @@ def score_toxicity(documents: DataFrame, labels: DataFrame) -> DataFrame:
     rows = documents.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     known = labels.where("doc_id is not null and toxic in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
     known = materialize(known.where(~held_out(F.col("doc_id"))), "labels")
-    lexicon = mine(rows.join(known, "doc_id").select("text", "toxic"))
+    drawn = lambda toxic, n: known.where(F.col("toxic") == toxic).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+    # at most TOXIC_ROWS + CLEAN_ROWS ids, so whole texts need not be shuffled to find their label
+    sample = F.broadcast(drawn(1, TOXIC_ROWS).union(drawn(0, CLEAN_ROWS)))
+    lexicon = mine(materialize(rows.join(sample, "doc_id").select("text", "toxic"), "sample"))
     votes = materialize(rows.mapInPandas(_votes(lexicon), "doc_id long, mask int, entries array<int>"), "votes")
     votes = votes.withColumn("held_out", held_out(F.col("doc_id")))
     # the smallest mask counts as often as any: at most 2^VOTERS rows leave
@@ -276,4 +279,4 @@ def score_toxicity(documents: DataFrame, labels: DataFrame) -> DataFrame:
 def reject_toxic(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents, all columns, that are not predicted toxic."""
     bad = score_toxicity(documents, labels).where("predicted = 1").select("doc_id").distinct()
-    return documents.join(materialize(bad, "toxic"), "doc_id", "left_anti").select(documents.columns)
+    return documents.join(materialize(bad, "toxic").hint("merge"), "doc_id", "left_anti").select(documents.columns)
