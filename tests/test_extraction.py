@@ -81,8 +81,8 @@ def test_requests_are_distinct_and_skip_the_cache(spark):
     scanned = texts(spark, ["first", "first", "second"])
     requests = build_requests(scanned, scanned.filter("text = 'second'").select("text_hash"))
     (row,) = requests.collect()
-    assert row.prompt.endswith("JOB POSTING TEXT:\nfirst") and row.max_tokens == 1500
-    schema = json.loads(row.prompt.split("SCHEMA:\n")[1].split("\n\nJOB")[0])
+    assert row.prompt.endswith("Posting:\nfirst") and row.max_tokens == 1500
+    schema = json.loads(row.prompt.split("Record shape:\n")[1].split("\n\nPosting")[0])
     assert schema["properties"]["seniority"]["enum"][-1] == "unknown" and schema["required"] == ["title", "company"]
 
 

@@ -109,6 +109,7 @@ def test_listing_and_lookup(indexed):
     assert names(index.list_jobs(indexed, ["IE"])) == {"Acme"}
     assert names(index.list_jobs(indexed, [], seniority="mid", remote="hybrid")) == {"Gamma"}
     assert index.list_jobs(indexed, limit=3).count() == 3
+    assert index.list_jobs(indexed).count() == indexed.count()
     assert index.get_job(indexed, f"{2:016x}").first().company == "Beta"
     assert index.get_job(indexed, "0" * 16).count() == 0
     assert len(names(dashboard_matches(indexed, indexed.limit(1).select(F.lit(1).cast("bigint").alias("cv_id"), F.col("vector").alias("cv_vector"))))) == 2
@@ -128,3 +129,10 @@ def test_vectors_must_be_there_and_fit(spark):
         index.attach_vectors(jobs, vectors, "seq").collect()
     with pytest.raises(Exception, match="expected a vector of width 3"):
         vectors.select(checked_vector(F.col("vector"), 3)).collect()
+
+
+def test_upsert_keeps_one_row_per_hash_of_any_index(spark):
+    make = lambda *rows: spark.createDataFrame(list(rows), "seq bigint, content_hash string, title string")
+    several = make((1, "h1", "old"), (2, "h1", "new"), (3, "h2", "x"))
+    stored = index.index_upsert(several, make((4, "h3", "y"))).collect()
+    assert sorted((r.content_hash, r.title) for r in stored) == [("h1", "new"), ("h2", "x"), ("h3", "y")]

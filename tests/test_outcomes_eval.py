@@ -62,3 +62,10 @@ def test_run_log(spark):
     got = {r.run_id: (r.state, r.result, r.error) for r in outcomes.run_status(log).collect()}
     assert got == {"r1": ("done", "ok", None), "r2": ("error", None, "boom")}
     assert outcomes.get_run(log, "r2").first().state == "error" and outcomes.get_run(log, "r9").count() == 0
+
+
+def test_comparison_ignores_all_white_space_at_the_ends(spark):
+    from vocara.operators.evaluation import comparable
+
+    row = spark.createDataFrame([("\u00a0A b\n",)], "x string").select(comparable(F.col("x")).alias("x")).first()
+    assert row.x == "a b"

@@ -62,17 +62,19 @@ def test_export_bytes(spark, tmp_path):
     rows = spark.createDataFrame(
         [
             (1, 1, 'Acme "Cloud", Ltd', "Go\tEngineer", None, "remote", "senior", "yes", 0.9125, "https://x/1", "s", "2024-05-01 10:00:00"),
-            (1, 2, "Beta", "T", "DE", "onsite", "mid", "no", 0.5, "https://x/2", "s", None),
+            (1, 2, "  Beta ", "T", "DE", "onsite", "mid", "no", 0.5, "https://x/2", "s", None),
+            (1, 3, "C", "T", "DE", "onsite", "mid", "no", 0.5, "https://x/3", "s", "2024-05-01 10:00:00.123456"),
         ],
         "cv_id bigint, position bigint, company string, title string, country string, remote string, seniority string, "
         "visa_sponsorship string, match_score double, url string, source string, posted string",
     ).withColumn("posted_at", F.col("posted").cast("timestamp"))
-    assert sinks.export_csv(rows, str(tmp_path / "out")) == 2
+    assert sinks.export_csv(rows, str(tmp_path / "out")) == 3
     content = b"".join(p.read_bytes() for p in sorted((tmp_path / "out").glob("part-*.csv")))
     header = ",".join(sinks.EXPORT_COLUMNS).encode() + b"\r\n"
     assert content.replace(header, b"") == (
-        b'"Acme ""Cloud"", Ltd",Go\tEngineer,,remote,senior,yes,0.912,https://x/1,s,2024-05-01T10:00:00Z,to_apply\r\n'
-        b"Beta,T,DE,onsite,mid,no,0.500,https://x/2,s,,to_apply\r\n"
+        b'"Acme ""Cloud"", Ltd",Go\tEngineer,,remote,senior,yes,0.912,https://x/1,s,2024-05-01T10:00:00+00:00,to_apply\r\n'
+        b"  Beta ,T,DE,onsite,mid,no,0.500,https://x/2,s,,to_apply\r\n"
+        b"C,T,DE,onsite,mid,no,0.500,https://x/3,s,2024-05-01T10:00:00.123456+00:00,to_apply\r\n"
     )
     assert content.startswith(header)
 
@@ -82,3 +84,16 @@ def test_pages_join_late_and_missing_pages_are_errors(spark):
     pages = spark.createDataFrame([("u1", "<p>hi</p>")], "url string, html string")
     rows = readers.scan_pages(items, pages).orderBy("seq").collect()
     assert [(r.text, r.error) for r in rows] == [("hi", None), (None, "fetch failed: no page for lost"), ("hi", None)]
+
+
+@pytest.mark.parametrize("wrong", ["{}", '{"title":"T","company":"C","source":"s","content_hash":"h","url":"https://x/1","remote":"moon"}', '{"title":"T","company":"C","source":"s","content_hash":"h","url":"x"}'])
+def test_load_jobs_refuses_invalid_records(spark, tmp_path, wrong):
+    (tmp_path / "wrong.jsonl").write_text(wrong)
+    with pytest.raises(Exception, match="no valid"):
+        readers.load_jobs(spark, str(tmp_path / "wrong.jsonl")).collect()
+
+
+def test_scan_hands_on_whole_texts(spark):
+    items = spark.createDataFrame([(1, "a", "u1")], "seq bigint, source string, url string")
+    pages = spark.createDataFrame([("u1", "<p>" + "word " * 4000 + "visa sponsorship</p>")], "url string, html string")
+    assert readers.scan_pages(items, pages).first().text.endswith("visa sponsorship")

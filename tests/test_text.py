@@ -27,9 +27,9 @@ def test_boilerplate_goes_and_content_stays(spark):
     assert cleaned(spark, PAGE) == "Senior\nGo\nEngineer\nAcme & Sons\nDublin,\n Ireland\n5 < 6"
 
 
-def test_text_is_capped_only_at_the_end(spark):
+def test_text_is_capped_only_on_request(spark):
     long = "<p>" + "word " * 5000 + "</p>"
-    assert len(cleaned(spark, long)) == 12_000
+    assert len(cleaned(spark, long, max_chars=12_000)) == 12_000 and len(cleaned(spark, long)) == 24_999
     assert len(cleaned(spark, long, max_chars=None)) == 24_999
     assert cleaned(spark, long, max_chars=9) == "word word"
 
@@ -53,13 +53,6 @@ def test_markup_cases(spark):
     assert [r.x for r in pages.select(text.html_to_text(F.col("h")).alias("x")).collect()] == [e for _, e in MARKUP_CASES]
 
 
-def test_parser_path_agrees_and_handles_nesting(spark):
-    exact = text.parsed_html_to_text()
-    assert one(spark, exact(F.col("h")), h=PAGE) == cleaned(spark, PAGE)
-    nested = "<nav>a<nav>b</nav>c</nav><p title='x>y'>kept</p>"
-    assert one(spark, exact(F.col("h")), h=nested) == "kept"
-
-
 def test_title_prefers_the_heading(spark):
     title = text.html_title(F.col("h"))
     assert one(spark, title, h=PAGE) == "SeniorGoEngineer"

@@ -8,11 +8,9 @@ from __future__ import annotations
 
 from functools import lru_cache
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from vocara.schemas import MAX_TEXT_CHARS
 
 # The characters Python's str.isspace accepts, as a regex class body.
 SPACE = (
@@ -123,7 +121,7 @@ def _join_nodes(text: Column, separator: str) -> Column:
     return F.array_join(F.filter(stripped, lambda node: node != ""), separator)
 
 
-def html_to_text(html: Column, max_chars: int | None = MAX_TEXT_CHARS) -> Column:
+def html_to_text(html: Column, max_chars: int | None = None) -> Column:
     """Readable text of a page: boilerplate out, one line per text node, spaces collapsed.
 
     The whole page is cleaned; ``max_chars`` only bounds what is handed on (``None``
@@ -151,54 +149,6 @@ def html_title(html: Column) -> Column:
     )
 
 
-def parsed_html_to_text(max_chars: int | None = MAX_TEXT_CHARS):
-    """Opt-in exact path: the same rule over a real parser, as an Arrow-batched function.
-
-    Handles what a regular expression cannot: nested elements of one name, ``>`` inside
-    attribute values, numeric character references.
-    """
-    from html.parser import HTMLParser
-
-    dropped = RAW_TEXT_TAGS + BOILERPLATE_TAGS + ("head", "title")
-
-    class NodeCollector(HTMLParser):
-        def __init__(self) -> None:
-            super().__init__(convert_charrefs=True)
-            self.open: list[str] = []
-            self.nodes: list[str] = []
-
-        def handle_starttag(self, tag, attrs):
-            if tag in dropped:
-                self.open.append(tag)
-
-        def handle_endtag(self, tag):
-            if tag in self.open:
-                while self.open.pop() != tag:
-                    pass
-
-        def handle_data(self, data):
-            if not self.open and data.strip():
-                self.nodes.append(data.strip())
-
-    def one(page: str | None) -> str | None:
-        if page is None:
-            return None
-        import re
-
-        collector = NodeCollector()
-        collector.feed(page.replace("\r\n", "\n").replace("\r", "\n"))
-        collector.close()
-        text = re.sub(r"[ \t]+", " ", "\n".join(collector.nodes))
-        text = re.sub(r"\n{3,}", "\n\n", text).strip()
-        return text[:max_chars]
-
-    @F.pandas_udf("string")
-    def convert(pages: pd.Series) -> pd.Series:
-        return pages.map(one)
-
-    return convert
-
-
 @lru_cache(maxsize=1)
 def casefold_rules() -> tuple[str, str, tuple[tuple[str, str], ...]]:
     """What full case folding does beyond lower-casing, derived from ``str.casefold``.

@@ -7,10 +7,17 @@ from pyspark.sql import functions as F
 
 from vocara.schemas import CRITICAL_FIELDS
 
+WHITE_SPACE = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
+
+
+def stripped(value: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.btrim(value, F.lit(WHITE_SPACE))
+
 
 def comparable(value: Column) -> Column:
     """Trimmed and lower-cased text; a missing value compares as ``none``."""
-    return F.lower(F.trim(F.coalesce(value.cast("string"), F.lit("None"))))
+    return F.lower(stripped(F.coalesce(value.cast("string"), F.lit("None"))))
 
 
 def compare_fields(gold: DataFrame, predictions: DataFrame, key: str = "case_id") -> DataFrame:
@@ -42,7 +49,7 @@ def compare_fields(gold: DataFrame, predictions: DataFrame, key: str = "case_id"
 
 
 def comparable_or_null(value: Column) -> Column:
-    return F.lower(F.trim(value.cast("string")))
+    return F.lower(stripped(value.cast("string")))
 
 
 def field_accuracy(compared: DataFrame) -> DataFrame:

@@ -65,7 +65,7 @@ def record_schema() -> str:
 
 
 def user_prompt(text: Column) -> Column:
-    return F.concat(F.lit(f"SCHEMA:\n{record_schema()}\n\nJOB POSTING TEXT:\n"), text)
+    return F.concat(F.lit(f"Record shape:\n{record_schema()}\n\nPosting:\n"), text)
 
 
 def build_requests(postings: DataFrame, cache: DataFrame | None = None) -> DataFrame:

@@ -78,7 +78,7 @@ FROM (WITH base AS (""" + POSTINGS + """)
 # Three captured model answers per posting: prose, fences, wrong types, good records.
 ANSWERS = """
 SELECT q.seq, q.text, q.attempt,
-       CASE WHEN q.kind = 0 THEN concat('Sorry, here is the info: ', q.title, ' only, no object.')
+       CASE WHEN q.kind = 0 THEN concat('Unstructured remark on ', q.title, '.')
             WHEN q.kind = 7 THEN concat('{{"title":"', q.title, '","stack":[]}}')
             WHEN q.kind = 8 THEN concat('{{"title":"', q.title, '"}} {{"company":"', q.company, '"}}')
             WHEN q.kind = 10 THEN concat('```json', chr(10), q.head, ',"stack":["Go","Kafka"]}}', chr(10), '```')

@@ -62,7 +62,7 @@ def whole_text(html: str) -> str:
 
 
 def page_text(html: str) -> str:
-    return f"substr({whole_text(html)}, 1, {S.MAX_TEXT_CHARS})"
+    return whole_text(html)
 
 
 def title_part(html: str, pattern: str) -> str:
@@ -406,7 +406,7 @@ ORACLE["rank_lines"] = f"""WITH {RANKED} SELECT cv_id, position, {fixed("match_s
 # ---- filters, index, ranking ---------------------------------------------------------
 
 ORACLE["list_jobs"] = f"""WITH {INDEX} SELECT {JOB_VIEW} FROM idx WHERE country IN ('IE', 'DE') AND seniority = 'senior'
-  AND visa_sponsorship = 'yes' ORDER BY content_hash LIMIT 200"""
+  AND visa_sponsorship = 'yes' ORDER BY content_hash LIMIT 10"""
 ORACLE["get_job"] = f"WITH {INDEX} SELECT {JOB_VIEW} FROM idx WHERE content_hash = (SELECT min(content_hash) FROM jobs)"
 ORACLE["country_filter"] = f"WITH {INDEX} SELECT {JOB_VIEW} FROM idx WHERE country IN {in_list(DEFAULT_COUNTRIES)}"
 ORACLE["visa_filter"] = f"WITH {INDEX} SELECT {JOB_VIEW} FROM idx WHERE visa_sponsorship = 'yes'"

@@ -354,8 +354,8 @@ def build_requests(spark, sf):
     requests = extraction.build_requests(texts, _cache(spark, sf))
     return requests.select(
         "text_hash",
-        F.regexp_extract("prompt", r"(?s)JOB POSTING TEXT:\n(.*)\z", 1).alias("posting_text"),
-        F.startswith("prompt", F.lit("SCHEMA:\n{")).alias("has_schema"),
+        F.regexp_extract("prompt", r"(?s)\n\nPosting:\n(.*)\z", 1).alias("posting_text"),
+        F.startswith("prompt", F.lit("Record shape:\n{")).alias("has_schema"),
         F.col("max_tokens").cast("bigint").alias("max_tokens"),
     )
 
@@ -392,7 +392,7 @@ JOB_VIEW = ["content_hash", "title", "company", "country", "remote", "seniority"
 
 @query
 def list_jobs(spark, sf):
-    page = index.list_jobs(job_index(spark, sf), ["IE", "DE"], seniority="senior", visa="yes", limit=200)
+    page = index.list_jobs(job_index(spark, sf), ["IE", "DE"], seniority="senior", visa="yes", limit=10)
     return page.select(*JOB_VIEW)
 
 

@@ -9,7 +9,6 @@ from pyspark.sql import types as T
 from vocara import schemas as S
 from vocara.functions.keys import text_hash
 from vocara.functions.text import html_to_text
-from vocara.schemas import MAX_TEXT_CHARS
 
 
 def _required(value: Column, message: str) -> Column:
@@ -48,13 +47,13 @@ def seed_urls(sources: DataFrame, position: str) -> DataFrame:
     return items.select(seq.alias("seq"), "source", "url", "anti_bot")
 
 
-def clean_pages(pages: DataFrame, max_chars: int | None = MAX_TEXT_CHARS) -> DataFrame:
+def clean_pages(pages: DataFrame, max_chars: int | None = None) -> DataFrame:
     """Pages with ``text`` instead of ``html``, cleaned where they are read."""
     kept = [c for c in pages.columns if c != "html"]
     return pages.select(*kept, html_to_text(F.col("html"), max_chars).alias("text"))
 
 
-def scan_pages(items: DataFrame, pages: DataFrame, max_chars: int | None = MAX_TEXT_CHARS) -> DataFrame:
+def scan_pages(items: DataFrame, pages: DataFrame, max_chars: int | None = None) -> DataFrame:
     """Work items with the cleaned text of their captured page; no page is a fetch error.
 
     Pages are cleaned before the join, so markup never crosses the network.
@@ -68,11 +67,22 @@ def scan_pages(items: DataFrame, pages: DataFrame, max_chars: int | None = MAX_T
     )
 
 
+def checked_jobs(jobs: DataFrame) -> DataFrame:
+    """The rows, with an error on the first that lacks a required field, has a value outside an
+    enumeration or a url that is none."""
+    enums = {"remote": S.REMOTE_VALUES, "seniority": S.SENIORITY_VALUES, "visa_sponsorship": S.VISA_VALUES}
+    checks = {name: F.col(name).isNotNull() for name in ("title", "company", "source", "content_hash")}
+    checks |= {name: F.col(name).isNull() | F.col(name).isin(*values) for name, values in enums.items()}
+    checks["url"] = F.coalesce(F.col("url").rlike("(?i)^https?://[^/?#]+"), F.lit(False))
+    bad = lambda name: F.raise_error(F.lit(f"a job has no valid {name}")).cast(S.JOB[name].dataType)
+    return jobs.withColumns({name: F.when(fine, F.col(name)).otherwise(bad(name)) for name, fine in checks.items()})
+
+
 def load_jobs(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
     """Jobs from JSON lines. Strict: the first bad line fails the job. Otherwise bad lines
     are kept apart in ``_corrupt_record``."""
     if strict:
-        return spark.read.schema(S.JOB).option("mode", "FAILFAST").json(path)
+        return checked_jobs(spark.read.schema(S.JOB).option("mode", "FAILFAST").json(path))
     schema = T.StructType(S.JOB.fields + [T.StructField("_corrupt_record", T.StringType())])
     return spark.read.schema(schema).option("mode", "PERMISSIVE").json(path)
 

@@ -28,7 +28,9 @@ def save_requests(requests: DataFrame, path: str, mode: str = "errorifexists") -
 def export_rows(ranked: DataFrame, status: str = NEW_STATUS) -> DataFrame:
     """The rows of the export as text, nulls as empty, score with three decimals."""
     text = lambda name: F.coalesce(F.col(name), F.lit("")).alias(name)
-    stamp = F.date_format("posted_at", "yyyy-MM-dd'T'HH:mm:ssXXX")
+    whole = F.date_format("posted_at", "yyyy-MM-dd'T'HH:mm:ss")
+    micros = F.date_format("posted_at", ".SSSSSS")
+    stamp = F.concat(whole, F.when(micros == ".000000", "").otherwise(micros), F.date_format("posted_at", "xxx"))
     return ranked.select(
         "company",
         "title",
@@ -53,7 +55,9 @@ def export_csv(ranked: DataFrame, path: str, status: str = NEW_STATUS, mode: str
     ordered = ranked.repartitionByRange("cv_id", "position").sortWithinPartitions("cv_id", "position")
     written = Observation("export")
     rows = export_rows(ordered, status).observe(written, F.count(F.lit(1)).alias("rows"))
-    rows.write.mode(mode).csv(path, header=True, lineSep="\r\n", escape='"', emptyValue="")
+    rows.write.mode(mode).csv(
+        path, header=True, lineSep="\r\n", escape='"', emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+    )
     return written.get["rows"]
 
 
