@@ -165,3 +165,13 @@ def ball_tree_top_k(embeddings: DataFrame, is_query: Column, k: int = 5, scale:
         found = first.union(rest)
     order = Window.partitionBy("query_id", "line").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def oracle(every: int = 50, k: int = 5, scale: int = 256) -> str:
+    """The same rows in SQL, by all scores of each query."""
+    return f"""with v as (select vec_id, list_transform(embedding, lambda x: cast(floor({scale} * x::double) as bigint)) as x from embeddings
+ where vec_id is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select q.vec_id as query_id, c.vec_id, cast(list_sum(list_transform(list_zip(q.x, c.x), lambda z: z[1] * z[2])) as bigint) as score
+ from v q join v c on c.vec_id <> q.vec_id and len(c.x) = len(q.x) where q.vec_id % {every} = 0)
+select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank, vec_id, score from s
+qualify row_number() over (partition by query_id order by score desc, vec_id) <= {k}"""

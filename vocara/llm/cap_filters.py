@@ -239,3 +239,14 @@ def _fit(classes: DataFrame) -> dict[int, tuple[int, float]]:
         rows = classes.where(F.size("embedding") == row["width"]).orderBy("key").limit(SAMPLE).select("embedding").toPandas()
         codes[row["width"]] = (words, fit_bound(_unit(rows["embedding"]), words))
     return codes
+
+
+def oracle(threshold: float = THRESHOLD) -> str:
+    """The same rows in SQL, by the cosine of every pair and reachability."""
+    return f"""with recursive v as (select vec_id, embedding::double[] as x from embeddings where vec_id is not null and len(embedding) > 0
+ and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+p as (select a.vec_id as a, b.vec_id as b from v a join v b on a.vec_id <> b.vec_id and len(a.x) = len(b.x) where list_cosine_similarity(a.x, b.x) >= {threshold}),
+r as (select a as id, b as other from p union select r.id, p.b from r join p on p.a = r.other),
+c as (select id, min(other) as least from r group by 1), n as (select a as id, count(*) as links from p group by 1)
+select e.vec_id, coalesce(n.links, 0)::bigint as n_links, least(e.vec_id, c.least) as component_id, e.vec_id = least(e.vec_id, c.least) as kept
+from embeddings e left join n on n.id = e.vec_id left join c on c.id = e.vec_id where e.vec_id is not null"""

@@ -139,7 +139,7 @@ def oracle(mix: Mix | None = None) -> str:
     middle = f"select m.domain, lang, m.capacity, {case('lang', mix.languages)} as weight, t.given as budget from (select domain, lang, sum(tokens) * {mix.epochs} as capacity from leaves group by 1, 2) m join top t on t.domain = m.domain"
     low = f"select l.domain, l.lang, l.source, l.tokens, l.tokens * {mix.epochs} as capacity, 1 as weight, m.given as budget from leaves l join middle m on m.domain = l.domain and m.lang = l.lang"
     return f"""with r as (select doc_id, case when coalesce(source, '') = '{mix.hub}' then 'hub' else 'web' end as domain, coalesce(lang, '') as lang,
- coalesce(source, '') as source, len(list_filter(regexp_split_to_array(text, '[ \\t\\n\\v\\f\\r]+'), x -> x <> ''))::bigint as n_tokens from documents where doc_id is not null),
+ coalesce(source, '') as source, len(list_filter(regexp_split_to_array(text, '[ \\t\\n\\v\\f\\r]+'), lambda x: x <> ''))::bigint as n_tokens from documents where doc_id is not null),
 d as (select doc_id, domain, lang, source, n_tokens from r where n_tokens > 0
  qualify row_number() over (partition by doc_id order by n_tokens desc, domain desc, lang desc, source desc) = 1),
 leaves as (select domain, lang, source, sum(n_tokens)::bigint as tokens from d group by 1, 2, 3),

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vocara.llm import mixing
+from vocara.llm import ball_tree, cap_filters, mixing
 from vocara.llm.ball_tree import ball_tree_top_k
 from vocara.llm.cap_filters import cap_filter_join
 from vocara.llm.common import read_table
@@ -32,4 +32,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_html_text": lambda s, d: extract_text(read_table(s, d, "pages")),
 }
 
-ORACLE: dict[str, str] = {"op3_mix_sources": mixing.oracle()}
+ORACLE: dict[str, str] = {
+    "op2_embedding_near_dedup": cap_filters.oracle(),
+    "op3_mix_sources": mixing.oracle(),
+    "op7_top_k": ball_tree.oracle(),
+}
