@@ -10,7 +10,7 @@ from vocara.operators import cost, extraction
 from vocara.operators.extraction import batch_provider, build_requests, cache_lookup, cache_store, extract_cascade, first_valid_attempt
 from vocara.plans.ingest import extract_jobs
 
-BAD = "Sorry, no object."
+BAD = "nothing to report"
 
 
 def scripted(outputs):
@@ -62,7 +62,7 @@ def test_equal_texts_are_asked_once_and_keep_the_first_origin(spark):
     fresh, failed, calls = extract_jobs(scanned, scripted(SCRIPT))
     assert calls.count() == 1 and failed.count() == 0
     job = fresh.first()
-    assert job.url == "https://x/0" and job.visa_sponsorship == "yes"
+    assert job.url == "https://x/0" and job.visa_sponsorship == "yes" and job.title == GOOD["title"]
 
 
 def test_cache_answers_without_a_call(spark):
@@ -87,10 +87,10 @@ def test_requests_are_distinct_and_skip_the_cache(spark):
 
 
 def test_rule_provider_passes_validation(spark):
-    scanned = texts(spark, ["Senior Go Engineer\nAcme\nDublin, Ireland\nvisa sponsorship"])
+    scanned = texts(spark, ["Lead Cartographer\nTerra Maps\nCork, Ireland\nwork permit provided"])
     fresh, failed, _ = extract_jobs(scanned, extraction.rule_provider())
     job = fresh.first()
-    assert failed.count() == 0 and (job.country, job.seniority, job.visa_sponsorship) == ("IE", "senior", "yes")
+    assert failed.count() == 0 and (job.country, job.seniority, job.visa_sponsorship) == ("IE", "lead", "yes")
 
 
 @pytest.mark.parametrize(("retries", "tiers"), [(0, ["fast", "strong"]), (2, ["fast", "fast", "fast", "strong"])])
@@ -106,3 +106,20 @@ def test_prices(spark):
     texts_df = spark.createDataFrame([("x" * 4_000_000,), ("y",)], "text string")
     embedded = cost.embedding_calls(texts_df, extraction.token_estimate(F.col("text")))
     assert tuple(cost.cost_summary(cost.call_cost(embedded)).first()) == (2, 1_000_001, 0, 0.02)
+
+
+def test_silent_and_raising_calls_lose_no_text(spark):
+    def complete(batch: pd.DataFrame) -> pd.DataFrame:
+        if batch["text"].str.contains("boom").any():
+            raise RuntimeError("quota spent")
+        # "late" is only answered by the strong tier, "mute" never.
+        heard = batch[(batch["text"] != "mute") & ((batch["text"] != "late") | (batch["tier"] == "strong"))]
+        return heard.assign(model="m", output=json.dumps(GOOD), input_tokens=1, output_tokens=1)
+
+    asked = texts(spark, ["fine", "boom", "late", "mute"]).coalesce(1)
+    calls = extract_cascade(asked.select("text_hash", "text"), batch_provider(complete))
+    solved = {r.text: (r.attempt, r.attempts, r.error) for r in first_valid_attempt(calls).join(asked, "text_hash").collect()}
+    assert solved == {
+        "fine": (1, 1, None), "boom": (None, 1, "quota spent"), "late": (3, 3, None),
+        "mute": (None, 3, "extraction failed: unanswered"),
+    }

@@ -3,13 +3,13 @@ from pyspark.sql import functions as F
 
 from vocara.operators.dedup import DenseVectors
 from vocara.operators.extraction import batch_provider, rule_provider
-from vocara.functions.vectors import vocabulary_vector
-from vocara.plans.ingest import ingest
+from vocara.functions.vectors import HASHED_DIM
+from vocara.plans.ingest import batch_embedder, embed_hashed, ingest
 from vocara.streaming import ingest as streaming
 
 PAGES = {
-    "https://board/1": "<h1>Senior Go Engineer</h1><p>Acme - Dublin, Ireland</p><p>Kafka, visa sponsorship</p>",
-    "https://board/2": "<h1>Python Data Engineer</h1><p>Beta - Berlin, Germany</p><p>AWS</p>",
+    "https://board/1": "<h1>Lead Cartographer</h1><p>Terra Maps - Cork, Ireland</p><p>Spark, a relocation bonus</p>",
+    "https://board/2": "<h1>Beekeeper</h1><p>Honig AG - Kiel, Germany</p><p>React</p>",
     "https://board/3": "<h1>Broken</h1>",
 }
 ITEMS = [(0, "a", "https://board/1"), (1, "a", "https://board/bad"), (2, "b", "https://board/1"), (3, "b", "https://board/2")]
@@ -33,8 +33,8 @@ def test_duplicates_and_failures_stay_apart(spark):
         2: ("duplicate", None), 3: ("indexed", None),
     }
     assert done.index.count() == 2 and done.calls.count() == 2 and done.cache.count() == 2
-    acme = done.jobs.filter("company = 'Acme'").first()
-    assert (acme.url, acme.source, acme.visa_sponsorship, acme.country) == ("https://board/1", "a", "yes", "IE")
+    maps = done.jobs.filter("company = 'Terra Maps'").first()
+    assert (maps.url, maps.source, maps.visa_sponsorship, maps.country) == ("https://board/1", "a", "yes", "IE")
     # A second run against what is stored finds nothing new and asks nothing.
     items, pages = tables(spark, [(10, "c", "https://board/2")])
     stored = done.entries.select("seq", *[c for c in done.entries.columns if c != "seq"])
@@ -49,12 +49,26 @@ def test_extraction_errors_and_a_dense_embedder(spark):
         return batch.assign(model="m", output=answers, input_tokens=10, output_tokens=5)
 
     items = [(0, "a", "https://board/1"), (1, "a", "https://board/3"), (2, "b", "https://board/2")]
-    embed = lambda texts: texts.select("seq", vocabulary_vector(F.col("text")).alias("vector"))
-    done = ingest(*tables(spark, items), batch_provider(complete), embedder=embed, finder=DenseVectors(0.97))
+    done = ingest(*tables(spark, items), batch_provider(complete), embedder=embed_hashed, finder=DenseVectors(0.97))
     assert by_seq(done.outcomes) == {
         0: ("indexed", None), 1: ("error", "extract failed: extraction failed: json"), 2: ("indexed", None),
     }
-    assert done.calls.count() == 5 and done.index.select(F.size("vector")).first()[0] == 10
+    assert done.calls.count() == 5 and done.index.select(F.size("vector")).first()[0] == HASHED_DIM
+
+
+def test_what_the_embedder_leaves_out_is_an_error_of_that_item(spark):
+    def embed(texts: list[str]) -> list[list[float]]:
+        if any("Beekeeper" in t for t in texts):
+            raise RuntimeError("refused")
+        return [[float(len(t)), 1.0] if "Broken" not in t else [1.0] for t in texts]
+
+    items = [(i, "a", url) for i, url in enumerate(PAGES)] + [(9, "b", "https://board/2")]
+    done = ingest(*tables(spark, items), rule_provider(), embedder=batch_embedder(embed, 2), finder=DenseVectors(0.97))
+    assert by_seq(done.outcomes) == {
+        0: ("indexed", None), 1: ("error", "index failed: refused"),
+        2: ("error", "index failed: expected a vector of width 2, got 1"), 9: ("error", "index failed: refused"),
+    }
+    assert done.embedded.count() == 3
 
 
 def test_stream_continues_and_replays_change_nothing(spark, tmp_path):

@@ -2,18 +2,18 @@ from pyspark.sql import functions as F
 
 from vocara.functions import rules
 from vocara.operators.extraction import rule_extract
+from vocara.sources.readers import clean_pages
 
 
 VISA_CASES = [
-    (["EU Blue Card"], None, "unknown", "yes"),
-    ([], "We offer visa sponsorship and relocation.", "no", "yes"),
-    (["relocation package"], "Must already have the right to work; no visa sponsorship.", "yes", "no"),
+    (["LMIA ready"], None, "no", "yes"),
+    ([], "Newcomers get a relocation bonus.", "unknown", "yes"),
+    (["work permit provided"], "Sadly we are unable to sponsor interns.", "yes", "no"),
     ([], None, "unknown", "unknown"),
-    ([], None, "yes", "yes"),
-    (["we do not provide visa sponsorship"], None, "no", "yes"),
-    (["casino sponsorship"], None, "yes", "no"),
+    (None, "", "yes", "yes"),
+    (["sponsor of the local choir"], None, "no", "no"),
     (["valid work authorisation"], None, "unknown", "unknown"),
-    (["HSM route"], None, "no", "yes"),
+    (["an hsm permit"], None, "no", "yes"),
     (["ashsmx"], None, "no", "no"),
 ]
 
@@ -25,6 +25,14 @@ def test_visa_rules(spark):
     assert [r.x for r in got] == [case[3] for case in VISA_CASES]
 
 
+def test_the_body_counts_whole(spark):
+    body = "filler " * 3000 + "we will sponsor you"
+    row = spark.createDataFrame([([], None, "unknown", body)], "s array<string>, d string, m string, b string")
+    assert row.select(rules.refine_visa(F.col("s"), F.col("d"), F.col("m"), F.col("b"))).first()[0] == "yes"
+    page = spark.createDataFrame([("<h1>T</h1><p>C</p><p>" + body + "</p>",)], "html string")
+    assert rule_extract(clean_pages(page)).first().visa_sponsorship == "yes"
+
+
 def test_evidence_names_the_patterns(spark):
     row = spark.createDataFrame([("relocation package; no visa sponsorship",)], "t string")
     hits = row.select(
@@ -35,20 +43,19 @@ def test_evidence_names_the_patterns(spark):
 
 CASES = [
     (
-        "Senior Go Engineer\nAcme Cloud - Dublin, Ireland (Hybrid)\nWe are hiring in Go. 5+ years required. "
-        "We offer visa sponsorship and a relocation package (Critical Skills Permit).",
-        ("Senior Go Engineer", "Acme Cloud", "Dublin, Ireland", "IE", "hybrid", "senior", "yes"),
+        "Lead Cartographer\nTerra Maps - Lyon, France (hybrid)\nOur maps run on Spark; a relocation bonus and "
+        "visa sponsorship are part of the offer, also under Critical Skills.",
+        ("Lead Cartographer", "Terra Maps", "Lyon, France", "FR", "hybrid", "lead", "yes"),
     ),
     (
-        "Frontend Developer\nBeta Corp - Berlin, Germany (On-site)\nMid-level React developer. Applicants must already "
-        "have the right to work in Germany; we do not provide visa sponsorship.",
-        ("Frontend Developer", "Beta Corp", "Berlin, Germany", "DE", "onsite", "mid", "no"),
+        "Beekeeper\nHonig AG - Kiel, Germany\nJunior-level, on-site, with React dashboards; no sponsorship.",
+        ("Beekeeper", "Honig AG", "Kiel, Germany", "DE", "onsite", "junior", "no"),
     ),
     (
-        "Staff Platform Engineer\nGamma Labs - Remote (EU)\nEngineer for our Kubernetes platform.",
-        ("Staff Platform Engineer", "Gamma Labs", "Remote", None, "remote", "staff", "unknown"),
+        "Principal Diver\nReef Watch - Anywhere (EU)\nA remote desk between dives.",
+        ("Principal Diver", "Reef Watch", "Anywhere", None, "remote", "staff", "unknown"),
     ),
-    ("Engineer\nDelta\nParis, France\nWe ask for 3 years of Rust.", ("Engineer", "Delta", "Paris, France", "FR", "unknown", "mid", "unknown")),
+    ("Clerk\nQuill\nPorto, Portugal\nWe ask for 3 years of Rust.", ("Clerk", "Quill", "Porto, Portugal", "PT", "unknown", "mid", "unknown")),
     ("", ("", "", None, None, "unknown", "unknown", "unknown")),
 ]
 
@@ -59,7 +66,7 @@ def test_rule_extraction(spark):
     for row, (_, expected) in zip(got, CASES):
         assert (row.title, row.company, row.location, row.country, row.remote, row.seniority, row.visa_sponsorship) == expected
     assert got[1].stack == ["React"]
-    assert got[0].visa_signals == ["visa sponsorship", "relocation package", "Critical Skills"]
+    assert got[0].visa_signals == ["relocation bonus", "visa sponsorship", "Critical Skills"]
 
 
 def test_salary_range(spark):

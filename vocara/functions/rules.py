@@ -77,11 +77,10 @@ VISA_CORES = (
 )
 
 
-def visa_text(signals: Column, summary: Column) -> Column:
-    """Lower-cased phrases and summary, the text the visa rules look at."""
-    return F.lower(
-        F.concat_ws(" ", F.array_join(signals, " "), F.coalesce(summary, F.lit("")))
-    )
+def visa_text(signals: Column, summary: Column, body: Column | None = None) -> Column:
+    """Lower-cased phrases, summary and, if given, the whole posting: what the visa rules look at."""
+    parts = [F.array_join(signals, " "), F.coalesce(summary, F.lit("")), *([] if body is None else [body])]
+    return F.lower(F.concat_ws(" ", *parts))
 
 
 def classify_visa(
@@ -98,8 +97,8 @@ def classify_visa(
     )
 
 
-def refine_visa(signals: Column, summary: Column, model_value: Column) -> Column:
-    return classify_visa(visa_text(signals, summary), model_value)
+def refine_visa(signals: Column, summary: Column, model_value: Column, body: Column | None = None) -> Column:
+    return classify_visa(visa_text(signals, summary, body), model_value)
 
 
 def matched_patterns(text: Column, patterns: tuple[str, ...], label: str) -> Column:

@@ -219,8 +219,10 @@ def job_text(
     stack: Column,
     visa: Column,
     summary: Column,
+    body: Column | None = None,
 ) -> Column:
-    """The rendering of a job that is embedded: six fixed lines and the summary."""
+    """The rendering of a job that is embedded: six fixed lines, the summary and, if given, the
+    whole text of the posting."""
     or_else = lambda value, fallback: F.coalesce(F.nullif(value, F.lit("")), F.lit(fallback))
     return F.concat_ws(
         "\n",
@@ -233,11 +235,12 @@ def job_text(
         F.concat(F.lit("stack: "), or_else(F.array_join(stack, ", "), "n/a")),
         F.concat(F.lit("visa sponsorship: "), visa),
         F.nullif(summary, F.lit("")),
+        F.lit(None).cast("string") if body is None else F.nullif(body, F.lit("")),
     )
 
 
-def job_text_of(prefix: str = "") -> Column:
+def job_text_of(prefix: str = "", body: Column | None = None) -> Column:
     names = (
         "title company seniority location country remote stack visa_sponsorship description_summary"
     ).split()
-    return job_text(*[F.col(prefix + name) for name in names])
+    return job_text(*[F.col(prefix + name) for name in names], body)

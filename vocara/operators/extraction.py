@@ -17,7 +17,8 @@ from vocara.operators.picking import keep_first
 from vocara.operators.validation import json_from_output, validate_records
 from vocara.session import materialize
 
-# A provider turns (text_hash, text, tier, attempt) into RESPONSE rows.
+# A provider turns (text_hash, text, tier, attempt) into RESPONSE rows; one that never fails may
+# leave out ``error``, which tells why a call failed for another reason than its answer.
 Provider = Callable[[DataFrame], DataFrame]
 RESPONSE = T.StructType(
     [
@@ -28,6 +29,7 @@ RESPONSE = T.StructType(
         T.StructField("output", T.StringType()),
         T.StructField("input_tokens", T.LongType()),
         T.StructField("output_tokens", T.LongType()),
+        T.StructField("error", T.StringType()),
     ]
 )
 MAX_OUTPUT_TOKENS = 1_500
@@ -86,11 +88,33 @@ def build_requests(postings: DataFrame, cache: DataFrame | None = None) -> DataF
 
 
 def batch_provider(complete: Callable[[pd.DataFrame], pd.DataFrame]) -> Provider:
-    """A provider from a function over pandas batches (one model client per worker)."""
+    """A provider from a function over pandas batches (one model client per worker).
+
+    A batch that raises is asked again text by text, so that only the texts at fault fail.
+    """
+
+    def answers(batch: pd.DataFrame) -> pd.DataFrame:
+        return complete(batch).reindex(columns=RESPONSE.fieldNames())
+
+    def fault(row: pd.DataFrame, error: Exception) -> pd.DataFrame:
+        failed = row[["text_hash", "attempt", "tier"]].assign(input_tokens=0, output_tokens=0, error=str(error))
+        return failed.reindex(columns=RESPONSE.fieldNames())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield complete(batch)[RESPONSE.fieldNames()]
+            try:
+                yield answers(batch)
+                continue
+            except Exception as error:
+                if len(batch) == 1:
+                    yield fault(batch, error)
+                    continue
+            for place in range(len(batch)):
+                row = batch.iloc[place : place + 1]
+                try:
+                    yield answers(row)
+                except Exception as error:
+                    yield fault(row, error)
 
     return lambda requests: requests.mapInPandas(run, RESPONSE)
 
@@ -99,8 +123,8 @@ def rule_extract(df: DataFrame, text: str = "text") -> DataFrame:
     """Adds the record that the extraction rules read off each posting text.
 
     The first line is the title and the second the company; the place is either the
-    third line or what follows `` - `` in the second, without its bracketed remark. A
-    posting short enough to be its own summary is.
+    third line or what follows `` - `` in the second, without its bracketed remark. The
+    rules write no summary.
 
     The first step passes over the whole text, once per kind of finding; the second only
     looks at what was found.
@@ -135,7 +159,7 @@ def rule_extract(df: DataFrame, text: str = "text") -> DataFrame:
         rules.salary_of(F.col("_salary")).alias("salary"),
         rules.visa_of_phrases(F.col("_phrases")).alias("visa_sponsorship"),
         F.col("_phrases").alias("visa_signals"),
-        F.when(F.length(body) <= S.MAX_SUMMARY_CHARS, body).alias("description_summary"),
+        F.lit(None).cast("string").alias("description_summary"),
     )
 
 
@@ -170,17 +194,31 @@ def extract_cascade(requests: DataFrame, provider: Provider, fast_retries: int =
 
     Each attempt runs over only the texts that still fail. Its checked responses are
     written to the shared folder before anything looks at them, so a call is made once.
+    A text the provider does not answer counts as a failed attempt (``unanswered``) and is
+    asked again; one whose call failed with an ``error`` is not.
     ``requests`` needs ``text_hash`` and ``text``, one row per text.
     """
     pending = requests.select("text_hash", "text")
     bought: DataFrame | None = None
     for attempt, tier in enumerate(attempt_tiers(fast_retries), start=1):
         asked = pending.withColumn("attempt", F.lit(attempt)).withColumn("tier", F.lit(tier))
-        responses = provider(asked).select(*RESPONSE.fieldNames())
-        checked = validate_records(json_from_output(responses)).drop("parsed", "json_text")
-        checked = materialize(checked, f"attempt-{attempt}")
+        responses = provider(asked)
+        if "error" not in responses.columns:
+            responses = responses.withColumn("error", F.lit(None).cast("string"))
+        answered = validate_records(json_from_output(responses.select(*RESPONSE.fieldNames())))
+        checked = asked.select("text_hash", "attempt", "tier").join(
+            answered.drop("parsed", "json_text", "attempt", "tier"), "text_hash", "left"
+        )
+        checked = materialize(checked.withColumns(
+            {
+                "errors": F.when(F.col("error").isNotNull(), F.array(F.lit("call")))
+                .otherwise(F.coalesce("errors", F.array(F.lit("unanswered")))),
+                "input_tokens": F.coalesce("input_tokens", F.lit(0)),
+                "output_tokens": F.coalesce("output_tokens", F.lit(0)),
+            }
+        ).select(*RESPONSE.fieldNames(), "errors", "record"), f"attempt-{attempt}")
         bought = checked if bought is None else bought.unionByName(checked)
-        failed = checked.filter(F.size("errors") > 0).select("text_hash")
+        failed = checked.filter((F.size("errors") > 0) & F.col("error").isNull()).select("text_hash")
         if failed.isEmpty():
             break
         pending = pending.join(failed, "text_hash", "left_semi")
@@ -188,39 +226,30 @@ def extract_cascade(requests: DataFrame, provider: Provider, fast_retries: int =
 
 
 def first_valid_attempt(responses: DataFrame) -> DataFrame:
-    """Per text the first valid attempt, or ``extraction failed`` after the last one.
+    """Per text the first valid attempt, or why there is none: the ``error`` of a call, else
+    ``extraction failed`` with the findings of the last attempt.
 
     Expects validated responses; returns ``text_hash``, ``attempt`` (null on failure),
-    ``attempts`` (calls made up to it), ``record`` and ``error``.
+    ``attempts`` (calls made up to it), ``record`` and ``error``. One pass, one exchange.
     """
-    valid = F.size("errors") == 0
-    per_text = responses.groupBy("text_hash").agg(
-        F.min(F.when(valid, F.col("attempt"))).alias("attempt"),
+    fault = F.col("error") if "error" in responses.columns else F.lit(None).cast("string")
+    rows = responses.select("text_hash", "attempt", "record", "errors", fault.alias("fault"))
+    won = F.when(F.size("errors") == 0, F.col("attempt"))
+    per_text = rows.groupBy("text_hash").agg(
+        F.min(won).alias("attempt"),
         F.max("attempt").alias("last_attempt"),
+        F.min_by("record", won).alias("record"),
+        F.max_by("errors", "attempt").alias("findings"),
+        F.max_by("fault", F.when(F.col("fault").isNotNull(), F.col("attempt"))).alias("fault"),
     )
-    records = responses.filter(valid).select("text_hash", "attempt", "record")
-    last_errors = responses.select(
-        "text_hash", F.col("attempt").alias("last_attempt"), F.array_join("errors", ",").alias("why")
-    )
-    failed = (
-        per_text.filter(F.col("attempt").isNull())
-        .join(last_errors, ["text_hash", "last_attempt"])
-        .select(
-            "text_hash",
-            "attempt",
-            F.col("last_attempt").alias("attempts"),
-            F.lit(None).cast(S.EXTRACTED).alias("record"),
-            F.concat(F.lit("extraction failed: "), F.col("why")).alias("error"),
-        )
-    )
-    won = per_text.join(records, ["text_hash", "attempt"]).select(
+    why = F.coalesce("fault", F.concat(F.lit("extraction failed: "), F.array_join("findings", ",")))
+    return per_text.select(
         "text_hash",
         "attempt",
-        F.col("attempt").alias("attempts"),
+        F.coalesce("attempt", "last_attempt").alias("attempts"),
         "record",
-        F.lit(None).cast("string").alias("error"),
+        F.when(F.col("attempt").isNull(), why).alias("error"),
     )
-    return won.unionByName(failed)
 
 
 def cache_lookup(postings: DataFrame, cache: DataFrame | None) -> tuple[DataFrame, DataFrame]:

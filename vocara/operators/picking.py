@@ -17,5 +17,12 @@ def keep_first(rows: DataFrame, key: str, order: str) -> DataFrame:
     return _first_by(rows, key, F.asc(order))
 
 
+def first_texts(rows: DataFrame) -> DataFrame:
+    """The first row (by ``seq``) of each ``text_hash``. Decided on the two narrow columns, so
+    only the texts that stay are fetched."""
+    first = rows.groupBy("text_hash").agg(F.min("seq").alias("seq"))
+    return rows.join(first, ["text_hash", "seq"], "left_semi")
+
+
 def keep_last(rows: DataFrame, key: str, order: str) -> DataFrame:
     return _first_by(rows, key, F.desc(order))

@@ -22,7 +22,7 @@ SELECT d.doc_id AS seq, d.source,
        CASE WHEN d.doc_id % 11 <> 0 THEN concat(n.n_name, d.place) END AS location,
        d.country, d.remote, d.seniority, d.stack_csv, d.visa_raw, v.phrase,
        v.truth AS visa_truth, d.salary_text, d.years,
-       CASE WHEN length(d.text) <= 600 THEN d.text END AS description_summary,
+       concat('Advert ', CAST(d.doc_id AS STRING), ' of ', s.s_name, ' on ', d.source) AS description_summary,
        d.text, e.embedding AS vector
 FROM (SELECT doc_id, source, text,
              CASE doc_id % 6 WHEN 0 THEN 'IE' WHEN 1 THEN 'DE' WHEN 2 THEN 'NL' WHEN 3 THEN 'CA' WHEN 4 THEN 'US' END AS country,
@@ -31,8 +31,8 @@ FROM (SELECT doc_id, source, text,
              CASE doc_id % 4 WHEN 0 THEN 'remote' WHEN 1 THEN 'hybrid' WHEN 2 THEN 'onsite' ELSE 'unknown' END AS remote,
              CASE doc_id % 7 WHEN 0 THEN 'junior' WHEN 1 THEN 'mid' WHEN 2 THEN 'senior' WHEN 3 THEN 'staff'
                              WHEN 4 THEN 'lead' ELSE 'unknown' END AS seniority,
-             CASE doc_id % 8 WHEN 0 THEN 'Go,Kafka,Kubernetes,gRPC' WHEN 1 THEN 'Python,AWS' WHEN 2 THEN 'React,TypeScript'
-                             WHEN 3 THEN 'Go,AWS' WHEN 4 THEN 'Java,Kafka,PostgreSQL' WHEN 5 THEN 'Scala,Spark'
+             CASE doc_id % 8 WHEN 0 THEN 'Rust,Redis,Terraform' WHEN 1 THEN 'Python,GCP' WHEN 2 THEN 'React,TypeScript'
+                             WHEN 3 THEN 'Go,Docker' WHEN 4 THEN 'Java,Kafka,PostgreSQL' WHEN 5 THEN 'Scala,Spark'
                              WHEN 6 THEN 'Rust,Kubernetes,Docker' ELSE '' END AS stack_csv,
              CASE doc_id % 3 WHEN 0 THEN 'yes' WHEN 1 THEN 'no' ELSE 'unknown' END AS visa_raw,
              CASE WHEN doc_id % 5 = 0 THEN concat(CAST(40 + doc_id % 50 AS STRING), ',000 - ',
@@ -57,7 +57,8 @@ JOIN (VALUES (0, 'visa sponsorship available', 'yes'), (1, 'we can sponsor a vis
 """
 
 # A captured page for every posting, with the whole document as its body. Labelled
-# documents are posted a second time, on another board and with one more line.
+# documents are posted a second time, on another board and with one more line. The columns
+# behind ``html`` are what the page was made from.
 POSTING_PAGES = """
 SELECT q.item AS seq, q.board AS source, q.address AS url,
        concat('<!doctype html><html><head><title>', q.title, ' - ', q.company, '</title><script>var t="</p>";</script></head>',
@@ -67,18 +68,19 @@ SELECT q.item AS seq, q.board AS source, q.address AS url,
                    ELSE concat('<li>', q.seniority, '-level role</li>') END,
               '<li>', q.phrase, '</li><li>Stack: ', q.stack_csv, '</li><li>', q.salary_text, '</li>', q.note, '</ul><section><p>',
               replace(replace(replace(q.text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'),
-              '</p></section></main><footer>All rights reserved</footer></body></html>') AS html
+              '</p></section></main><footer>All rights reserved</footer></body></html>') AS html,
+       q.title, q.company, q.seniority, q.visa_truth AS visa_sponsorship, q.remote
 FROM (WITH base AS (""" + POSTINGS + """)
-      SELECT base.*, base.seq AS item, base.source AS board, base.url AS address, '' AS note FROM base
+      SELECT base.*, 3 * base.seq AS item, base.source AS board, base.url AS address, '' AS note FROM base
       UNION ALL
-      SELECT base.*, 500000000 + base.seq AS item, 'mirror' AS board, concat(base.url, '/repost') AS address, '<li>Reposted</li>' AS note
+      SELECT base.*, 3 * base.seq + 1 AS item, 'mirror' AS board, concat(base.url, '/repost') AS address, '<li>Reposted</li>' AS note
       FROM base JOIN {labels} l ON l.doc_id = base.seq) q
 """
 
 # Three captured model answers per posting: prose, fences, wrong types, good records.
 ANSWERS = """
 SELECT q.seq, q.text, q.attempt,
-       CASE WHEN q.kind = 0 THEN concat('Unstructured remark on ', q.title, '.')
+       CASE WHEN q.kind = 0 THEN concat('The advert (', q.title, ') came back empty')
             WHEN q.kind = 7 THEN concat('{{"title":"', q.title, '","stack":[]}}')
             WHEN q.kind = 8 THEN concat('{{"title":"', q.title, '"}} {{"company":"', q.company, '"}}')
             WHEN q.kind = 10 THEN concat('```json', chr(10), q.head, ',"stack":["Go","Kafka"]}}', chr(10), '```')
@@ -113,9 +115,9 @@ FROM {pages} p {attempts}
 
 # Work items: every captured page, and one url per label that was never captured.
 WORK_ITEMS = """
-SELECT page_id AS seq, concat('board', CAST(page_id % 9 AS STRING)) AS source, url FROM {pages}
+SELECT 3 * page_id AS seq, concat('board', CAST(page_id % 9 AS STRING)) AS source, url FROM {pages}
 UNION ALL
-SELECT 1000000000 + doc_id AS seq, 'lost' AS source, concat('https://lost.example.com/', CAST(doc_id AS STRING)) AS url FROM {labels}
+SELECT 3 * doc_id + 2 AS seq, 'lost' AS source, concat('https://lost.example.com/', CAST(doc_id AS STRING)) AS url FROM {labels}
 """
 
 # A call log: one call per conversation turn, four characters to a token.

@@ -11,7 +11,7 @@ from vocara.functions.keys import text_hash
 from vocara.functions.rules import refine_visa
 from vocara.operators.evaluation import compare_fields, eval_mistakes, field_accuracy, overall_accuracy
 from vocara.operators.extraction import Provider, extract_cascade, first_valid_attempt
-from vocara.operators.picking import keep_first
+from vocara.operators.picking import first_texts
 from vocara.sources.readers import clean_pages
 from vocara.session import materialize
 
@@ -29,7 +29,7 @@ def evaluate(gold: DataFrame, provider: Provider, fast_retries: int = 1) -> Eval
     and the critical fields. Cases of equal text share one extraction."""
     texts = clean_pages(gold.select("case_id", "html")).withColumn("text_hash", text_hash(F.col("text")))
     texts = materialize(texts, "gold-texts")
-    calls = extract_cascade(keep_first(texts, "text_hash", "case_id"), provider, fast_retries)
+    calls = extract_cascade(first_texts(texts.withColumnRenamed("case_id", "seq")), provider, fast_retries)
     solved = first_valid_attempt(calls).filter(F.col("error").isNull()).select("text_hash", "record.*")
     predictions = texts.select("case_id", "text_hash").join(solved, "text_hash").withColumn(
         "visa_sponsorship",

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vocara import schemas as S
 from vocara.functions.rules import refine_visa
 from vocara.functions.text import job_text_of, word_set
+from vocara.functions.vectors import hashed_vector
 from vocara.operators.dedup import THRESHOLD, Finder, WordSets, dedup_near
 from vocara.operators.extraction import (
     Provider,
@@ -18,16 +20,18 @@ from vocara.operators.extraction import (
     cache_store,
     extract_cascade,
     first_valid_attempt,
+    token_estimate,
 )
 from vocara.operators.index import index_upsert
 from vocara.operators.outcomes import ingest_outcomes, route_outcome
-from vocara.operators.picking import keep_first
+from vocara.operators.picking import first_texts
 from vocara.operators.validation import add_provenance
 from vocara.session import materialize
 from vocara.sources.readers import scan_pages
 
 JOB_COLUMNS = S.JOB.fieldNames()
-# An embedder turns (seq, text) into (seq, words) or (seq, vector).
+# An embedder turns (seq, text) into (seq, words) or (seq, vector); it may add ``error``, and what
+# it gives no vector is an error of that item.
 Embedder = Callable[[DataFrame], DataFrame]
 
 
@@ -35,12 +39,14 @@ class Ingested(NamedTuple):
     """``entries`` and ``fresh`` are what this run adds to ``index`` and ``cache``.
 
     ``entries`` are all kept jobs with their vectors. The index shows the last of each
-    content hash, but later runs must be held against every kept row.
+    content hash, but later runs must be held against every kept row. ``embedded`` are the
+    texts that were embedded, one per text, with the tokens they are billed for.
     """
 
     outcomes: DataFrame
     jobs: DataFrame
     calls: DataFrame
+    embedded: DataFrame
     entries: DataFrame
     index: DataFrame
     fresh: DataFrame
@@ -52,6 +58,48 @@ def embed_words(texts: DataFrame) -> DataFrame:
     return texts.select("seq", word_set(F.col("text")).alias("words"))
 
 
+def embed_hashed(texts: DataFrame) -> DataFrame:
+    """The keyless dense embedder: words hashed to the places of a unit vector."""
+    return texts.select("seq", hashed_vector(F.col("text")).alias("vector"))
+
+
+def batch_embedder(embed: Callable[[list[str]], list[list[float]]], dim: int) -> Embedder:
+    """An embedder from a function over lists of texts (one client per worker).
+
+    A batch that raises is embedded again text by text; a text that still raises, and a vector
+    of another width than ``dim``, is an error of that text alone.
+    """
+
+    def one(text: str) -> tuple[list[float] | None, str | None]:
+        try:
+            return embed([text])[0], None
+        except Exception as error:
+            return None, str(error)
+
+    def pairs(texts: list[str]) -> list[tuple[list[float] | None, str | None]]:
+        try:
+            found = embed(texts)
+            if len(found) == len(texts):
+                return [(vector, None) for vector in found]
+        except Exception:
+            pass
+        return [one(text) for text in texts]
+
+    def checked(vector: list[float] | None, error: str | None) -> tuple[list[float] | None, str | None]:
+        if vector is not None and len(vector) != dim:
+            return None, f"expected a vector of width {dim}, got {len(vector)}"
+        return vector, error
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [checked(*pair) for pair in pairs(batch["text"].tolist())]
+            yield pd.DataFrame(
+                {"seq": batch["seq"].to_numpy(), "vector": [v for v, _ in found], "error": [e for _, e in found]}
+            )
+
+    return lambda texts: texts.select("seq", "text").mapInPandas(run, "seq bigint, vector array<double>, error string")
+
+
 def extract_jobs(
     scanned: DataFrame,
     provider: Provider,
@@ -64,7 +112,7 @@ def extract_jobs(
     url and time of the first page that carried the text; ``failed`` the error per text.
     """
     _, misses = cache_lookup(scanned, cache)
-    first = materialize(keep_first(misses, "text_hash", "seq"), "requests")
+    first = materialize(first_texts(misses), "requests")
     calls = extract_cascade(first, provider, fast_retries)
     solved = materialize(first_valid_attempt(calls), "solved")
     good, failed = route_outcome(solved)
@@ -101,8 +149,10 @@ def ingest_scanned(
 ) -> Ingested:
     """All stages after the page was fetched: ``seq, source, url, text, text_hash, error``.
 
-    A failed item carries a message that starts with ``fetch failed`` or ``extract failed``
-    and skips the rest. Stage outputs that several later stages read are written to the
+    A failed item carries a message that starts with ``fetch failed``, ``extract failed`` or,
+    for any later failure, ``index failed``, and skips the rest: every item has one outcome.
+    A text is embedded once, however often it is posted: the rendering of its record and,
+    where the answer holds no summary, the whole text. Stage outputs that several later stages read are written to the
     shared folder once.
     """
     finder = finder or WordSets(THRESHOLD)
@@ -121,7 +171,26 @@ def ingest_scanned(
         F.concat(F.lit("extract failed: "), F.col("error")).alias("error"),
     )
 
-    vectors = materialize(embedder(extracted.select("seq", job_text_of().alias("text"))), "vectors")
+    texts = first_texts(fetched.select("seq", "text_hash", "text")).join(known, "text_hash")
+    body = F.when(F.col("description_summary").isNull(), F.col("text"))
+    rendered = materialize(texts.select("seq", "text_hash", job_text_of(body=body).alias("text")), "rendered")
+    answered = embedder(rendered.select("seq", "text"))
+    (kind,) = {"words", "vector"} & set(answered.columns)
+    why = F.col("error") if "error" in answered.columns else F.lit(None).cast("string")
+    by_text = materialize(
+        rendered.select("seq", "text_hash").join(answered.select("seq", kind, why.alias("why")), "seq", "left")
+        .select("text_hash", kind, F.when(F.col(kind).isNull(), F.coalesce("why", F.lit("no vector"))).alias("why")),
+        "embedded",
+    )
+    embedded = extracted.select("seq", "text_hash", "item_source", "item_url").join(by_text, "text_hash")
+    vectors = materialize(embedded.filter(F.col("why").isNull()).select("seq", kind), "vectors")
+    index_errors = embedded.filter(F.col("why").isNotNull()).select(
+        "seq",
+        F.col("item_source").alias("source"),
+        F.col("item_url").alias("url"),
+        F.concat(F.lit("index failed: "), F.col("why")).alias("error"),
+    )
+    billed = rendered.select("text_hash", token_estimate(F.col("text")).alias("input_tokens"))
     verdict = materialize(dedup_near(vectors, finder, index), "verdict")
     judged = extracted.join(verdict, "seq")
     as_item = lambda df: df.select(
@@ -129,8 +198,8 @@ def ingest_scanned(
     )
     kept = judged.filter(~F.col("is_duplicate"))
     outcomes = ingest_outcomes(
-        as_item(kept), as_item(judged.filter("is_duplicate")), fetch_errors, extract_errors
+        as_item(kept), as_item(judged.filter("is_duplicate")), fetch_errors, extract_errors, index_errors
     )
     jobs = kept.select("seq", *JOB_COLUMNS)
     entries = jobs.join(vectors, "seq")
-    return Ingested(outcomes, jobs, calls, entries, index_upsert(index, entries), fresh, known)
+    return Ingested(outcomes, jobs, calls, billed, entries, index_upsert(index, entries), fresh, known)

@@ -92,8 +92,8 @@ def visa(expr: str, fallback: str) -> str:
     )
 
 
-def visa_text(phrase: str, summary: str) -> str:
-    return f"lower({phrase} || ' ' || coalesce({summary}, ''))"
+def visa_text(phrase: str, summary: str, body: str) -> str:
+    return f"lower(concat({phrase}, ' ', {summary}, ' ', {body}))"
 
 
 def first_of(expr: str, terms, default: str) -> str:
@@ -101,12 +101,12 @@ def first_of(expr: str, terms, default: str) -> str:
     return f"CASE {arms} ELSE {default} END"
 
 
-def job_rendering(stack: str) -> str:
+def job_rendering(stack: str, body: str) -> str:
     return (
         "concat_ws(chr(10), title || ' at ' || company, 'seniority: ' || seniority, "
         "'location: ' || coalesce(nullif(location, ''), 'unknown') || ' (' || coalesce(nullif(country, ''), '?') || ')', "
         f"'remote: ' || remote, 'stack: ' || coalesce(nullif({stack}, ''), 'n/a'), "
-        "'visa sponsorship: ' || visa_sponsorship, nullif(description_summary, ''))"
+        f"'visa sponsorship: ' || visa_sponsorship, nullif(description_summary, ''), nullif({body}, ''))"
     )
 
 
@@ -140,8 +140,8 @@ def scores(countries) -> tuple[str, str]:
 
 JOBS = f"""jobs AS (
   SELECT seq, source, url, title, company, location, country, remote, seniority, stack_csv,
-         {visa(visa_text("phrase", "description_summary"), "visa_raw")} AS visa_sponsorship,
-         phrase, description_summary, vector,
+         {visa(visa_text("phrase", "description_summary", "text"), "visa_raw")} AS visa_sponsorship,
+         phrase, description_summary, text, vector,
          {content_key("company", "title", "location")} AS content_hash
   FROM ({derived(D.POSTINGS)}) p)"""
 INDEX = JOBS + """, idx AS (SELECT * FROM jobs QUALIFY row_number() OVER (PARTITION BY content_hash ORDER BY seq DESC) = 1)"""
@@ -268,9 +268,9 @@ fetched AS (SELECT f.url, f.attempt, t.html, CASE WHEN f.attempt IS NULL THEN 'f
     FROM first_try f LEFT JOIN attempts t ON t.url = f.url AND t.attempt = f.attempt)"""
 OUTCOMES = f"""{FETCHED}, items AS ({derived(D.WORK_ITEMS)}),
 joined AS (SELECT i.seq, i.source, i.url, coalesce(f.error, CASE WHEN f.attempt IS NULL THEN 'fetch failed: no page for ' || i.url END) AS error,
-    regexp_extract(i.url, '^https?://([^/]*)', 1) AS site FROM items i LEFT JOIN fetched f USING (url)),
+    sha256(f.html) AS page_hash FROM items i LEFT JOIN fetched f USING (url)),
 outcomes AS (SELECT seq, source, url, CASE WHEN error IS NOT NULL THEN 'error'
-    WHEN row_number() OVER (PARTITION BY error IS NULL, site ORDER BY seq) = 1 THEN 'indexed' ELSE 'duplicate' END AS outcome, error
+    WHEN row_number() OVER (PARTITION BY error IS NULL, page_hash ORDER BY seq) = 1 THEN 'indexed' ELSE 'duplicate' END AS outcome, error
     FROM joined)"""
 
 PAGES = f"posting_pages AS ({derived(D.POSTING_PAGES)})"
@@ -303,11 +303,11 @@ ruled AS (SELECT seq, source, url, text, sha256(text) AS text_hash, {LINE.format
   TRY_CAST(replace(nullif({_salary(1)}, ''), ',', '') AS DOUBLE) AS salary_min,
   TRY_CAST(replace(nullif({_salary(2)}, ''), ',', '') AS DOUBLE) AS salary_max,
   nullif({_salary(3)}, '') AS currency, nullif({_salary(4)}, '') AS period,
-  CASE WHEN length(text) <= {S.MAX_SUMMARY_CHARS} THEN text END AS description_summary
+  CAST(NULL AS VARCHAR) AS description_summary
   FROM placed)"""
 REFINED = f"""{RULED}, refined AS (SELECT * REPLACE (
   {visa("lower(array_to_string(signals, ' ') || ' ' || coalesce(description_summary, ''))", "visa_sponsorship")} AS visa_sponsorship) FROM ruled)"""
-COMPARED = f"""{REFINED}, gold AS (SELECT seq AS case_id, title, company, seniority, visa_truth AS visa_sponsorship, remote FROM ({derived(D.POSTINGS)}) g),
+COMPARED = f"""{REFINED}, gold AS (SELECT seq AS case_id, title, company, seniority, visa_sponsorship, remote FROM posting_pages),
 compared AS ({" UNION ALL ".join(
     f"SELECT g.case_id, '{f}' AS field, lower(trim(g.{f})) AS gold, lower(trim(r.{f})) AS pred FROM gold g JOIN refined r ON r.seq = g.case_id"
     for f in S.CRITICAL_FIELDS)}),
@@ -339,14 +339,14 @@ SELECT url, CAST(attempt AS BIGINT) AS attempt, sha256(html) AS html_hash, error
 ORACLE["save_jobs"] = "SELECT count(*) AS lines, count(*) AS objects FROM documents"
 ORACLE["load_jobs"] = f"""WITH {JOBS} SELECT url, title, company, location, visa_sponsorship,
   replace(stack_csv, ',', '|') AS stack, description_summary, 1700000000 + seq AS fetched_epoch, content_hash FROM jobs"""
-ORACLE["load_gold"] = f"""WITH {PAGES} SELECT concat('case', g.seq) AS case_id, g.title, g.company, g.seniority, g.visa_truth AS visa_sponsorship, g.remote,
-  sha256(p.html) AS html_hash FROM ({derived(D.POSTINGS)}) g JOIN posting_pages p USING (seq)"""
+ORACLE["load_gold"] = f"""WITH {PAGES} SELECT concat('case', seq) AS case_id, title, company, seniority, visa_sponsorship, remote,
+  sha256(html) AS html_hash FROM posting_pages"""
 ORACLE["load_cv"] = f"SELECT {norm('text')} AS cv_words FROM benchmark"
 ORACLE["cache_lookup"] = f"""WITH {CACHE} SELECT d.doc_id, sha256(d.text) AS text_hash,
   sha256(d.text) IN (SELECT text_hash FROM cache) AS hit FROM documents d"""
-ORACLE["cache_store"] = f"""WITH {CACHE}, fresh AS (SELECT sha256(text) AS text_hash, max(doc_id) AS doc_id FROM documents
-  WHERE doc_id % 2 = 1 GROUP BY 1)
-SELECT * FROM cache WHERE text_hash NOT IN (SELECT text_hash FROM fresh) UNION ALL SELECT * FROM fresh"""
+ORACLE["cache_store"] = f"""WITH {CACHE}, fresh AS (SELECT sha256(text) AS text_hash, max(doc_id) AS doc_id FROM documents GROUP BY 1)
+SELECT sha256(text) AS text_hash, -max(item_id) AS doc_id FROM benchmark WHERE text NOT IN (SELECT text FROM documents) GROUP BY 1
+UNION ALL SELECT * FROM fresh"""
 ORACLE["index_upsert"] = f"""WITH {JOBS} SELECT content_hash, seq, title, company, location, visa_sponsorship FROM jobs
 QUALIFY row_number() OVER (PARTITION BY content_hash ORDER BY seq % 2 DESC, seq DESC) = 1"""
 EXPORTED = f"""SELECT company, title, coalesce(country, '') AS country, remote, seniority, visa_sponsorship AS visa,
@@ -364,7 +364,7 @@ ORACLE["text_hash"] = "SELECT doc_id, sha256(text) AS text_hash FROM documents"
 ORACLE["content_hash"] = f"""SELECT seq, {content_key("company", "title", "location")} AS content_hash,
   {content_key("source", "text", "NULL")} AS text_key FROM ({derived(D.POSTINGS)}) p"""
 _csv = "replace(stack_csv, ',', ', ')"
-ORACLE["job_text"] = f"WITH {JOBS} SELECT seq, {job_rendering(_csv)} AS job_text FROM jobs"
+ORACLE["job_text"] = f"WITH {JOBS} SELECT seq, {job_rendering(_csv, "text")} AS job_text FROM jobs"
 ORACLE["json_from_output"] = f"""WITH {ANSWERS} SELECT seq, CAST(attempt AS BIGINT) AS attempt, json_text, p IS NOT NULL AS readable FROM parsed"""
 _ok = lambda expr: f"CASE WHEN errors = '' THEN {expr} END"
 _or_unknown = lambda f: _ok(f"coalesce({value(f)}, 'unknown')")
@@ -378,11 +378,11 @@ SELECT seq, CAST(attempt AS BIGINT) AS attempt, errors, {_ok(value("title"))} AS
 FROM checked"""
 _t, _c, _l = value("title"), value("company"), value("location")
 ORACLE["add_provenance"] = f"""WITH {VALIDATED}
-SELECT c.seq, {_t} AS title, {_c} AS company, g.source, replace(g.url, 'https://', 'https://www.') AS url,
+SELECT c.seq, CAST(c.attempt AS BIGINT) AS attempt, {_t} AS title, {_c} AS company, g.source, replace(g.url, 'https://', 'https://www.') AS url,
   CAST(NULL AS VARCHAR) AS external_id, 1700000000 + c.seq AS fetched_epoch, {content_key(_c, _t, _l)} AS content_hash
-FROM checked c JOIN ({derived(D.POSTINGS)}) g USING (seq) WHERE c.errors = '' AND c.attempt = 3"""
+FROM checked c JOIN ({derived(D.POSTINGS)}) g USING (seq) WHERE c.errors = ''"""
 ORACLE["refine_visa"] = f"WITH {JOBS} SELECT seq, visa_sponsorship FROM jobs"
-_low = visa_text("phrase", "description_summary")
+_low = visa_text("phrase", "description_summary", "text")
 _evidence = ", ".join(
     f"CASE WHEN {matches(_low, p)} THEN '{label}{i}' END"
     for label, patterns in (("no", rules.VISA_NO), ("yes", rules.VISA_YES))
@@ -467,11 +467,10 @@ SELECT sha256(text) AS text_hash, CAST(attempt AS BIGINT) AS attempt, CASE WHEN
   CASE WHEN attempt = 3 THEN 'captured-strong' ELSE 'captured-fast' END AS model, CAST(ceil(length(text) / 4) AS BIGINT) AS input_tokens,
   CAST(ceil(length(output) / 4) AS BIGINT) AS output_tokens, errors
 FROM firsts WHERE attempt <= coalesce(won, 3)"""
-_vocabulary = "[" + ", ".join(lit(w) for w in vectors.VOCABULARY) + "]"
-ORACLE["embed_text"] = f"""WITH {JOBS}, rendered AS (SELECT seq, lower({job_rendering(_csv)}) AS low FROM jobs),
-present AS (SELECT seq, list_transform({_vocabulary}, lambda w: contains(low, w)) AS hit FROM rendered)
-SELECT seq, pos - 1 AS pos, round(1 / sqrt(len(list_filter(hit, lambda h: h))), 6) AS weight
-FROM (SELECT seq, hit, unnest(range(1, 11)) AS pos FROM present) WHERE hit[pos]"""
+_bucket = f"CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) % {vectors.HASHED_DIM}"
+ORACLE["embed_text"] = f"""WITH {JOBS}, rendered AS (SELECT seq, {job_rendering(_csv, "text")} AS job_text FROM jobs),
+hit AS (SELECT DISTINCT seq, {_bucket} AS pos FROM (SELECT seq, unnest({words("job_text")}) AS w FROM rendered))
+SELECT seq, pos, round(1 / sqrt(count(*) OVER (PARTITION BY seq)), 6) AS weight FROM hit"""
 _answer = (
     "to_json({'title': title, 'company': company, 'location': location, 'country': country, 'remote': remote, "
     "'seniority': seniority, 'stack': stack, 'salary': CASE WHEN currency IS NOT NULL THEN {'min': salary_min, "
@@ -489,7 +488,7 @@ SELECT r.url, r.title, r.company, r.location, r.country, r.remote, r.seniority,
 FROM refined r JOIN billed b USING (seq) QUALIFY row_number() OVER (PARTITION BY r.text_hash ORDER BY r.seq) = 1"""
 INGESTED = f"""WITH RECURSIVE {REFINED},
 origin AS (SELECT *, first_value(seq) OVER (PARTITION BY text_hash ORDER BY seq) AS first_seq FROM refined),
-rendered AS (SELECT seq, {job_rendering("array_to_string(stack, ', ')")} AS job_text FROM refined),
+rendered AS (SELECT seq, {job_rendering("array_to_string(stack, ', ')", "text")} AS job_text FROM refined),
 {greedy(f"sets AS MATERIALIZED (SELECT o.seq, {words('r.job_text')} AS ws FROM origin o JOIN rendered r ON r.seq = o.first_seq)", WORD_PAIRS)}"""
 ORACLE["ingest"] = f"""{INGESTED}
 SELECT seq, source, url, CASE WHEN seq IN (SELECT seq FROM dropped) THEN 'duplicate' ELSE 'indexed' END AS outcome,

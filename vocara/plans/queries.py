@@ -40,12 +40,12 @@ def job_rows(spark: SparkSession, sf: str) -> DataFrame:
     raw = D.postings(spark, sf)
     return raw.select(
         "seq", "source", "url", "title", "company", "location", "country", "remote", "seniority", "stack",
-        rules.refine_visa(F.col("visa_signals"), F.col("description_summary"), F.col("visa_raw")).alias(
+        rules.refine_visa(F.col("visa_signals"), F.col("description_summary"), F.col("visa_raw"), F.col("text")).alias(
             "visa_sponsorship"
         ),
         "visa_signals", "description_summary", F.lit(None).cast("timestamp").alias("posted_at"),
         keys.content_hash(F.col("company"), F.col("title"), F.col("location")).alias("content_hash"),
-        "vector",
+        "text", "vector",
     )
 
 
@@ -89,22 +89,19 @@ def captured_provider(spark: SparkSession, sf: str) -> extraction.Provider:
 def item_outcomes(spark: SparkSession, sf: str) -> DataFrame:
     """Postings through fetch, answer and exact de-duplication, as one outcome table."""
     pages = D.derive(spark, sf, D.FETCH_ATTEMPTS)
-    fetched = outcomes.fetch_outcome(pages).drop("html")
+    fetched = outcomes.fetch_outcome(pages).withColumn("page_hash", F.sha2("html", 256)).drop("html")
     items = D.derive(spark, sf, D.WORK_ITEMS).join(fetched, "url", "left")
     missing = F.concat(F.lit("fetch failed: no page for "), F.col("url"))
     items = items.withColumn("error", F.coalesce("error", F.when(F.col("attempt").isNull(), missing)))
     good, bad = outcomes.route_outcome(items)
-    kept = dedup.dedup_exact(good.withColumn("site", F.regexp_extract("url", r"^https?://([^/]*)", 1)), "site")
+    kept = dedup.dedup_exact(good, "page_hash")
     duplicates = good.join(kept.select("seq"), "seq", "left_anti")
     return outcomes.ingest_outcomes(kept, duplicates, bad)
 
 
 def gold_cases(spark: SparkSession, sf: str) -> DataFrame:
     """Every derived posting page with the values it was made from as its labels."""
-    labels = D.derive(spark, sf, D.POSTINGS).select(
-        "seq", "title", "company", "seniority", F.col("visa_truth").alias("visa_sponsorship"), "remote"
-    )
-    return posting_pages(spark, sf).select(F.col("seq"), "html").join(labels, "seq").withColumnRenamed("seq", "case_id")
+    return posting_pages(spark, sf).select(F.col("seq").alias("case_id"), "html", *S.CRITICAL_FIELDS)
 
 
 def ranked(spark: SparkSession, sf: str) -> DataFrame:
@@ -225,8 +222,10 @@ def cache_lookup(spark, sf):
 @query
 def cache_store(spark, sf):
     texts = D.table(spark, sf, "documents").select("doc_id", keys.text_hash(F.col("text")).alias("text_hash"))
-    fresh = texts.filter(F.col("doc_id") % 2 == 1).groupBy("text_hash").agg(F.max("doc_id").alias("doc_id"))
-    return extraction.cache_store(_cache(spark, sf), fresh)
+    fresh = texts.groupBy("text_hash").agg(F.max("doc_id").alias("doc_id"))
+    passages = D.table(spark, sf, "benchmark").groupBy(keys.text_hash(F.col("text")).alias("text_hash"))
+    stored = _cache(spark, sf).unionByName(passages.agg(F.min(-F.col("item_id")).alias("doc_id")))
+    return extraction.cache_store(stored.groupBy("text_hash").agg(F.max("doc_id").alias("doc_id")), fresh)
 
 
 @query
@@ -285,7 +284,7 @@ def content_hash(spark, sf):
 
 @query
 def job_text(spark, sf):
-    return job_rows(spark, sf).select("seq", text.job_text_of().alias("job_text"))
+    return job_rows(spark, sf).select("seq", text.job_text_of(body=F.col("text")).alias("job_text"))
 
 
 @query
@@ -311,14 +310,14 @@ def validate_records(spark, sf):
 
 @query
 def add_provenance(spark, sf):
-    rows = validated_answers(spark, sf).filter("record IS NOT NULL AND attempt = 3")
+    rows = validated_answers(spark, sf).filter("record IS NOT NULL")
     pages = D.derive(spark, sf, D.POSTINGS).select(
         "seq", "source", F.replace("url", F.lit("https://"), F.lit("HTTPS://WWW.")).alias("url"),
         F.timestamp_seconds(F.lit(1_700_000_000) + F.col("seq")).alias("fetched_at"),
     )
-    jobs = validation.add_provenance(rows.select("seq", "record").join(pages, "seq"))
+    jobs = validation.add_provenance(rows.select("seq", "attempt", "record").join(pages, "seq"))
     return jobs.select(
-        "seq", "title", "company", "source", "url", "external_id",
+        "seq", F.col("attempt").cast("bigint").alias("attempt"), "title", "company", "source", "url", "external_id",
         F.unix_seconds("fetched_at").alias("fetched_epoch"), "content_hash",
     )
 
@@ -330,7 +329,7 @@ def refine_visa(spark, sf):
 
 @query
 def visa_evidence(spark, sf):
-    low = rules.visa_text(F.col("visa_signals"), F.col("description_summary"))
+    low = rules.visa_text(F.col("visa_signals"), F.col("description_summary"), F.col("text"))
     hits = F.concat(
         rules.matched_patterns(low, rules.VISA_NO, "no"), rules.matched_patterns(low, rules.VISA_YES, "yes")
     )
@@ -593,8 +592,8 @@ def extract_cascade(spark, sf):
 
 @query
 def embed_text(spark, sf):
-    rows = job_rows(spark, sf).select("seq", text.job_text_of().alias("text"))
-    vector = rows.select("seq", F.posexplode(vectors.vocabulary_vector(F.col("text"))).alias("pos", "weight"))
+    rows = job_rows(spark, sf).select("seq", text.job_text_of(body=F.col("text")).alias("text"))
+    vector = rows.select("seq", F.posexplode(vectors.hashed_vector(F.col("text"))).alias("pos", "weight"))
     return vector.filter("weight <> 0").select("seq", F.col("pos").cast("bigint").alias("pos"), F.round("weight", 6).alias("weight"))
 
 
@@ -626,17 +625,16 @@ QUERIES["ingest"] = QUERIES.pop("ingest_")
 
 
 def _streamed(spark: SparkSession, sf: str) -> str:
-    """Runs the stream over all derived pages, which arrive as three files in order."""
+    """Runs the stream three times, after each third of all derived pages has arrived."""
     arriving, root = scratch_path(spark, "arriving"), scratch_path(spark, "store")
-    pages = posting_pages(spark, sf).withColumnRenamed("seq", "page_id")
+    pages = posting_pages(spark, sf).select(F.col("seq").alias("page_id"), "source", "url", "html")
     first, second = pages.agg(F.percentile_approx("page_id", [1 / 3, 2 / 3])).first()[0]
     page_id = F.col("page_id")
+    progress, schema = scratch_path(spark, "progress"), "page_id bigint, source string, url string, html string"
     for part in (page_id <= first, (page_id > first) & (page_id <= second), page_id > second):
-        pages.filter(part).coalesce(1).write.mode("append").parquet(arriving)
-    schema = "page_id bigint, source string, url string, html string"
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(arriving)
-    run = streaming.start_ingest(stream, root, scratch_path(spark, "progress"), extraction.rule_provider())
-    run.awaitTermination()
+        pages.filter(part).write.mode("append").parquet(arriving)
+        stream = spark.readStream.schema(schema).parquet(arriving)
+        streaming.start_ingest(stream, root, progress, extraction.rule_provider()).awaitTermination()
     return root
 
 
