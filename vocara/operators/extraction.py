@@ -93,12 +93,15 @@ def batch_provider(complete: Callable[[pd.DataFrame], pd.DataFrame]) -> Provider
     A batch that raises is asked again text by text, so that only the texts at fault fail.
     """
 
+    def whole(rows: pd.DataFrame) -> pd.DataFrame:
+        absent = {name: None for name in RESPONSE.fieldNames() if name not in rows.columns}
+        return rows.assign(**absent)[RESPONSE.fieldNames()]
+
     def answers(batch: pd.DataFrame) -> pd.DataFrame:
-        return complete(batch).reindex(columns=RESPONSE.fieldNames())
+        return whole(complete(batch))
 
     def fault(row: pd.DataFrame, error: Exception) -> pd.DataFrame:
-        failed = row[["text_hash", "attempt", "tier"]].assign(input_tokens=0, output_tokens=0, error=str(error))
-        return failed.reindex(columns=RESPONSE.fieldNames())
+        return whole(row[["text_hash", "attempt", "tier"]].assign(input_tokens=0, output_tokens=0, error=str(error)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
