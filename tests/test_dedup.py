@@ -64,7 +64,7 @@ def random_sets(seed, n=120):
     return sets
 
 
-SMALL = dict(pair_budget=200, local_pairs=20)
+SMALL = dict(pair_budget=200)
 
 
 @pytest.mark.parametrize(("seed", "options"), [(0, {}), (1, SMALL)])
@@ -88,6 +88,22 @@ def test_word_sets_equal_the_sequential_loop(spark, seed, options):
     assert found == {s: (m, round(v, 6)) for s, (m, v) in matches.items()}
 
 
+def test_one_word_in_every_row(spark):
+    sets = {i: {"the", f"a{i % 40}", *(f"w{i}x{j}" for j in range(i % 5))} for i in range(200)}
+    expected, _ = greedy(as_vectors(sets), 0.97)
+    for few in (1, 4_096):
+        finder = WordSets(0.97)
+        finder.FREQUENT_WORDS = few
+        prepared = {r.seq: r.words for r in finder.prepare(word_rows(spark, sets)).collect()}
+        assert all(words[-1] == "the" and set(words) == sets[s] for s, words in prepared.items())
+        assert expected and duplicates(dedup_near(word_rows(spark, sets), finder, pair_budget=50)) == expected
+
+
+def test_preparing_words_moves_counts_only(spark):
+    plan = WordSets(0.97).prepare(word_rows(spark, {1: {"a", "b"}, 2: {"b"}}))._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+
+
 def test_similarity_is_not_transitive(spark):
     angle = lambda degrees: np.array([np.cos(np.radians(degrees)), np.sin(np.radians(degrees))])
     chain = {1: angle(0), 2: angle(12), 3: angle(24), 4: angle(36)}
@@ -126,6 +142,8 @@ def test_stored_rows_come_first(spark):
     far = dense(spark, {1: np.array([1.0, 0.0])})
     near = dense(spark, {5: np.array([1.0, 0.1]), 6: np.array([0.0, 1.0])})
     assert duplicates(dedup_near(near, DenseVectors(0.97), far)) == {5}
+    again = dense(spark, {1: np.array([1.0, 0.1]), 2: np.array([0.0, 1.0])})
+    assert duplicates(dedup_near(again, DenseVectors(0.97), far)) == {1}, "a stored row may have the same number"
 
 
 def test_exact_keeps_the_first(spark):

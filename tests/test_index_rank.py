@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from vocara.functions.text import job_text_of
 from vocara.functions.vectors import checked_vector, cosine, hashed_vector, presence_vector
+from vocara.functions import scoring
 from vocara.operators import index, ranking, search
+from vocara.operators.picking import keep_last
 from vocara.plans.rank import dashboard_matches
 
 WORDS = ("scala", "spark", "redis", "terraform", "scheduler", "archive", "lead", "remote")
@@ -85,7 +87,7 @@ def test_negative_similarity_ties_and_missing_country(spark):
     assert companies(ranking.rank_batch(jobs, profile, 3, ["IE"])) == ["Z", "A"]
 
 
-def test_large_sides_and_partitions_give_the_same_hits(spark, monkeypatch):
+def test_blocks_and_partitions_give_the_same_hits(spark):
     jobs = spark.range(700).select(
         F.format_string("%05d", "id").alias("content_hash"),
         F.transform(F.sequence(F.lit(1), F.lit(8)), lambda i: F.sin(i * (F.col("id") % 300) + i)).alias("vector"),
@@ -97,13 +99,35 @@ def test_large_sides_and_partitions_give_the_same_hits(spark, monkeypatch):
     shipped = rows(search.knn_topk(jobs, profiles, 5))
     assert len(shipped) == 200
     assert rows(search.knn_topk(jobs.repartition(13), profiles, 5)) == shipped
-    monkeypatch.setattr(search, "TILE_JOBS", 100)
-    monkeypatch.setattr(search, "TILE_PROFILE_BYTES", 16 * 8 * 8)
-    assert rows(search.knn_topk(jobs, profiles, 5, max_broadcast_bytes=0)) == shipped
+    assert rows(search.knn_topk(jobs, profiles, 5, block_bytes=8 * 8 * 8)) == shipped
     assert search.knn_topk(jobs.limit(0), profiles, 5).count() == 0
     assert search.knn_topk(jobs, profiles.limit(0), 5).count() == 0
 
 
+def test_numbers_are_rounded_as_python_does(spark):
+    values = [0.0, 0.005, 0.015, 0.025, 0.045, 0.125, 0.375, 0.625, 0.285, 0.995, 0.9949999, 1.0, 1e-12, 0.0005, 0.0015, 0.0625, 0.1875]
+    values += [i / 1000 + 0.005 for i in range(0, 995, 7)] + [i * 0.0005 for i in range(1, 2000, 13)]
+    frame = spark.createDataFrame([(v,) for v in values], "x double")
+    for digits in (2, 3):
+        found = [r.s for r in frame.select(scoring.fixed(F.col("x"), digits).alias("s")).collect()]
+        assert found == [f"{v:.{digits}f}" for v in values]
+
+
+def test_the_index_is_computed_once(spark):
+    profile = spark.createDataFrame([(1, [1.0, 0.0])], "cv_id bigint, cv_vector array<double>")
+    counted = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(value):
+        counted.add(1)
+        return value
+
+    rows = flat(spark, [(str(i), [1.0, float(i)], "yes", "IE", "mid", f"C{i}") for i in range(20)])
+    traced = keep_last(rows.withColumn("company", seen("company")), "content_hash", "seniority")
+    assert ranking.rank_batch(traced, profile, 3, []).count() == 3
+    assert counted.value == 20
+
+
 def test_listing_and_lookup(indexed):
     assert index.job_count(indexed).first().jobs == 4
     names = lambda df: {r.company for r in df.collect()}

@@ -71,6 +71,21 @@ def test_what_the_embedder_leaves_out_is_an_error_of_that_item(spark):
     assert done.embedded.count() == 3
 
 
+def test_stream_of_dense_vectors_and_any_page_id(spark, tmp_path):
+    schema, root = "page_id bigint, source string, url string, html string", str(tmp_path / "store")
+    run = streaming.ingest_batch(root, rule_provider(), embed_hashed, DenseVectors(0.97))
+    html, far = list(PAGES.values()), 1 << 45
+    # The same page id in every batch, and one beyond 2^40.
+    run(spark.createDataFrame([(7, "a", "https://x/1", html[0]), (far, "a", "https://x/2", html[1])], schema), 0)
+    run(spark.createDataFrame([(7, "b", "https://x/3", html[0]), (far + 1, "b", "https://x/4", html[0])], schema), 1)
+    rows = streaming.stream_outcomes(spark, root).collect()
+    assert {r.url[-1]: (r.seq, r.outcome) for r in rows} == {
+        "1": (7, "indexed"), "2": (far, "indexed"), "3": (7, "duplicate"), "4": (far + 1, "duplicate"),
+    }
+    stored = streaming.stream_index(spark, root).collect()
+    assert {r.seq for r in stored} == {7, far} and all(len(r.vector) == 256 and r.words is None for r in stored)
+
+
 def test_stream_continues_and_replays_change_nothing(spark, tmp_path):
     arriving, root, progress = (str(tmp_path / n) for n in ("arriving", "store", "progress"))
     schema = "page_id bigint, source string, url string, html string"

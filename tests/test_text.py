@@ -35,6 +35,11 @@ def test_text_is_capped_only_on_request(spark):
 
 
 MARKUP_CASES = [
+    ("<nav>a<nav>b</nav>MENU</nav><p title='x>y'>kept</p>", "kept"),
+    ("<header>a<form>b</header>kept<form><nav>c</nav>d</form>", "kept"),
+    ("one</nav>two<footer>x<footer>y</footer></footer>three<nav/>four</nav>five", "one\ntwo\nthree\nfive"),
+    ('<a href="a>b" title=it\'s>link</a><navy>blue</navy>', "link\nblue"),
+    ("<p data-x=\"" + "y>" * 20_000 + "\">long</p>" + "<b " + "z " * 20_000 + ">bold</b>", "long\nbold"),
     ("plain", "plain"),
     ("", ""),
     ("<p>a</p>\r\n<p>b</p>", "a\nb"),
@@ -84,10 +89,10 @@ def test_point_id_keeps_all_64_bits(spark):
 
 
 def test_job_text_has_fallbacks(spark, sample_jobs):
-    full = sample_jobs.filter("company = 'Acme'").select(text.job_text_of()).first()[0]
-    assert full.split("\n")[0] == "Senior Go Engineer at Acme"
-    assert "location: Acme City (IE)" in full and "stack: Go, Kafka, Kubernetes, gRPC" in full
-    bare = sample_jobs.filter("company = 'Acme'").withColumns(
+    full = sample_jobs.filter("company = 'Kruste'").select(text.job_text_of()).first()[0]
+    assert full.split("\n")[0] == "Oven Telemetry Analyst at Kruste"
+    assert "location: Ulm (DE)" in full and "stack: Scala, Redis" in full
+    bare = sample_jobs.filter("company = 'Kruste'").withColumns(
         {"location": F.lit(""), "country": F.lit(None).cast("string"), "stack": F.array().cast("array<string>"),
          "description_summary": F.lit("")}
     )

@@ -1,7 +1,6 @@
 """Page markup to text, text normalisation and the text rendering of a job.
 
-The regular expressions use only what Java and RE2 share (no look-around, no
-back-references), so the same rules can be checked by another SQL engine.
+The regular expressions are Java's; the SQL that checks them has its own.
 """
 
 from __future__ import annotations
@@ -67,18 +66,23 @@ NODE_BREAK = "\u0001"
 EDGE_CHARS = "".join(chr(c) for c in range(0x3001) if chr(c).isspace()) + NODE_BREAK
 
 
+# The rest of a tag: a quoted value may hold ``>``. Possessive, so a long tag needs no stack.
+ATTRIBUTES = r"""(?:[^>=]++|=\s*+(?:"[^"]*"|'[^']*')?+)*+"""
+
+
 def _element(tag: str) -> str:
-    return rf"{tag}(?:\s[^>]*)?>.*?(?:</{tag}\s*>|\z)"
+    return rf"{tag}(?:\s{ATTRIBUTES})?>.*?(?:</{tag}\s*>|\z)"
 
 
 # Comments and elements are matched in one alternation each, so that whichever opens
 # first in the page wins, as it does for a parser.
 RAW_BLOCKS = "(?is)<(?:!--.*?-->|" + "|".join(_element(t) for t in RAW_TEXT_TAGS) + ")"
-HEAD_BLOCKS = r"(?is)<(?:head(?:\s[^>]*)?>.*?</head\s*>|title(?:\s[^>]*)?>.*?</title\s*>)"
-BOILERPLATE_BLOCKS = "(?is)<(?:" + "|".join(_element(t) for t in BOILERPLATE_TAGS) + ")"
-MARKUP = r"<(?:/?[a-zA-Z]|[!?])[^>]*>"
-H1_CONTENT = r"(?is)<h1(?:\s[^>]*)?>(.*?)</h1\s*>"
-TITLE_CONTENT = r"(?is)<title(?:\s[^>]*)?>(.*?)</title\s*>"
+HEAD_BLOCKS = rf"(?is)<(?:head(?:\s{ATTRIBUTES})?>.*?</head\s*>|title(?:\s{ATTRIBUTES})?>.*?</title\s*>)"
+BOILERPLATE_EDGE = r"(?i)(?=</?(?:" + "|".join(BOILERPLATE_TAGS) + r")[\s/>])"
+BOILERPLATE_TAG = r"(?is)^<(/?)(" + "|".join(BOILERPLATE_TAGS) + rf")(?:[\s/]{ATTRIBUTES})?>"
+MARKUP = rf"<(?:/?[a-zA-Z]|[!?]){ATTRIBUTES}>"
+H1_CONTENT = rf"(?is)<h1(?:\s{ATTRIBUTES})?>(.*?)</h1\s*>"
+TITLE_CONTENT = rf"(?is)<title(?:\s{ATTRIBUTES})?>(.*?)</title\s*>"
 
 
 def _numeric_reference(digits: Column) -> Column:
@@ -114,6 +118,37 @@ def _without_raw_blocks(html: Column) -> Column:
     return F.regexp_replace(F.translate(unix, "\r" + NODE_BREAK, "\n"), RAW_BLOCKS, NODE_BREAK)
 
 
+def _without_boilerplate(page: Column) -> Column:
+    """The page without its dropped elements, however they nest.
+
+    The page is cut before every tag of such an element, and the open ones are carried along:
+    an end tag closes the last open element of its name with all inside; one that closes nothing
+    is passed over. A piece stays where nothing is open, and only its flag is carried.
+    """
+
+    def follow(state: Column, piece: Column) -> Column:
+        kind = F.lower(F.regexp_extract(piece, BOILERPLATE_TAG, 2))
+        closes = F.regexp_extract(piece, BOILERPLATE_TAG, 1) != ""
+        opened = state["opened"]
+        depth = F.array_position(F.reverse(opened), kind).cast("int")
+        after = (
+            F.when(kind == "", opened)
+            .when(~closes, F.concat(opened, F.array(kind)))
+            .when(depth > 0, F.slice(opened, 1, F.size(opened) - depth))
+            .otherwise(opened)
+        )
+        flag = F.when(F.size(after) == 0, "1").otherwise("0")
+        return F.struct(after.alias("opened"), F.concat(state["flags"], flag).alias("flags"))
+
+    def kept(pieces: Column) -> Column:
+        start = F.struct(F.array().cast("array<string>").alias("opened"), F.lit("").alias("flags"))
+        flags = F.aggregate(pieces, start, follow, lambda state: state["flags"])
+        shown = F.transform(F.array(flags), lambda f: F.filter(pieces, lambda _, i: F.substr(f, i + 1, F.lit(1)) == "1"))
+        return F.array_join(shown[0], "")
+
+    return F.transform(F.array(F.split(page, BOILERPLATE_EDGE)), kept)[0]
+
+
 def _join_nodes(text: Column, separator: str) -> Column:
     """Text nodes stripped and joined; blank nodes add nothing."""
     edges = F.lit(EDGE_CHARS)
@@ -129,7 +164,7 @@ def html_to_text(html: Column, max_chars: int | None = None) -> Column:
     """
     text = _without_raw_blocks(html)
     text = F.regexp_replace(text, HEAD_BLOCKS, NODE_BREAK)
-    text = F.regexp_replace(text, BOILERPLATE_BLOCKS, NODE_BREAK)
+    text = _without_boilerplate(text)
     text = F.regexp_replace(text, MARKUP, NODE_BREAK)
     text = _join_nodes(decode_entities(text), "\n")
     text = F.regexp_replace(F.regexp_replace(text, r"[ \t]+", " "), r"\n{3,}", "\n\n")

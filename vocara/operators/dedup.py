@@ -37,8 +37,6 @@ from vocara.session import materialize, store
 THRESHOLD = 0.97
 # Pairs of one range that may be looked at at once, per core of the cluster.
 PAIRS_PER_CORE = 5_000_000
-# Similar pairs that one task may resolve by itself; beyond, rounds over the cluster.
-LOCAL_PAIRS = 200_000
 SLACK = 1e-9
 
 
@@ -47,6 +45,16 @@ def dedup_exact(rows: DataFrame, key: str = "content_hash", order: str = "seq")
     return keep_first(rows, key, order)
 
 
+def _pairs_per_key(rows: DataFrame, others: DataFrame | None, key: str) -> int:
+    """How many pairs agree in the key: of rows with the others, or of rows among themselves."""
+    count = lambda df, name: df.groupBy(key).agg(F.count(F.lit(1)).cast("double").alias(name))
+    n, m = F.col("n"), F.col("m")
+    counts = count(rows, "n")
+    pairs = n * (n - 1) / 2 if others is None else n * m
+    counts = counts if others is None else counts.join(count(others, "m"), key)
+    return int(counts.agg(F.coalesce(F.sum(pairs), F.lit(0.0))).first()[0])
+
+
 class WordSets:
     """Similar pairs among sets of words (presence vectors over an open vocabulary).
 
@@ -56,6 +64,9 @@ class WordSets:
     Rows have ``seq`` and ``words``.
     """
 
+    # Words told apart by frequency; beyond them all count as rare.
+    FREQUENT_WORDS = 4_096
+
     def __init__(self, threshold: float) -> None:
         self.threshold = threshold
 
@@ -68,15 +79,21 @@ class WordSets:
         return F.size("words") == 0
 
     def prepare(self, rows: DataFrame) -> DataFrame:
-        """``seq``, and ``words`` reordered by how many rows hold them, rare first."""
-        long = rows.select("seq", F.explode("words").alias("word"))
-        spread = long.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
-        ordered = F.array_sort(F.collect_list(F.struct("df", "word")))
-        return (
-            long.join(spread, "word")
-            .groupBy("seq")
-            .agg(F.transform(ordered, lambda w: w["word"]).alias("words"))
+        """``seq``, and ``words`` in one global order: the words of most rows last, in classes that
+        double in frequency, the others first. Inside a class the hash of the word decides.
+
+        Any order gives exact results; frequent words are only kept out of the prefixes. So only
+        a bounded list of them is gathered, and rows are reordered where they are.
+        """
+        spread = rows.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+        classes: dict[int, list[str]] = {}
+        for word, df in spread.orderBy(F.desc("df"), "word").limit(self.FREQUENT_WORDS).collect():
+            classes.setdefault(df.bit_length(), []).append(word)
+        place = lambda w: reduce(
+            lambda found, level: F.when(w.isin(classes[level]), level).otherwise(found), sorted(classes), F.lit(0)
         )
+        keyed = F.array_sort(F.transform("words", lambda w: F.struct(place(w).alias("p"), F.xxhash64(w).alias("h"), w.alias("w"))))
+        return rows.select("seq", F.transform(keyed, lambda x: x["w"]).alias("words"))
 
     def _prefix(self, rows: DataFrame, side: str) -> DataFrame:
         n = F.size("words")
@@ -86,20 +103,19 @@ class WordSets:
             F.col("seq").alias(side), n.alias(f"n_{side}"), F.posexplode(prefix).alias(f"p_{side}", "word")
         )
 
-    def work(self, rows: DataFrame) -> int:
-        """Pairs that share a prefix word, an upper bound of the pairs to look at."""
-        k = F.count(F.lit(1)).cast("double")
-        per_word = self._prefix(rows, "a").groupBy("word").agg((k * (k - 1) / 2).alias("pairs"))
-        return int(per_word.agg(F.coalesce(F.sum("pairs"), F.lit(0.0))).first()[0])
+    def work(self, rows: DataFrame, others: DataFrame | None = None) -> int:
+        """Pairs of rows (with the others, if given) that share a prefix word, an upper bound of
+        the pairs to look at."""
+        return _pairs_per_key(self._prefix(rows, "a"), None if others is None else self._prefix(others, "a"), "word")
 
     def pairs(self, left: DataFrame, right: DataFrame, ordered: bool = True) -> DataFrame:
-        """Similar pairs ``a, b, similarity``, ``a`` from ``left`` and ``b`` from ``right``;
-        with ``ordered`` only those with ``a`` before ``b``."""
+        """Similar pairs ``a, b, similarity``, ``a`` from ``left`` and ``b`` from ``right``; with
+        ``ordered`` only those with ``a`` before ``b``, else all (the sides share no row)."""
         needed = F.sqrt(F.col("n_a").cast("double") * F.col("n_b")) * (self.threshold - SLACK) - SLACK
         # At its first shared word (positions count from 0) a pair can share at most the
         # shorter rest, that word included.
         reachable = F.least(F.col("n_a") - F.col("p_a"), F.col("n_b") - F.col("p_b"))
-        order = F.col("a") < F.col("b") if ordered else F.col("a") != F.col("b")
+        order = F.col("a") < F.col("b") if ordered else F.lit(True)
         candidates = (
             self._prefix(left, "a")
             .join(self._prefix(right, "b"), "word")
@@ -121,7 +137,8 @@ class WordSets:
     def probe(self, stored: DataFrame, rows: DataFrame) -> DataFrame:
         """Similar pairs of a large stored table and a few prepared rows.
 
-        Only the rows need their prefix: any stored set that is similar enough holds one
+        Stored rows may share a ``seq`` with each other and with the rows. Only the rows need
+        their prefix: any stored set that is similar enough holds one
         of those words, wherever it stands. The stored table is read once and keeps its
         place when the prefixes are small enough for Spark to ship.
         """
@@ -211,10 +228,9 @@ class DenseVectors:
 
         return rows.mapInPandas(place, self.ASSIGNED)
 
-    def work(self, rows: DataFrame) -> int:
-        k = F.count(F.lit(1)).cast("double")
-        per_cell = self._assign(rows, with_borders=False).groupBy("cell").agg((k * (k - 1) / 2).alias("pairs"))
-        return int(per_cell.agg(F.coalesce(F.sum("pairs"), F.lit(0.0))).first()[0])
+    def work(self, rows: DataFrame, others: DataFrame | None = None) -> int:
+        borders = None if others is None else self._assign(others, with_borders=True)
+        return _pairs_per_key(self._assign(rows, with_borders=False), borders, "cell")
 
     def pairs(self, left: DataFrame, right: DataFrame, ordered: bool = True) -> DataFrame:
         a, b = self._assign(left, with_borders=True), self._assign(right, with_borders=False)
@@ -239,8 +255,8 @@ class DenseVectors:
                 return pd.DataFrame({"a": [], "b": [], "similarity": []})
             a_seq, b_seq = a_rows["seq"].to_numpy(), b_rows["seq_b"].to_numpy()
             scores = np.round(unit_rows(a_rows["vector"]) @ unit_rows(b_rows["vector_b"]).T, SIM_DECIMALS)
-            order = np.less if ordered else np.not_equal
-            rows_at, cols = np.nonzero((scores >= threshold) & order(a_seq[:, None], b_seq[None, :]))
+            similar = scores >= threshold
+            rows_at, cols = np.nonzero(similar & (a_seq[:, None] < b_seq[None, :]) if ordered else similar)
             return pd.DataFrame({"a": a_seq[rows_at], "b": b_seq[cols], "similarity": scores[rows_at, cols]})
 
         tiles = a.groupBy("cell", "ta", "tb").cogroup(b.groupBy("cell_b", "ta_b", "tb_b"))
@@ -253,16 +269,16 @@ class DenseVectors:
 Finder = WordSets | DenseVectors
 
 
-def resolve(pairs: DataFrame, local_pairs: int = LOCAL_PAIRS) -> DataFrame:
+def resolve(pairs: DataFrame) -> DataFrame:
     """The ``seq`` of rows that greedy selection drops, given all similar pairs ``a < b``.
 
     Round by round: a row without an undecided earlier neighbour is kept, and everything
-    similar to a kept row is dropped. Once few enough pairs are left, one task ends it.
+    similar to a kept row is dropped. The rounds follow the longest chain of decisions, not
+    the number of pairs.
     """
     edges = pairs.select("a", "b")
     dropped: list[DataFrame] = []
-    left = edges.count()
-    while left > local_pairs:
+    while not edges.isEmpty():
         blocked = edges.select(F.col("b").alias("seq")).distinct()
         roots = edges.select("a").distinct().join(blocked, F.col("a") == F.col("seq"), "left_anti")
         gone = materialize(edges.join(roots, "a", "left_semi").select(F.col("b").alias("seq")).distinct(), "dropped")
@@ -273,21 +289,7 @@ def resolve(pairs: DataFrame, local_pairs: int = LOCAL_PAIRS) -> DataFrame:
             .select("a", "b"),
             "undecided",
         )
-        left = edges.count()
-
-    def sequential(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest = pd.concat(list(batches) or [pd.DataFrame({"a": [], "b": []})]).sort_values(["b", "a"])
-        gone: set[int] = set()
-        for a, b in zip(rest["a"].tolist(), rest["b"].tolist()):
-            if b not in gone and a not in gone:
-                gone.add(b)
-        yield pd.DataFrame({"seq": pd.Series(sorted(gone), dtype="int64")})
-
-    if left:
-        dropped.append(edges.coalesce(1).mapInPandas(sequential, "seq bigint"))
-    if not dropped:
-        return edges.select(F.col("b").alias("seq"))
-    return reduce(DataFrame.unionByName, dropped)
+    return reduce(DataFrame.unionByName, dropped, edges.select(F.col("b").alias("seq")))
 
 
 def _collapse(rows: DataFrame, finder: Finder) -> tuple[DataFrame, DataFrame]:
@@ -302,9 +304,16 @@ def _collapse(rows: DataFrame, finder: Finder) -> tuple[DataFrame, DataFrame]:
     return distinct, members
 
 
-def greedy_kept(
-    distinct: DataFrame, finder: Finder, pair_budget: int | None = None, local_pairs: int = LOCAL_PAIRS
-) -> DataFrame:
+def _halved(batch: DataFrame) -> list[DataFrame]:
+    """The later and the earlier half of a range of ``seq``; nothing when it holds one row."""
+    low, middle, high = batch.agg(F.min("seq"), F.percentile_approx("seq", 0.5), F.max("seq")).first()
+    if low is None or low == high:
+        return []
+    later = F.col("seq") > min(middle, high - 1)
+    return [batch.filter(later), batch.filter(~later)]
+
+
+def greedy_kept(distinct: DataFrame, finder: Finder, pair_budget: int | None = None) -> DataFrame:
     """The prepared, pairwise different rows that greedy selection keeps."""
     spark = distinct.sparkSession
     budget = pair_budget or PAIRS_PER_CORE * spark.sparkContext.defaultParallelism
@@ -315,19 +324,16 @@ def greedy_kept(
     while todo:
         batch, seen = todo.pop()
         if kept[seen:]:
+            if finder.work(batch, read(kept[seen:])) > budget and (halves := _halved(batch)):
+                todo.extend((half, seen) for half in halves)
+                continue
             similar = finder.pairs(read(kept[seen:]), batch).select(F.col("b").alias("seq"))
             batch = materialize(batch.join(similar.distinct(), "seq", "left_anti"), "range")
-        if finder.work(batch) > budget:
-            low, middle, high = batch.agg(
-                F.min("seq"), F.percentile_approx("seq", 0.5), F.max("seq")
-            ).first()
-            if low < high:
-                middle = min(middle, high - 1)
-                todo.append((batch.filter(F.col("seq") > middle), len(kept)))
-                todo.append((batch.filter(F.col("seq") <= middle), len(kept)))
-                continue
+        if finder.work(batch) > budget and (halves := _halved(batch)):
+            todo.extend((half, len(kept)) for half in halves)
+            continue
         pairs = materialize(finder.pairs(batch, batch), "pairs")
-        kept.append(store(batch.join(resolve(pairs, local_pairs), "seq", "left_anti").select(*distinct.columns), "kept"))
+        kept.append(store(batch.join(resolve(pairs), "seq", "left_anti").select(*distinct.columns), "kept"))
     return read(kept)
 
 
@@ -336,7 +342,6 @@ def dedup_near(
     finder: Finder,
     stored: DataFrame | None = None,
     pair_budget: int | None = None,
-    local_pairs: int = LOCAL_PAIRS,
 ) -> DataFrame:
     """``seq, is_duplicate`` for every row, greedy in the order of ``seq`` (a unique BIGINT).
 
@@ -348,7 +353,7 @@ def dedup_near(
     if stored is not None:
         similar = finder.probe(stored, prepared).select(F.col("b").alias("seq")).distinct()
         prepared = materialize(prepared.join(similar, "seq", "left_anti"), "near-new")
-    kept = greedy_kept(prepared, finder, pair_budget, local_pairs).select("seq", F.lit(True).alias("kept"))
+    kept = greedy_kept(prepared, finder, pair_budget).select("seq", F.lit(True).alias("kept"))
     return rows.select("seq", finder.is_zero().alias("zero")).join(kept, "seq", "left").select(
         "seq", (~F.col("zero") & F.col("kept").isNull()).alias("is_duplicate")
     )
@@ -358,7 +363,6 @@ def near_dup_pairs(
     rows: DataFrame,
     finder: Finder,
     pair_budget: int | None = None,
-    local_pairs: int = LOCAL_PAIRS,
 ) -> DataFrame:
     """For every duplicate the kept row it matched best: ``seq, match_seq, similarity``.
 
@@ -368,7 +372,7 @@ def near_dup_pairs(
     rows = materialize(rows, "near-input")
     distinct, members = _collapse(rows, finder)
     prepared = materialize(finder.prepare(distinct), "near-distinct")
-    kept = greedy_kept(prepared, finder, pair_budget, local_pairs)
+    kept = greedy_kept(prepared, finder, pair_budget)
     # Kept rows resemble no other kept row, so only dropped rows need a partner.
     near = finder.pairs(kept, prepared.join(kept.select("seq"), "seq", "left_anti"), ordered=False)
     itself = kept.select(F.col("seq").alias("a"), F.col("seq").alias("b"), F.lit(1.0).alias("similarity"))

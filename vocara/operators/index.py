@@ -58,7 +58,7 @@ def attach_vectors(jobs: DataFrame, vectors: DataFrame, key: str, dim: int | Non
     return jobs.join(vectors.select(key, "vector"), key, "left").withColumn("vector", checked)
 
 
-def latest_per_hash(rows: DataFrame, order: str = "seq") -> DataFrame:
+def latest_per_hash(rows: DataFrame, order: str | Column = "seq") -> DataFrame:
     """The last row of each content hash."""
     return keep_last(rows, "content_hash", order)
 

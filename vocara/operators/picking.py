@@ -13,7 +13,7 @@ def _first_by(rows: DataFrame, key: str, order: Column) -> DataFrame:
     return rows.withColumn("_place", place).filter(F.col("_place") == 1).drop("_place")
 
 
-def keep_first(rows: DataFrame, key: str, order: str) -> DataFrame:
+def keep_first(rows: DataFrame, key: str, order: str | Column) -> DataFrame:
     return _first_by(rows, key, F.asc(order))
 
 
@@ -24,5 +24,5 @@ def first_texts(rows: DataFrame) -> DataFrame:
     return rows.join(first, ["text_hash", "seq"], "left_semi")
 
 
-def keep_last(rows: DataFrame, key: str, order: str) -> DataFrame:
+def keep_last(rows: DataFrame, key: str, order: str | Column) -> DataFrame:
     return _first_by(rows, key, F.desc(order))

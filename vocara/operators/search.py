@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -10,12 +11,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vocara.functions.vectors import SIM_DECIMALS
+from vocara.session import materialize
 
-# Profiles are shipped to every task only up to this many bytes of vectors.
-MAX_BROADCAST_BYTES = 64 * 1024 * 1024
-# Size of one tile when both sides are too large to ship: rows of jobs, bytes of profiles.
-TILE_JOBS = 100_000
-TILE_PROFILE_BYTES = 64 * 1024 * 1024
+# Vectors of profiles that are shipped to the tasks at a time, in bytes.
+BLOCK_BYTES = 32 * 1024 * 1024
 # Jobs and profiles scored at a time, to bound the score matrix.
 JOB_STRIPE = 10_000
 PROFILE_STRIPE = 512
@@ -74,65 +73,40 @@ def _best_hits(
     return best
 
 
-def _shipped_hits(jobs: DataFrame, profiles: DataFrame, k: int) -> DataFrame:
-    """Profiles go to every task; jobs are scored where they are read, without a shuffle."""
-    local = profiles.select("cv_id", "cv_vector").toPandas()
+def _block_hits(jobs: DataFrame, profiles: DataFrame, k: int) -> DataFrame | None:
+    """The best k jobs of each profile of one block, stored; jobs are scored where they are read."""
+    local = profiles.toPandas()
     if local.empty:
-        return jobs.sparkSession.createDataFrame([], HITS)
-    shipped = jobs.sparkSession.sparkContext.broadcast(
-        (local["cv_id"].to_numpy(), unit_rows(local["cv_vector"]))
-    )
+        return None
+    context = jobs.sparkSession.sparkContext
+    shipped = context.broadcast((local["cv_id"].to_numpy(), unit_rows(local["cv_vector"])))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         best = _best_hits(batches, *shipped.value, k)
         if best is not None:
             yield best
 
-    return jobs.mapInPandas(score, HITS)
-
+    order = Window.partitionBy("cv_id").orderBy(F.desc("similarity"), "content_hash")
+    ranked = jobs.mapInPandas(score, HITS).withColumn("sim_rank", F.row_number().over(order))
+    hits = materialize(ranked.filter(F.col("sim_rank") <= k), "hits")
+    shipped.destroy()
+    return hits
 
-def _tiled_hits(jobs: DataFrame, profiles: DataFrame, k: int, profile_bytes: int) -> DataFrame:
-    """Both sides too large to ship: tiles of jobs meet tiles of profiles.
 
-    Tiles come from hashes of unique keys, so they are even and bounded whatever the data.
-    """
-    profile_tiles = max(1, -(-profile_bytes // TILE_PROFILE_BYTES))
-    job_tiles = max(1, -(-jobs.count() // TILE_JOBS))
-    left = jobs.withColumn("jt", F.pmod(F.xxhash64("content_hash"), F.lit(job_tiles))).withColumn(
-        "pt", F.explode(F.sequence(F.lit(0), F.lit(profile_tiles - 1)))
-    )
-    right = profiles.withColumn("pt", F.pmod(F.xxhash64("cv_id"), F.lit(profile_tiles))).withColumn(
-        "jt", F.explode(F.sequence(F.lit(0), F.lit(job_tiles - 1)))
-    )
-
-    def score(job_rows: pd.DataFrame, profile_rows: pd.DataFrame) -> pd.DataFrame:
-        if job_rows.empty or profile_rows.empty:
-            return pd.DataFrame({"cv_id": [], "content_hash": [], "similarity": []})
-        cv_ids, matrix = profile_rows["cv_id"].to_numpy(), unit_rows(profile_rows["cv_vector"])
-        return _best_hits(iter([job_rows]), cv_ids, matrix, k)
-
-    return (
-        left.groupBy("jt", "pt").cogroup(right.groupBy("jt", "pt")).applyInPandas(score, HITS)
-    )
-
-
-def knn_topk(
-    jobs: DataFrame,
-    profiles: DataFrame,
-    k: int = 20,
-    max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
-) -> DataFrame:
+def knn_topk(jobs: DataFrame, profiles: DataFrame, k: int = 20, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The k most similar jobs of every profile: ``cv_id, content_hash, similarity, sim_rank``.
 
-    ``jobs`` holds one row per content hash, already filtered. Only key and vector travel;
-    each task hands on at most k rows per profile, so the exchange carries candidates and
-    never pairs. Ties are broken by content hash.
+    ``jobs`` holds one row per content hash, already filtered. Profiles go in blocks of bounded
+    size to the tasks that read the jobs, so no vector is shuffled and no pair leaves its task:
+    each hands on at most k rows per profile. Ties are broken by content hash. Jobs are read once
+    per block; hand over a stored table, not a costly plan.
     """
     slim = jobs.select("content_hash", "vector")
-    values = profiles.agg(F.coalesce(F.sum(F.size("cv_vector")), F.lit(0))).first()[0]
-    if values * 8 <= max_broadcast_bytes:
-        hits = _shipped_hits(slim, profiles, k)
-    else:
-        hits = _tiled_hits(slim, profiles.select("cv_id", "cv_vector"), k, values * 8)
-    order = Window.partitionBy("cv_id").orderBy(F.desc("similarity"), "content_hash")
-    return hits.withColumn("sim_rank", F.row_number().over(order)).filter(F.col("sim_rank") <= k)
+    queries = profiles.select("cv_id", "cv_vector")
+    width = F.coalesce(F.sum(F.size("cv_vector").cast("bigint")), F.lit(0))
+    blocks = max(1, -(-queries.agg(width).first()[0] * 8 // block_bytes))
+    block = lambda i: queries.filter(F.pmod(F.xxhash64("cv_id"), F.lit(blocks)) == i)
+    found = [hits for i in range(blocks) if (hits := _block_hits(slim, block(i), k)) is not None]
+    if not found:
+        return jobs.sparkSession.createDataFrame([], f"{HITS}, sim_rank int")
+    return reduce(DataFrame.unionByName, found)

@@ -36,6 +36,17 @@ def matches(expr: str, pattern: str) -> str:
 
 # ---- scalar rules --------------------------------------------------------------------
 
+# Cleaning, written for pages whose dropped elements do not nest and whose attribute values hold
+# no ``>``: all pages of the given tables.
+DROPPED = [f"{tag}(?:\\s[^>]*)?>.*?(?:</{tag}\\s*>|\\z)" for tag in
+           ("script", "style", "noscript", "svg", "nav", "footer", "header", "form")]
+RAW_BLOCKS = "(?is)<(?:!--.*?-->|" + "|".join(DROPPED[:4]) + ")"
+HEAD_BLOCKS = r"(?is)<(?:head(?:\s[^>]*)?>.*?</head\s*>|title(?:\s[^>]*)?>.*?</title\s*>)"
+BOILERPLATE_BLOCKS = "(?is)<(?:" + "|".join(DROPPED[4:]) + ")"
+ANY_TAG = r"<(?:/?[a-zA-Z]|[!?])[^>]*>"
+H1_CONTENT = r"(?is)<h1(?:\s[^>]*)?>(.*?)</h1\s*>"
+TITLE_CONTENT = r"(?is)<title(?:\s[^>]*)?>(.*?)</title\s*>"
+
 
 def entities(expr: str) -> str:
     for reference, character in text.ENTITIES:
@@ -45,7 +56,7 @@ def entities(expr: str) -> str:
 
 def without_raw(html: str) -> str:
     page = f"translate(replace({html}, chr(13) || chr(10), chr(10)), chr(13) || chr(1), chr(10))"
-    return sub(page, text.RAW_BLOCKS, "chr(1)")
+    return sub(page, RAW_BLOCKS, "chr(1)")
 
 
 def lines_of(expr: str, separator: str) -> str:
@@ -55,7 +66,7 @@ def lines_of(expr: str, separator: str) -> str:
 
 def whole_text(html: str) -> str:
     page = without_raw(html)
-    for pattern in (text.HEAD_BLOCKS, text.BOILERPLATE_BLOCKS, text.MARKUP):
+    for pattern in (HEAD_BLOCKS, BOILERPLATE_BLOCKS, ANY_TAG):
         page = sub(page, pattern, "chr(1)")
     page = lines_of(sub(entities(page), r"[ \t]+", "' '"), "chr(10)")
     return sub(page, r"\n{3,}", "chr(10) || chr(10)")
@@ -67,7 +78,7 @@ def page_text(html: str) -> str:
 
 def title_part(html: str, pattern: str) -> str:
     inner = f"regexp_extract({without_raw(html)}, {lit(pattern)}, 1)"
-    return f"nullif({lines_of(entities(sub(inner, text.MARKUP, 'chr(1)')), lit(''))}, '')"
+    return f"nullif({lines_of(entities(sub(inner, ANY_TAG, 'chr(1)')), lit(''))}, '')"
 
 
 def norm(expr: str) -> str:
@@ -111,7 +122,7 @@ def job_rendering(stack: str, body: str) -> str:
 
 
 def fixed(expr: str, digits: int) -> str:
-    return f"printf('%.{digits}f', round_even({expr} * {10**digits}, 0) / {10**digits})"
+    return f"printf('%.{digits}f', {expr})"
 
 
 def in_list(values) -> str:
@@ -327,7 +338,7 @@ CACHE = """cache AS (SELECT sha256(d.text) AS text_hash, min(d.doc_id) AS doc_id
 ORACLE["load_sources"] = """SELECT concat('board', page_id) AS id,
   CASE WHEN page_id % 4 <> 0 THEN url || '|' || url || '#jobs' ELSE '' END AS seed_urls,
   page_id % 3 = 0 AND page_id % 2 = 0 AS anti_bot FROM pages"""
-ORACLE["seed_urls"] = """SELECT page_id * 1048576 + i AS seq, concat('board', page_id) AS source, url || s AS url,
+ORACLE["seed_urls"] = """SELECT page_id * 2147483648 + i AS seq, concat('board', page_id) AS source, url || s AS url,
   page_id % 3 = 0 AND page_id % 2 = 0 AS anti_bot
 FROM pages JOIN (VALUES (0, ''), (1, '#jobs')) AS t(i, s) ON page_id % 4 <> 0"""
 ORACLE["scan_pages"] = f"""WITH items AS ({derived(D.WORK_ITEMS)})
@@ -358,7 +369,7 @@ ORACLE["export_summary"] = f"WITH {RANKED} SELECT count(*) AS rows FROM ranked"
 
 ORACLE["clean_pages"] = f"""SELECT page_id, substr(whole, 1, {S.MAX_TEXT_CHARS}) AS text, length(whole) AS whole_chars,
   sha256(whole) AS whole_hash FROM (SELECT page_id, {whole_text("html")} AS whole FROM pages)"""
-ORACLE["page_titles"] = f"""SELECT page_id, coalesce({title_part("html", text.H1_CONTENT)}, {title_part("html", text.TITLE_CONTENT)}) AS title
+ORACLE["page_titles"] = f"""SELECT page_id, coalesce({title_part("html", H1_CONTENT)}, {title_part("html", TITLE_CONTENT)}) AS title
 FROM pages"""
 ORACLE["text_hash"] = "SELECT doc_id, sha256(text) AS text_hash FROM documents"
 ORACLE["content_hash"] = f"""SELECT seq, {content_key("company", "title", "location")} AS content_hash,

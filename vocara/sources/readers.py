@@ -34,16 +34,16 @@ def load_sources(spark: SparkSession, path: str, json_array: bool = True) -> Dat
 def seed_urls(sources: DataFrame, position: str) -> DataFrame:
     """One work item per source and url, in the order of the sources.
 
-    ``position`` names a BIGINT column that orders the sources; ``seq`` orders the items
-    and is unique while a source has fewer than 2^20 urls.
+    ``position`` names a BIGINT column below 2^32 that orders the sources (a larger one fails).
+    An array has fewer than 2^31 elements, so ``seq`` orders the items and is unique.
     """
     items = sources.select(
         F.col(position).alias("source_pos"), F.col("id").alias("source"), "anti_bot",
         F.posexplode("seed_urls").alias("url_pos", "url"),
     )
-    seq = F.col("source_pos") * (1 << 20) + F.when(
-        F.col("url_pos") < (1 << 20), F.col("url_pos")
-    ).otherwise(F.raise_error(F.lit("a source has too many urls; split it")))
+    fits = F.col("source_pos").between(0, (1 << 32) - 1)
+    wrong = F.raise_error(F.concat(F.lit("no position for a source: "), F.col("source_pos").cast("string")))
+    seq = F.when(fits, F.col("source_pos")).otherwise(wrong) * (1 << 31) + F.col("url_pos")
     return items.select(seq.alias("seq"), "source", "url", "anti_bot")
 
 

@@ -2,7 +2,7 @@
 
 The store is three parquet tables under one root (``outcomes``, ``jobs`` with their words,
 ``runs``), one folder per micro-batch. A batch overwrites its own folder and looks only at
-earlier ones, so a replayed batch changes nothing.
+earlier ones, so a replayed batch changes nothing. Rows are ordered by batch, then by page id.
 """
 
 from __future__ import annotations
@@ -17,18 +17,19 @@ from pyspark.sql.streaming import StreamingQuery
 from vocara import schemas as S
 from vocara.functions.keys import text_hash
 from vocara.functions.text import html_to_text
+from vocara.operators.dedup import DenseVectors, Finder
 from vocara.operators.extraction import Provider
 from vocara.operators.index import latest_per_hash
 from vocara.operators.outcomes import ingest_summary
-from vocara.plans.ingest import JOB_COLUMNS, ingest_scanned
+from vocara.plans.ingest import JOB_COLUMNS, Embedder, embed_words, ingest_scanned
 
-# Items of one micro-batch are numbered from batch_id times this.
-BATCH_SPAN = 1 << 40
+# A row holds the kind of vector its embedder gives; the other one is null.
 STORED_JOB = T.StructType(
     [T.StructField("seq", T.LongType())]
     + S.JOB.fields
     + [
         T.StructField("words", T.ArrayType(T.StringType())),
+        T.StructField("vector", T.ArrayType(T.DoubleType())),
         T.StructField("batch_id", T.LongType()),
     ]
 )
@@ -44,8 +45,15 @@ def _stored(spark: SparkSession, path: str, schema: T.StructType, before: int) -
     return spark.read.schema(schema).parquet(path).filter(F.col("batch_id") < before)
 
 
-def ingest_batch(root: str, provider: Provider) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` function over rows ``page_id, source, url, html``."""
+def ingest_batch(
+    root: str, provider: Provider, embedder: Embedder = embed_words, finder: Finder | None = None
+) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function over rows ``page_id, source, url, html``.
+
+    With an embedder of dense vectors the finder is :class:`DenseVectors`. Page ids of different
+    batches may be equal: they order the rows of one batch only.
+    """
+    other = "words" if isinstance(finder, DenseVectors) else "vector"
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -53,7 +61,7 @@ def ingest_batch(root: str, provider: Provider) -> Callable[[DataFrame, int], No
         cache = _stored(spark, f"{root}/cache", STORED_CACHE, batch_id)
         text = html_to_text(F.col("html"))
         scanned = batch.select(
-            (F.col("page_id") + F.lit(batch_id * BATCH_SPAN)).alias("seq"),
+            F.col("page_id").alias("seq"),
             "source",
             "url",
             text.alias("text"),
@@ -63,8 +71,10 @@ def ingest_batch(root: str, provider: Provider) -> Callable[[DataFrame, int], No
         done = ingest_scanned(
             scanned,
             provider,
+            embedder,
+            finder,
             cache=None if cache is None else cache.drop("batch_id"),
-            index=None if index is None else index.drop("batch_id"),
+            index=None if index is None else index.drop("batch_id", other),
         )
         write = lambda df, name: df.write.mode("overwrite").parquet(f"{root}/{name}/batch_id={batch_id}")
         write(done.entries, "index")
@@ -76,11 +86,16 @@ def ingest_batch(root: str, provider: Provider) -> Callable[[DataFrame, int], No
 
 
 def start_ingest(
-    pages: DataFrame, root: str, checkpoint: str, provider: Provider
+    pages: DataFrame,
+    root: str,
+    checkpoint: str,
+    provider: Provider,
+    embedder: Embedder = embed_words,
+    finder: Finder | None = None,
 ) -> StreamingQuery:
     """Runs everything that has arrived, then stops; start again to continue."""
     return (
-        pages.writeStream.foreachBatch(ingest_batch(root, provider))
+        pages.writeStream.foreachBatch(ingest_batch(root, provider, embedder, finder))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
@@ -100,4 +115,5 @@ def stream_runs(spark: SparkSession, root: str) -> DataFrame:
 def stream_index(spark: SparkSession, root: str) -> DataFrame:
     """The index: across batches, the latest job of each content hash."""
     rows = spark.read.schema(STORED_JOB).parquet(f"{root}/index")
-    return latest_per_hash(rows).select("seq", *JOB_COLUMNS, "words", "batch_id")
+    latest = latest_per_hash(rows, F.struct("batch_id", "seq"))
+    return latest.select("seq", *JOB_COLUMNS, "words", "vector", "batch_id")
