@@ -506,6 +506,32 @@ SELECT seq, source, url, CASE WHEN seq IN (SELECT seq FROM dropped) THEN 'duplic
   CAST(NULL AS VARCHAR) AS error FROM refined
 UNION ALL
 SELECT seq, source, url, 'error', 'fetch failed: no page for ' || url FROM ({derived(D.WORK_ITEMS)}) w WHERE source = 'lost'"""
+_bits = "CAST(array_to_string(list_transform(range({0}), lambda i: CASE WHEN list_contains(list(pos), i) THEN '1' ELSE '0' END), '') AS BIT)"
+_score, _reasons = scores(DEFAULT_COUNTRIES)
+
+
+def marks(name: str, texts: str) -> str:
+    """``name(seq, n, bits)``: which places the words of ``texts(seq, t)`` are hashed to."""
+    return f"""{name} AS MATERIALIZED (SELECT seq, count(*) AS n, {_bits.format(vectors.HASHED_DIM)} AS bits
+  FROM (SELECT DISTINCT seq, {_bucket} AS pos FROM (SELECT seq, unnest({words("t")}) AS w FROM ({texts}))) GROUP BY seq)"""
+
+
+_alike = "round(bit_count(x.bits & y.bits) / sqrt(x.n::DOUBLE * y.n), 9)"
+ORACLE["pages_to_ranks"] = f"""WITH RECURSIVE {REFINED},
+origin AS (SELECT *, first_value(seq) OVER (PARTITION BY text_hash ORDER BY seq) AS first_seq FROM refined),
+rendered AS (SELECT seq, {job_rendering("array_to_string(stack, ', ')", "text")} AS t FROM origin WHERE seq = first_seq),
+{marks("marked", "SELECT seq, t FROM rendered")},
+{marks("asked", "SELECT item_id AS seq, text AS t FROM benchmark")},
+{greedy("sets AS MATERIALIZED (SELECT o.seq, m.n, m.bits FROM origin o JOIN marked m ON m.seq = o.first_seq)",
+        f"pairs AS MATERIALIZED (SELECT x.seq AS a, y.seq AS b, {_alike} AS similarity FROM sets x JOIN sets y ON x.seq < y.seq WHERE {_alike} >= {THRESHOLD})")},
+idx AS (SELECT o.*, {content_key("company", "title", "location")} AS content_hash, s.n, s.bits FROM origin o JOIN sets s USING (seq)
+  WHERE o.seq NOT IN (SELECT seq FROM dropped) QUALIFY row_number() OVER (PARTITION BY content_hash ORDER BY o.seq DESC) = 1),
+eligible AS (SELECT * FROM idx WHERE {ELIGIBLE}),
+hits AS (SELECT y.seq AS cv_id, x.content_hash, {_alike} AS similarity FROM eligible x, asked y
+  QUALIFY row_number() OVER (PARTITION BY cv_id ORDER BY similarity DESC, x.content_hash) <= 20),
+scored AS (SELECT h.cv_id, h.similarity, j.*, {_score} AS match_score, {_reasons} AS match_reasons FROM hits h JOIN eligible j USING (content_hash))
+SELECT cv_id, row_number() OVER (PARTITION BY cv_id ORDER BY match_score DESC, similarity DESC, content_hash) AS position, content_hash,
+  title, company, country, round(similarity, 6) AS similarity, round(match_score, 6) AS match_score, match_reasons FROM scored"""
 ORACLE["ingest_stream"] = f"""{INGESTED}
 SELECT url, source, CASE WHEN seq IN (SELECT seq FROM dropped) THEN 'duplicate' ELSE 'indexed' END AS outcome,
   CAST(NULL AS VARCHAR) AS error FROM refined"""

@@ -13,7 +13,7 @@ from vocara.operators import cost, dedup, evaluation, extraction, index, outcome
 from vocara.operators.picking import keep_first
 from vocara.plans import datasets as D
 from vocara.plans.evaluate import evaluate
-from vocara.plans.ingest import Ingested, extract_jobs, ingest
+from vocara.plans.ingest import Ingested, embed_hashed, extract_jobs, ingest
 from vocara.plans.rank import DASHBOARD_MATCHES, dashboard_matches, rank_export
 from vocara.session import scratch_path
 from vocara.sources import readers, sinks
@@ -108,12 +108,12 @@ def ranked(spark: SparkSession, sf: str) -> DataFrame:
     return ranking.rank_batch(job_index(spark, sf), D.profiles(spark, sf))
 
 
-def run_ingest(spark: SparkSession, sf: str) -> Ingested:
+def run_ingest(spark: SparkSession, sf: str, **options) -> Ingested:
     """All derived postings and the lost urls, extracted by the rules."""
     pages = posting_pages(spark, sf)
     lost = D.derive(spark, sf, D.WORK_ITEMS).filter(F.col("source") == "lost")
     items = pages.select("seq", "source", "url").unionByName(lost)
-    return ingest(items, pages, extraction.rule_provider())
+    return ingest(items, pages, extraction.rule_provider(), **options)
 
 
 # ---- scans, sources, sinks -----------------------------------------------------------
@@ -621,6 +621,20 @@ def ingest_(spark, sf):
 QUERIES["ingest"] = QUERIES.pop("ingest_")
 
 
+@query
+def pages_to_ranks(spark, sf):
+    """From captured pages and profile texts to ranked jobs, one embedder for both."""
+    done = run_ingest(spark, sf, embedder=embed_hashed, finder=dedup.DenseVectors(dedup.THRESHOLD))
+    profiles = D.table(spark, sf, "benchmark").select(
+        F.col("item_id").alias("cv_id"), vectors.hashed_vector(F.coalesce("text", F.lit(""))).alias("cv_vector")
+    )
+    return ranking.rank_batch(done.index, profiles).select(
+        "cv_id", F.col("position").cast("bigint").alias("position"), "content_hash", "title", "company", "country",
+        F.round("similarity", 6).alias("similarity"), F.round("match_score", 6).alias("match_score"),
+        joined("match_reasons"),
+    )
+
+
 # ---- streaming -----------------------------------------------------------------------
 
 
