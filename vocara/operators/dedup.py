@@ -172,7 +172,8 @@ class DenseVectors:
     """
 
     ROWS_PER_PIVOT = 20_000
-    MAX_PIVOTS = 256
+    # The pivots are known to every task, with all their distances: 32 MB at most.
+    MAX_PIVOTS = 2_048
     TILE_ROWS = 4_096
     ASSIGNED = "seq bigint, vector array<double>, cell int"
     PAIR = "a bigint, b bigint, similarity double"
@@ -195,17 +196,15 @@ class DenseVectors:
     def prepare(self, rows: DataFrame) -> DataFrame:
         """Casts the vectors and picks the pivots: a bounded pseudo-random sample of rows."""
         rows = rows.select("seq", F.col("vector").cast("array<double>").alias("vector"))
-        wanted = min(self.MAX_PIVOTS, ceil(rows.count() / self.rows_per_pivot))
-        self.pivots = None
-        if wanted > 1:
-            picked = rows.orderBy(F.xxhash64("seq"), "seq").limit(wanted).toPandas()
-            self.pivots = unit_rows(picked["vector"])
+        wanted = min(self.MAX_PIVOTS, max(1, ceil(rows.count() / self.rows_per_pivot)))
+        picked = rows.orderBy(F.xxhash64("seq"), "seq").limit(wanted).toPandas()
+        self.pivots = None if picked.empty else unit_rows(picked["vector"])
         return rows
 
     def _assign(self, rows: DataFrame, with_borders: bool) -> DataFrame:
         rows = rows.select("seq", "vector")
-        if self.pivots is None:
-            return rows.withColumn("cell", F.lit(0))
+        if self.pivots is None:  # no row was prepared, so there is nothing to meet
+            return rows.limit(0).withColumn("cell", F.lit(0))
         pivots, radius = self.pivots, self.radius
 
         def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -120,6 +120,16 @@ UNION ALL
 SELECT 3 * doc_id + 2 AS seq, 'lost' AS source, concat('https://lost.example.com/', CAST(doc_id AS STRING)) AS url FROM {labels}
 """
 
+# Every vector, and a copy that is moved along its first axis, by more or by less
+# (Spark's dialect; the other engine's form stands with its queries).
+MOVED_VECTORS = """
+SELECT 2 * vec_id AS seq, CAST(embedding AS ARRAY<DOUBLE>) AS vector FROM {embeddings}
+UNION ALL
+SELECT 2 * vec_id + 1 AS seq, concat(array(CAST(embedding[0] AS DOUBLE) + (vec_id % 8) * CAST('0.05' AS DOUBLE)),
+                                     slice(CAST(embedding AS ARRAY<DOUBLE>), 2, size(embedding) - 1)) AS vector
+FROM {embeddings}
+"""
+
 # A call log: one call per conversation turn, four characters to a token.
 CALLS = """
 SELECT conv_id AS run_id, turn, CASE conv_id % 7 WHEN 0 THEN 'claude-haiku-4-5' WHEN 1 THEN 'claude-opus-4-8' WHEN 2 THEN 'gpt-5-mini'

@@ -444,8 +444,11 @@ WHERE b IN (SELECT seq FROM dropped) AND a NOT IN (SELECT seq FROM dropped)
 QUALIFY row_number() OVER (PARTITION BY b ORDER BY pairs.similarity DESC, a) = 1"""
 _vectors = "sets AS (SELECT vec_id AS seq, CAST(embedding AS DOUBLE[]) AS u FROM embeddings)"
 _cos = "round(list_dot_product(x.u, y.u) / sqrt(list_dot_product(x.u, x.u) * list_dot_product(y.u, y.u)), 9)"
-_vector_pairs = f"pairs AS MATERIALIZED (SELECT x.seq AS a, y.seq AS b FROM sets x JOIN sets y ON x.seq < y.seq WHERE {_cos} >= 0.4)"
-ORACLE["dedup_near_vectors"] = f"""WITH RECURSIVE {greedy(_vectors, _vector_pairs)}
+_vector_pairs = f"pairs AS MATERIALIZED (SELECT x.seq AS a, y.seq AS b FROM sets x JOIN sets y ON x.seq < y.seq WHERE {_cos} >= {{}})"
+_moved = """sets AS MATERIALIZED (SELECT 2 * vec_id AS seq, CAST(embedding AS DOUBLE[]) AS u FROM embeddings UNION ALL
+SELECT 2 * vec_id + 1, list_prepend(CAST(embedding[1] AS DOUBLE) + (vec_id % 8) * 0.05::DOUBLE, CAST(embedding AS DOUBLE[])[2:]) FROM embeddings)"""
+for _name, _sets, _least in (("dedup_near_vectors", _vectors, 0.4), ("dedup_near_cells", _moved, THRESHOLD)):
+    ORACLE[_name] = f"""WITH RECURSIVE {greedy(_sets, _vector_pairs.format(_least))}
 SELECT seq, seq IN (SELECT seq FROM dropped) AS is_duplicate FROM sets"""
 
 # ---- aggregations --------------------------------------------------------------------

@@ -500,10 +500,19 @@ def dedup_near(spark, sf):
     return dedup.dedup_near(_document_words(spark, sf), dedup.WordSets(dedup.THRESHOLD))
 
 
+def _vectors(spark: SparkSession, sf: str) -> DataFrame:
+    return D.table(spark, sf, "embeddings").select(F.col("vec_id").alias("seq"), F.col("embedding").alias("vector"))
+
+
 @query
 def dedup_near_vectors(spark, sf):
-    rows = D.table(spark, sf, "embeddings").select(F.col("vec_id").alias("seq"), F.col("embedding").alias("vector"))
-    return dedup.dedup_near(rows, dedup.DenseVectors(0.4))
+    return dedup.dedup_near(_vectors(spark, sf), dedup.DenseVectors(0.4))
+
+
+@query
+def dedup_near_cells(spark, sf):
+    """Vectors and near copies of all, at the threshold of postings, in many small cells and tiles."""
+    return dedup.dedup_near(D.derive(spark, sf, D.MOVED_VECTORS), dedup.DenseVectors(dedup.THRESHOLD, rows_per_pivot=100, tile_rows=64))
 
 
 # ---- aggregations --------------------------------------------------------------------
