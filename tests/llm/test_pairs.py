@@ -171,6 +171,17 @@ def test_cap_filters_find_pairs_near_the_threshold():
     assert met >= 294
 
 
+@pytest.mark.parametrize("size", [80_000, 5_000_000, 120_000_000])
+def test_cap_filters_keep_their_recall_at_every_code_size(size):
+    rng = np.random.default_rng(21)
+    fitted, fresh = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in rng.standard_normal((2, 512, 64)))
+    words = cap_filters.code_words(size)
+    bound, least = cap_filters.choose_filters(fitted, words)
+    assert cap_filters.missed(fresh, 0.95, words, bound, least, 4096, 4096) <= 8
+    if size > 80_000:  # fixed numbers of filters lose pairs in a large code
+        assert cap_filters.missed(fresh, 0.95, words, cap_filters.fit_bound(fitted, words), cap_filters.LEAST, 4096, 4096) > 8
+
+
 def test_decode_lists_exactly_the_filters_over_the_bound():
     rng = np.random.default_rng(4)
     first, second = rng.standard_normal(49), rng.standard_normal(49)

@@ -10,10 +10,12 @@ filter meet and every meeting is verified by the cosine in double precision.
   filter. A filter that holds many classes is cut into chunks that meet in tiles.
 * A pair can share many filters; it is counted at the smallest one. A tile leaves a count and a
   root per member, no pairs; components follow from the roots.
-* The number of directions grows with the number of vectors, so a filter keeps the same number
-  of random members at every size. The bound is fitted to a sample of at most ``SAMPLE`` rows:
-  it gives ``FILTERS`` filters per vector. A vector that exceeds fewer than ``LEAST`` gets its
-  best ``LEAST`` ones, so no vector goes without a chance.
+* The number of directions grows with the number of vectors, so the number of tiles per vector
+  is the same at every size. Caps of a larger code are narrower and a pair shares fewer of them,
+  so filters per vector follow from the wanted recall: ``choose_filters`` plants partners at the
+  threshold beside a sample of at most ``SAMPLE`` rows and takes the least number with which the
+  code in use brings ``RECALL`` of them together. A vector that exceeds fewer than half of that
+  number gets its best ones up to half, so no vector goes without a chance.
 
 Cases: vectors that are null, empty, zero or hold null or non-finite components link with
 nothing and stand alone; vectors of different widths are never compared; repeated rows of one
@@ -31,6 +33,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from vocara.llm.common import materialize
 from vocara.llm.components import components
@@ -38,12 +41,17 @@ from vocara.llm.tiles import CHUNK, roots, symmetric
 
 THRESHOLD = 0.95
 BLOCKS = 4
-#: Filters per vector on average, and at least.
+#: Share of pairs at the threshold that meet in a filter; pairs above it meet more often.
+RECALL = 0.999
+#: Filters per vector on average, and at least: the first numbers tried.
 FILTERS = 24
 LEAST = 12
-#: Unrelated members of a filter on average.
+#: Unrelated members of a filter on average with ``FILTERS`` per vector.
 OCCUPANCY = 32
 SAMPLE = 512
+#: Planted pairs, and the chance that a code of less recall passes on them.
+PLANTED = 8192
+DOUBT = 0.05
 SEED = 71
 
 
@@ -84,8 +92,13 @@ def decode(first: np.ndarray, second: np.ndarray, bound: float, least: int) -> n
     return head.astype(np.int64) * second.size + tail
 
 
-def fit_bound(sample: np.ndarray, words: int) -> float:
-    """The bound at which sample vectors exceed ``FILTERS`` filters on average."""
+def code_words(n: int) -> int:
+    """Codewords a block for ``n`` vectors."""
+    return max(4, math.ceil((FILTERS * n / OCCUPANCY) ** (1 / BLOCKS)))
+
+
+def fit_bound(sample: np.ndarray, words: int, filters: int = FILTERS) -> float:
+    """The bound at which sample vectors exceed ``filters`` filters on average."""
     first, second = halves(sample, words)
     second = np.sort(second, axis=1)
     low, high = -1.0, 1.0
@@ -95,26 +108,72 @@ def fit_bound(sample: np.ndarray, words: int) -> float:
         for a, b in zip(first, second, strict=True):
             heads = a[a + b[-1] > middle]
             count += len(b) * len(heads) - np.searchsorted(b, middle - heads, side="right").sum()
-            if count > FILTERS * len(first):
+            if count > filters * len(first):
                 break
-        low, high = (middle, high) if count > FILTERS * len(first) else (low, middle)
+        low, high = (middle, high) if count > filters * len(first) else (low, middle)
     return high
 
 
+def planted(sample: np.ndarray, cosine: float, count: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row of the sample, partner at that cosine in a random direction) of ``count`` pairs."""
+    rng = np.random.default_rng(SEED)
+    row = np.arange(count) % len(sample)
+    x = sample[row]
+    side = rng.standard_normal(x.shape)
+    side -= (side * x).sum(axis=1, keepdims=True) * x
+    length = np.linalg.norm(side, axis=1, keepdims=True)
+    side = np.divide(side, length, out=np.zeros_like(side), where=length > 0)
+    partner = cosine * x + math.sqrt(1 - cosine * cosine) * side
+    return row, partner / np.linalg.norm(partner, axis=1, keepdims=True)
+
+
+def missed(sample: np.ndarray, cosine: float, words: int, bound: float, least: int, count: int, most: int) -> int:
+    """How many of ``count`` planted pairs share no filter; counting ends beyond ``most``."""
+    row, partner = planted(sample, cosine, count)
+    lists = lambda x: [decode(a, b, bound, least) for a, b in zip(*halves(x, words), strict=True)]
+    own = [x for at in range(0, len(sample), 256) for x in lists(sample[at : at + 256])]
+    lost = 0
+    for at in range(0, count, 256):
+        lost += sum(not np.isin(own[row[at + i]], x).any() for i, x in enumerate(lists(partner[at : at + 256])))
+        if lost > most:
+            break
+    return lost
+
+
+def choose_filters(sample: np.ndarray, words: int, threshold: float = THRESHOLD, recall: float = RECALL) -> tuple[float, int]:
+    """(bound, least filters of a vector) with which pairs at the threshold meet with probability
+    ``recall``: the first number of filters at which so few planted pairs are lost that a smaller
+    recall would lose as few with a chance of ``DOUBT`` at most."""
+    expected = PLANTED * (1 - recall)
+    term = chance = math.exp(-expected)
+    most = 0
+    while chance + term * expected / (most + 1) <= DOUBT:
+        most += 1
+        term *= expected / most
+        chance += term
+    filters, every = FILTERS, words**BLOCKS
+    while filters < every:
+        bound = fit_bound(sample, words, filters)
+        if missed(sample, threshold, words, bound, filters * LEAST // FILTERS, PLANTED, most) <= most:
+            return bound, filters * LEAST // FILTERS
+        filters = math.ceil(filters * 1.25)
+    return -math.inf, every  # every filter
+
+
 def _unit(column: pd.Series) -> np.ndarray:
     x = np.stack(column.to_numpy()).astype(np.float64)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _decoder(codes: dict[int, tuple[int, float]]):
+def _decoder(codes: dict[int, tuple[int, float, int, int]]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for at in range(0, len(batch), 500):
                 rows = batch.iloc[at : at + 500]
                 for width, frame in rows.groupby(rows["embedding"].map(len)):
-                    words, bound = codes[width]
+                    words, bound, least, start = codes[width]
                     first, second = halves(_unit(frame["embedding"]), words)
-                    lists = [decode(a, b, bound, LEAST) + width * (words**BLOCKS) for a, b in zip(first, second, strict=True)]
+                    lists = [decode(a, b, bound, least) + start for a, b in zip(first, second, strict=True)]
                     yield pd.DataFrame({"rep": frame["rep"], "copies": frame["copies"], "embedding": frame["embedding"], "filters": [np.sort(x) for x in lists]})
 
     return run
@@ -125,13 +184,20 @@ def verify_tile(ids, weights, unit, filters, here: int, side, crossed: bool, thr
     left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
     a, b = (left, right) if crossed else (left, left)
     linked = unit[a] @ unit[b].T >= threshold
-    lower = [f[f < here] for f in filters]
+    links, root = np.zeros(len(ids), dtype=np.int64), ids.copy()
+    if not crossed:
+        np.fill_diagonal(linked, False)
+    if not linked.any():
+        return links, root
+    met = np.zeros(len(ids), dtype=bool)
+    met[a], met[b] = met[a] | linked.any(axis=1), met[b] | linked.any(axis=0)
+    lower = [f[f < here] if m else f[:0] for f, m in zip(filters, met, strict=True)]
     owner = np.repeat(np.arange(len(lower)), [len(x) for x in lower])
     _, column = np.unique(np.concatenate(lower), return_inverse=True) if len(owner) else (None, np.zeros(0, dtype=np.int64))
     where = np.zeros(len(ids), dtype=np.int64)
     where[left], where[right] = np.arange(len(left)), np.arange(len(right))
     earlier = np.zeros(linked.shape, dtype=np.float32)
-    if linked.any() and len(column):
+    if len(column):
         order = np.argsort(column, kind="stable")
         owner, column = owner[order], column[order]
         for first in range(0, int(column[-1]) + 1, 4096):
@@ -145,10 +211,7 @@ def verify_tile(ids, weights, unit, filters, here: int, side, crossed: bool, thr
     if crossed:
         linked, counted, members = symmetric(linked), symmetric(counted), np.concatenate((left, right))
     else:
-        np.fill_diagonal(linked, False)
-        np.fill_diagonal(counted, False)
         members = left
-    links, root = np.zeros(len(ids), dtype=np.int64), np.zeros(len(ids), dtype=np.int64)
     links[members] = counted @ weights[members]
     root[members] = roots(linked, ids[members])
     return links, root
@@ -181,7 +244,9 @@ def usable(vector) -> object:
 
 def cap_filter_join(embeddings: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row per vector: ``vec_id``, ``n_links``, ``component_id``, ``kept``."""
-    vectors = embeddings.where("vec_id is not null").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    # floats travel as they are, half as wide as doubles
+    kind = "array<float>" if embeddings.schema["embedding"].dataType == ArrayType(FloatType()) else "array<double>"
+    vectors = embeddings.where("vec_id is not null").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("embedding"))
     vectors = vectors.withColumn("key", F.when(F.coalesce(usable(F.col("embedding")), F.lit(False)), F.sha2(F.to_json("embedding"), 256)))
     keyed = materialize(vectors, "vectors")
     classes = materialize(
@@ -191,13 +256,16 @@ def cap_filter_join(embeddings: DataFrame, threshold: float = THRESHOLD) -> Data
         .select("key", "copies", F.col("first.vec_id").alias("rep"), "first.embedding"),
         "classes",
     )
-    codes = _fit(classes)
+    codes, total = _fit(classes, threshold)
+    number = "int" if total < 1 << 31 else "long"
     decoded = materialize(
-        classes.select("rep", "copies", "embedding").mapInPandas(_decoder(codes), "rep long, copies long, embedding array<double>, filters array<long>"), "decoded"
+        classes.select("rep", "copies", "embedding").mapInPandas(_decoder(codes), f"rep long, copies long, embedding {kind}, filters array<{number}>"), "decoded"
     )
     met = decoded.select(F.explode("filters").alias("filter")).groupBy("filter").agg(F.count("*").alias("members")).where("members > 1")
     met = materialize(met.withColumn("chunks", F.ceil(F.col("members") / CHUNK).cast("int")), "filters")
-    placed = decoded.select("rep", "copies", "embedding", "filters", F.explode("filters").alias("filter")).join(met, "filter")
+    placed = decoded.select("rep", "copies", "embedding", "filters", F.posexplode("filters").alias("at", "filter"))
+    # a tile asks for smaller filters alone
+    placed = placed.withColumn("filters", F.slice("filters", F.lit(1), F.col("at"))).join(met, "filter")
     placed = placed.withColumn("mine", F.pmod(F.xxhash64("rep"), "chunks").cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     placed = placed.select(
@@ -231,14 +299,16 @@ def cap_filter_join(embeddings: DataFrame, threshold: float = THRESHOLD) -> Data
     )
 
 
-def _fit(classes: DataFrame) -> dict[int, tuple[int, float]]:
-    """Per width: codewords a block, and the bound. Widths are few; the sample is bounded."""
-    codes = {}
-    for row in classes.groupBy(F.size("embedding").alias("width")).agg(F.count("*").alias("n")).collect():
-        words = max(4, math.ceil((FILTERS * row["n"] / OCCUPANCY) ** (1 / BLOCKS)))
+def _fit(classes: DataFrame, threshold: float) -> tuple[dict[int, tuple[int, float, int, int]], int]:
+    """Per width: codewords a block, the bound, the least filters of a vector, the number of its
+    first filter; and the number of filters. Widths are few; the sample is bounded."""
+    codes, total = {}, 0
+    for row in classes.groupBy(F.size("embedding").alias("width")).agg(F.count("*").alias("n")).orderBy("width").collect():
+        words = code_words(row["n"])
         rows = classes.where(F.size("embedding") == row["width"]).orderBy("key").limit(SAMPLE).select("embedding").toPandas()
-        codes[row["width"]] = (words, fit_bound(_unit(rows["embedding"]), words))
-    return codes
+        codes[row["width"]] = (words, *choose_filters(_unit(rows["embedding"]), words, threshold), total)
+        total += words**BLOCKS
+    return codes, total
 
 
 def oracle(threshold: float = THRESHOLD) -> str:
