@@ -36,6 +36,22 @@ def test_top_k_equals_brute_force(spark, monkeypatch, shard):
     assert got == brute_top(rows, 50)
 
 
+@pytest.mark.parametrize("shard", [8192, 64])
+def test_top_k_holds_large_components(spark, monkeypatch, shard):
+    monkeypatch.setattr(ball_tree, "SHARD", shard)
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(x) for x in np.round(rng.standard_normal(6), 2)]) for i in range(300)]
+    rows += [(300, [5000.0, 1.0, -2.0, 0.5, 3.0, 1.0]), (350, [-4.0e6, 2.0, 1.0, 7.0e6, 0.25, 1.0]), (351, [3.0e6 + 0.125, 1.0, 2.0, 6.0e6, 1.0, 1.0])]
+    rows += [(352 + i, [3.0e6 + 0.125, 1.0, 2.0, 6.0e6, 1.0, 1.0 + i / 256]) for i in range(4)]
+    whole = {i: [int(np.floor(256 * x)) for x in v] for i, v in rows}
+    want = set()
+    for q in (i for i in whole if i % 50 == 0):
+        best = sorted((-sum(a * b for a, b in zip(whole[q], x, strict=True)), i) for i, x in whole.items() if i != q)[:5]
+        want |= {(q, r + 1, i, -s) for r, (s, i) in enumerate(best)}
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    assert {tuple(r) for r in ball_tree.ball_tree_top_k(frame, F.col("vec_id") % 50 == 0).collect()} == want
+
+
 def test_top_k_of_nothing(spark):
     assert ball_tree.ball_tree_top_k(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.col("vec_id") % 50 == 0).count() == 0
 

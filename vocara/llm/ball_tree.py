@@ -8,7 +8,9 @@ the bound is under its current k-th score. A first wave answers every block on o
 k-th scores it finds start all other shards, so they prune from the first node on.
 
 Scores are integer inner products of floor(scale * x); the arithmetic is exact, as doubles hold
-integers up to 2^53 (components over 2^20 raise an error). Cases: vectors that are null, empty
+integers up to 2^53. Vectors with a component over 2^20, or of more than ``WIDEST`` components,
+are scored beside the tree in Python integers. Only what 64 bits cannot hold, a component or a
+score, is an error, as it is in the SQL. Cases: vectors that are null, empty
 or hold null or non-finite components take no part, nor do rows without an id; vectors of
 another width than the query's are no candidates; repeated ids are rows of their own and a row
 never answers a query of the same id; ties go to the smaller id; fewer candidates than k give
@@ -30,6 +32,8 @@ SHARD = 8192
 BLOCK = 1024
 LEAF = 128
 MOST = 1 << 20
+#: Components of a vector whose products, each up to MOST squared, still add up exactly.
+WIDEST = 1 << 13
 
 
 class BallTree:
@@ -116,6 +120,28 @@ def search(tree: BallTree, queries: np.ndarray, own: np.ndarray, floor: np.ndarr
     return best
 
 
+def exact(x: np.ndarray, ids: np.ndarray, q: np.ndarray, own: np.ndarray, k: int) -> tuple[list[int], list[int], list[int]]:
+    """(row of the query, id, score) of the k best of each query, in integers of any size."""
+    rows: list[int] = []
+    found: list[int] = []
+    scores: list[int] = []
+    turned = x.astype(object).T
+    for row in range(len(q)):
+        score = q[row].astype(object) @ turned
+        for negative, vec_id in heapq.nsmallest(k, ((-s, i) for s, i in zip(score, ids.tolist(), strict=True) if i != own[row])):
+            rows.append(row)
+            found.append(vec_id)
+            scores.append(-negative)
+    return rows, found, scores
+
+
+def _large(x: np.ndarray) -> np.ndarray:
+    """Rows that doubles cannot score exactly."""
+    if (x == np.iinfo(np.int64).max).any() or (x == np.iinfo(np.int64).min).any():
+        raise ValueError("a scaled component does not fit 64 bits")
+    return (np.abs(x).max(axis=1) > MOST) | (x.shape[1] > WIDEST)
+
+
 def _wave(k: int):
     def one(candidates: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         found = []
@@ -123,15 +149,23 @@ def _wave(k: int):
             mine = candidates[candidates["x"].map(len) == width]
             if not len(mine):
                 continue
-            x, q = np.stack(mine["x"].to_numpy()).astype(np.float64), np.stack(block["q"].to_numpy()).astype(np.float64)
-            if max(np.abs(x).max(), np.abs(q).max()) > MOST:
-                raise ValueError("components over 2^20 would not be exact")
-            own = block["query_id"].to_numpy(np.int64)
-            best = search(BallTree(x, mine["vec_id"].to_numpy(np.int64)), q, own, block["floor"].to_numpy(np.float64), k)
-            row, place = np.nonzero(best.score > -np.inf)
-            found.append(
-                pd.DataFrame({"query_id": own[row], "line": block["line"].to_numpy()[row], "vec_id": best.id[row, place], "score": best.score[row, place].astype(np.int64)})
-            )
+            x, q = np.stack(mine["x"].to_numpy()).astype(np.int64), np.stack(block["q"].to_numpy()).astype(np.int64)
+            ids, own, line = mine["vec_id"].to_numpy(np.int64), block["query_id"].to_numpy(np.int64), block["line"].to_numpy()
+            large, asks_large = _large(x), _large(q)
+            small, rest = np.flatnonzero(~large), np.flatnonzero(~asks_large)
+            if len(small) and len(rest):
+                tree = BallTree(x[small].astype(np.float64), ids[small])
+                best = search(tree, q[rest].astype(np.float64), own[rest], block["floor"].to_numpy(np.float64)[rest], k)
+                row, place = np.nonzero(best.score > -np.inf)
+                found.append(
+                    pd.DataFrame({"query_id": own[rest][row], "line": line[rest][row], "vec_id": best.id[row, place], "score": best.score[row, place].astype(np.int64)})
+                )
+            for asked, against in ((rest, np.flatnonzero(large)), (np.flatnonzero(asks_large), np.arange(len(x)))):
+                if len(asked) and len(against):
+                    row, vec_id, score = exact(x[against], ids[against], q[asked], own[asked], k)
+                    found.append(
+                        pd.DataFrame({"query_id": own[asked][row], "line": line[asked][row], "vec_id": np.array(vec_id, dtype=np.int64), "score": np.array(score, dtype=np.int64)})
+                    )
         return pd.concat(found) if found else pd.DataFrame({"query_id": [], "line": [], "vec_id": [], "score": []}, dtype=np.int64)
 
     return one
