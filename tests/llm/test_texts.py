@@ -263,3 +263,12 @@ def test_extract_text_on_pages(spark):
     odd = spark.createDataFrame([(None, None, "<p>x</p>", 1), (2, "u", None, 1), (2, "u", None, 1)], "page_id long, url string, html string, text int")
     assert sorted((r["page_id"] or 0, r["text"], r["n_chars"]) for r in html_text.extract_text(odd).collect()) == [(0, "x", 1), (2, "", 0), (2, "", 0)]
     assert html_text.extract_text(odd.where("false")).count() == 0
+
+
+def test_training_windows_are_distinct(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(pii, "labelled", lambda rows: seen.append(rows) or ((), ()))
+    monkeypatch.setattr(pii.Tagger, "fit", lambda self, *a: None)
+    texts = ["card 4111111111111111 of a copy"] * 3000 + [f"number {i} call 0{i}555 now" for i in range(100, 140)]
+    pii.train(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"))
+    assert len(set(seen[0])) == 41 and max(map(seen[0].count, seen[0])) == 2

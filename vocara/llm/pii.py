@@ -389,7 +389,8 @@ def _windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def train(documents: DataFrame) -> Tagger | None:
     """A tagger for this corpus, or None where no text holds a digit or an @."""
     windows = documents.where(F.col("text").rlike("[0-9@]")).select("text").mapInPandas(_windows, "window string")
-    rows = windows.orderBy(F.xxhash64("window"), "window").limit(TRAIN_WINDOWS).toPandas()["window"].tolist()
+    # equal windows share a hash: a large group of copies would crowd the rest out
+    rows = windows.distinct().orderBy(F.xxhash64("window"), "window").limit(TRAIN_WINDOWS).toPandas()["window"].tolist()
     if not rows:
         return None
     tagger = Tagger()
