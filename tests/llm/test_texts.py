@@ -265,6 +265,19 @@ def test_extract_text_on_pages(spark):
     assert html_text.extract_text(odd.where("false")).count() == 0
 
 
+def test_short_blocks_beside_the_body_stay():
+    body = "A long sentence, with commas, that goes on and on about the matter at hand. " * 6
+    page = f"<body><nav><a href=x>Menu</a></nav><div><h2>Title</h2><div id=body><p>{body}</p><p>{body}</p></div><p>Short end.</p><p><a href=y>Next</a></p></div></body>"
+    assert html_text.main_text(page).split("\n") == ["Title", body.strip(), body.strip(), "Short end."]
+
+
+def test_a_form_around_the_page_is_a_container():
+    body = "A long sentence, with commas, that goes on and on about the matter at hand. " * 6
+    inner = f"<div id=body><p>{body}</p><p>{body}</p></div>"
+    assert html_text.main_text(f"<body><form action=x>{inner}<button>Send</button></form></body>") == f"{body.strip()}\n{body.strip()}"
+    assert "Your name" not in html_text.main_text(f"<body>{inner}<form><p>Your name and your message, please, in the field below.</p></form></body>")
+
+
 def test_training_windows_are_distinct(spark, monkeypatch):
     seen = []
     monkeypatch.setattr(pii, "labelled", lambda rows: seen.append(rows) or ((), ()))

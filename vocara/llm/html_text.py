@@ -4,9 +4,11 @@ Each page is read into a tree of containers and blocks of text. A block passes p
 parent and half of them to its grandparent: one, one for each comma, one for each hundred
 characters up to three. A container's points are discounted by the share of its text that stands
 in links. The container with the most points is the article; a sibling is kept with it when it
-has a fifth of those points or is a long block with few links.
+has a fifth of those points, is a long block with few links, or is a heading or paragraph
+without links.
 
-Never part of an article: scripts, styles, templates, forms and their controls, menus, page
+Never part of an article: scripts, styles, templates, forms and their controls (a form that holds
+most of the page's text is a container like any other), menus, page
 headers and footers, asides, and containers named like adverts, notices, sidebars or comments.
 Inside an article its own header counts as text. Character references are decoded, white space
 inside a block becomes one space, blocks stand in page order, one per line.
@@ -58,12 +60,12 @@ _SCOPES = frozenset("ul ol dl table div section article main body html".split())
 
 
 class Node:
-    __slots__ = ("name", "parent", "children", "dropped", "points", "chars", "linked", "block")
+    __slots__ = ("name", "parent", "children", "dropped", "points", "chars", "linked", "block", "form")
 
     def __init__(self, name: str, parent: Node | None, dropped: bool = False):
         self.name, self.parent, self.dropped = name, parent, dropped
         self.children: list = []
-        self.points, self.chars, self.linked, self.block = 0.0, 0, 0, False
+        self.points, self.chars, self.linked, self.block, self.form = 0.0, 0, 0, False, False
 
 
 def _unwanted(name: str, attrs: str, in_article: bool) -> bool:
@@ -124,6 +126,7 @@ def parse(page: str) -> Node:
             if node is not root and node.name in ends:
                 here = node.parent
         node = Node(name, here, _unwanted(name, m["attrs"], articles > 0))
+        node.form = name == "form" and not _unwanted("div", m["attrs"], articles > 0)
         here.children.append(node)
         if name in _RAW:
             end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
@@ -180,14 +183,40 @@ def _walk(root: Node) -> list[tuple[Node, str, bool]]:
     return blocks
 
 
+def _blocks(root: Node) -> list[tuple[Node, str, int]]:
+    """Blocks of the page; forms with most of its text are kept, all others dropped."""
+    forms, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        if node.form:
+            forms.append(node)
+            node.dropped = False
+        stack += [] if node.dropped else [child for child in node.children if not isinstance(child, str)]
+    blocks = _walk(root)
+    if not forms:
+        return blocks
+    held: dict[int, int] = {}
+    for owner, line, _ in blocks:
+        node = owner
+        while node is not None:
+            held[id(node)] = held.get(id(node), 0) + len(line)
+            node = node.parent
+    for node in forms:
+        node.dropped = 2 * held.get(id(node), 0) <= held.get(id(root), 0)
+    return _walk(root)
+
+
 _LEAF = frozenset("p h1 h2 h3 h4 h5 h6 li td th pre blockquote dd dt figcaption caption summary".split())
 
 
+_SHORT = frozenset("p h1 h2 h3 h4 h5 h6".split())
+
+
 def main_text(page: str | None) -> str:
     """The article of a page, blocks joined by line breaks."""
     if not page:
         return ""
-    blocks = _walk(parse(page))
+    blocks = _blocks(parse(page))
     if not blocks:
         return ""
     scored: list[Node] = []
@@ -224,7 +253,7 @@ def main_text(page: str | None) -> str:
             if isinstance(child, str) or child is best or child.dropped or not child.chars:
                 continue
             density = child.linked / child.chars
-            if value.get(id(child), 0.0) >= floor or (child.name in _LEAF and density < 0.25 and child.chars > 80):
+            if value.get(id(child), 0.0) >= floor or (child.name in _LEAF and density < 0.25 and child.chars > 80) or (child.name in _SHORT and not child.linked):
                 chosen.add(id(child))
         return "\n".join(line for owner, line, _ in blocks if _within(owner, chosen))
     return "\n".join(line for owner, line, _ in blocks if _within(owner, {id(best)}))
