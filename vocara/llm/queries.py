@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vocara.llm import ball_tree, cap_filters, mixing
+from vocara.llm import ball_tree, cap_filters, decontam, mixing
 from vocara.llm.ball_tree import ball_tree_top_k
 from vocara.llm.cap_filters import cap_filter_join
 from vocara.llm.common import read_table
+from vocara.llm.decontam import contamination_digest
 from vocara.llm.html_text import extract_text
 from vocara.llm.ngram_jaccard import ngram_jaccard_join
 from vocara.llm.packing import pack
@@ -30,10 +31,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": lambda s, d: pack(read_table(s, d, "documents")),
     "op9_token_counts": lambda s, d: count_tokens(read_table(s, d, "documents")),
     "op10_html_text": lambda s, d: extract_text(read_table(s, d, "pages")),
+    "op12_decontamination": lambda s, d: contamination_digest(read_table(s, d, "documents"), read_table(s, d, "benchmark")),
 }
 
 ORACLE: dict[str, str] = {
     "op2_embedding_near_dedup": cap_filters.oracle(),
     "op3_mix_sources": mixing.oracle(),
     "op7_top_k": ball_tree.oracle(),
+    "op12_decontamination": decontam.oracle(),
 }
