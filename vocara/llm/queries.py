@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vocara.llm import ball_tree, cap_filters, decontam, mixing
+from vocara.llm import ball_tree, cap_filters, decontam, divergence, mixing
 from vocara.llm.ball_tree import ball_tree_top_k
 from vocara.llm.cap_filters import cap_filter_join
 from vocara.llm.common import read_table
@@ -31,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": lambda s, d: pack(read_table(s, d, "documents")),
     "op9_token_counts": lambda s, d: count_tokens(read_table(s, d, "documents")),
     "op10_html_text": lambda s, d: extract_text(read_table(s, d, "pages")),
+    "op11_source_divergence": lambda s, d: divergence.divergence(read_table(s, d, "documents")),
     "op12_decontamination": lambda s, d: contamination_digest(read_table(s, d, "documents"), read_table(s, d, "benchmark")),
 }
 
@@ -38,5 +39,6 @@ ORACLE: dict[str, str] = {
     "op2_embedding_near_dedup": cap_filters.oracle(),
     "op3_mix_sources": mixing.oracle(),
     "op7_top_k": ball_tree.oracle(),
+    "op11_source_divergence": divergence.oracle(),
     "op12_decontamination": decontam.oracle(),
 }
