@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vocara.llm import ball_tree, cap_filters, decontam, divergence, mixing
+from vocara.llm import ball_tree, cap_filters, decontam, divergence, hard_negatives, mixing
 from vocara.llm.ball_tree import ball_tree_top_k
 from vocara.llm.cap_filters import cap_filter_join
 from vocara.llm.common import read_table
@@ -33,6 +33,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_html_text": lambda s, d: extract_text(read_table(s, d, "pages")),
     "op11_source_divergence": lambda s, d: divergence.divergence(read_table(s, d, "documents")),
     "op12_decontamination": lambda s, d: contamination_digest(read_table(s, d, "documents"), read_table(s, d, "benchmark")),
+    "op13_hard_negatives": lambda s, d: hard_negatives.mine_hard_negatives(read_table(s, d, "embeddings")),
 }
 
 ORACLE: dict[str, str] = {
@@ -41,4 +42,5 @@ ORACLE: dict[str, str] = {
     "op7_top_k": ball_tree.oracle(),
     "op11_source_divergence": divergence.oracle(),
     "op12_decontamination": decontam.oracle(),
+    "op13_hard_negatives": hard_negatives.oracle(),
 }
