@@ -50,8 +50,8 @@ TOP_TERMS = 50
 
 #: Cells of one dense block of p values (sources x terms), 32 MB of int64.
 CELLS = 1 << 22
-#: Bytes of text a task turns into arrays at once.
-CHUNK_BYTES = 1 << 24
+#: Bytes of text a task turns into arrays at once (about 40 bytes of arrays each at the peak).
+CHUNK_BYTES = 1 << 21
 #: Slices of a group's terms ranked apart before the final top 50.
 SLICES = 64
 
@@ -114,7 +114,6 @@ def count_terms_in(data: np.ndarray, offsets: np.ndarray, groups: np.ndarray) ->
     low = np.where(upper, b | 0x20, b).astype(np.uint8)
     mark = (b >= 0x80) | (((b | 0x20) >= 0x61) & ((b | 0x20) <= 0x7A))
     lengths_of_rows = np.diff(offsets)
-    row_of = np.repeat(np.arange(len(lengths_of_rows)), lengths_of_rows)
     first = np.zeros(size + 1, dtype=bool)
     first[offsets[:-1][lengths_of_rows > 0] - offsets[0]] = True
     first[size] = True
@@ -125,7 +124,7 @@ def count_terms_in(data: np.ndarray, offsets: np.ndarray, groups: np.ndarray) ->
     if not len(starts):
         return []
     lengths = ends - starts
-    rows = row_of[starts]
+    rows = np.searchsorted(offsets - offsets[0], starts, side="right") - 1
     group = groups[rows].astype(np.uint64)
     out: list[tuple[int, bytes, int, int]] = []
     for n_words, sel in ((1, lengths <= 8), (2, (lengths > 8) & (lengths <= 16))):
