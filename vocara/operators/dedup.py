@@ -6,12 +6,13 @@ of the similarity graph, and it is computed here without ever listing that whole
 
 1. Equal vectors collapse to their first row. Its copies are always duplicates, whatever
    happens to the first row, so a group of copies of any size costs one aggregation.
-2. The distinct rows are taken in ranges of ``seq``. A range first loses every row that
-   resembles a row kept earlier. Kept rows do not resemble each other, so this step pairs
-   a dense cluster with its few survivors instead of with itself.
-3. Only if the rest of a range is cheap enough are its own pairs listed and resolved;
-   otherwise the range is halved, earlier half first. Nothing is capped: a range that
-   cannot be listed at once is simply finished in smaller steps.
+2. All distinct rows are undecided, then decided in rounds over all of them at once. A row
+   is kept as soon as no undecided earlier row resembles it, and every row resembling a kept
+   row is dropped. A round asks each undecided row only whether such an earlier neighbour
+   exists: first against the earliest row of each of its keys (prefix words, pivot cells),
+   which settles the members of a dense cluster with one pair each; the full search runs
+   only for the rows that probe left open. The rounds follow the longest chain of decisions,
+   not the number of rows or pairs; no range of ``seq`` is taken apart.
 
 How similar pairs are found is up to a *finder*: :class:`WordSets` for presence vectors
 over an open vocabulary, :class:`DenseVectors` for vectors of fixed width. Both are exact.
@@ -108,6 +109,11 @@ class WordSets:
         the pairs to look at."""
         return _pairs_per_key(self._prefix(rows, "a"), None if others is None else self._prefix(others, "a"), "word")
 
+    def firsts(self, rows: DataFrame) -> DataFrame:
+        """The rows that come first among those holding one of their prefix words."""
+        least = self._prefix(rows, "a").groupBy("word").agg(F.min("a").alias("seq")).select("seq").distinct()
+        return rows.join(least, "seq", "left_semi")
+
     def pairs(self, left: DataFrame, right: DataFrame, ordered: bool = True) -> DataFrame:
         """Similar pairs ``a, b, similarity``, ``a`` from ``left`` and ``b`` from ``right``; with
         ``ordered`` only those with ``a`` before ``b``, else all (the sides share no row)."""
@@ -231,6 +237,11 @@ class DenseVectors:
         borders = None if others is None else self._assign(others, with_borders=True)
         return _pairs_per_key(self._assign(rows, with_borders=False), borders, "cell")
 
+    def firsts(self, rows: DataFrame) -> DataFrame:
+        """The first row of every pivot cell."""
+        least = self._assign(rows, with_borders=False).groupBy("cell").agg(F.min("seq").alias("seq")).select("seq")
+        return rows.join(least, "seq", "left_semi")
+
     def pairs(self, left: DataFrame, right: DataFrame, ordered: bool = True) -> DataFrame:
         a, b = self._assign(left, with_borders=True), self._assign(right, with_borders=False)
         n_tiles = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) / self.tile_rows)).cast("int")
@@ -303,37 +314,32 @@ def _collapse(rows: DataFrame, finder: Finder) -> tuple[DataFrame, DataFrame]:
     return distinct, members
 
 
-def _halved(batch: DataFrame) -> list[DataFrame]:
-    """The later and the earlier half of a range of ``seq``; nothing when it holds one row."""
-    low, middle, high = batch.agg(F.min("seq"), F.percentile_approx("seq", 0.5), F.max("seq")).first()
-    if low is None or low == high:
-        return []
-    later = F.col("seq") > min(middle, high - 1)
-    return [batch.filter(later), batch.filter(~later)]
-
-
 def greedy_kept(distinct: DataFrame, finder: Finder, pair_budget: int | None = None) -> DataFrame:
-    """The prepared, pairwise different rows that greedy selection keeps."""
+    """The prepared, pairwise different rows that greedy selection keeps.
+
+    Round by round over all undecided rows: probe each against the first row of each of its
+    keys, search fully only for the rows the probe left open, keep those without an undecided
+    earlier neighbour and drop what resembles them. ``pair_budget`` is no longer needed (no
+    range is ever split) and is accepted for callers of the former interface.
+    """
     spark = distinct.sparkSession
-    budget = pair_budget or PAIRS_PER_CORE * spark.sparkContext.defaultParallelism
     kept: list[str] = []
-    read = lambda paths: spark.read.schema(distinct.schema).parquet(*paths)
-    # Ranges still to do, the earliest last, each with the kept parts it was held against.
-    todo: list[tuple[DataFrame, int]] = [(distinct, 0)]
-    while todo:
-        batch, seen = todo.pop()
-        if kept[seen:]:
-            if finder.work(batch, read(kept[seen:])) > budget and (halves := _halved(batch)):
-                todo.extend((half, seen) for half in halves)
-                continue
-            similar = finder.pairs(read(kept[seen:]), batch).select(F.col("b").alias("seq"))
-            batch = materialize(batch.join(similar.distinct(), "seq", "left_anti"), "range")
-        if finder.work(batch) > budget and (halves := _halved(batch)):
-            todo.extend((half, len(kept)) for half in halves)
-            continue
-        pairs = materialize(finder.pairs(batch, batch), "pairs")
-        kept.append(store(batch.join(resolve(pairs), "seq", "left_anti").select(*distinct.columns), "kept"))
-    return read(kept)
+    undecided = distinct
+    while not undecided.isEmpty():
+        earlier = lambda left, right: finder.pairs(left, right).select(F.col("b").alias("seq")).distinct()
+        probed = materialize(earlier(finder.firsts(undecided), undecided), "probed")
+        open_rows = materialize(undecided.join(probed, "seq", "left_anti"), "open")
+        blocked = earlier(undecided, open_rows)
+        roots = open_rows.join(blocked, "seq", "left_anti").select(*distinct.columns)
+        kept.append(store(roots, "kept"))
+        roots = spark.read.schema(distinct.schema).parquet(kept[-1])
+        dropped = earlier(roots, undecided)
+        undecided = materialize(
+            undecided.join(roots.select("seq"), "seq", "left_anti").join(dropped, "seq", "left_anti"), "undecided"
+        )
+    if not kept:
+        return distinct.limit(0)
+    return spark.read.schema(distinct.schema).parquet(*kept)
 
 
 def dedup_near(
