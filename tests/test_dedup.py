@@ -155,3 +155,21 @@ def test_exact_keeps_the_first(spark):
 
 def test_zero_rows_pass(spark):
     assert duplicates(dedup_near(word_rows(spark, {1: set(), 2: set()}), WordSets(0.97))) == set()
+
+
+def test_rounds_follow_the_depth_of_decisions(spark, monkeypatch):
+    from vocara.operators import dedup
+
+    labels = []
+    real = dedup.store
+    monkeypatch.setattr(dedup, "store", lambda df, label: labels.append(label) or real(df, label))
+    angle = lambda degrees: np.array([np.cos(np.radians(degrees)), np.sin(np.radians(degrees))])
+    chain = {i: angle(12 * i) for i in range(10)}
+    assert duplicates(dedup_near(dense(spark, chain), DenseVectors(0.97))) == {1, 3, 5, 7, 9}
+    assert labels.count("kept") == 5
+    labels.clear()
+    rng = np.random.default_rng(9)
+    cluster = dict(enumerate((np.array([1.0, 0.0, 0.0]) + rng.normal(scale=0.01, size=(300, 3))).round(6)))
+    cluster |= {300: np.array([0.0, 1.0, 0.0]), 301: np.array([0.0, 0.0, 1.0])}
+    assert duplicates(dedup_near(dense(spark, cluster), DenseVectors(0.97))) == set(range(1, 300))
+    assert labels.count("kept") == 1
