@@ -173,3 +173,18 @@ def test_rounds_follow_the_depth_of_decisions(spark, monkeypatch):
     cluster |= {300: np.array([0.0, 1.0, 0.0]), 301: np.array([0.0, 0.0, 1.0])}
     assert duplicates(dedup_near(dense(spark, cluster), DenseVectors(0.97))) == set(range(1, 300))
     assert labels.count("kept") == 1
+
+
+def test_hot_prefix_words_meet_in_tiles(spark):
+    # in the words' own order "hub" comes first in every row, so it is in every prefix
+    sets = {i: {"hub", *(f"w{(i * 7 + j) % 50}" for j in range(20))} for i in range(240)}
+    finder = WordSets(0.8)
+    finder.TILE_ROWS = 16
+    rows = word_rows(spark, sets)
+    a, b = finder._tiled(finder._prefix(rows, "a"), finder._prefix(rows, "b"))
+    sizes = [r["count"] for r in a.where("word = 'hub'").groupBy("ta", "tb").count().collect()]
+    assert len(sizes) > 100 and max(sizes) <= 2 * 16
+    expected, matches = greedy(as_vectors(sets), 0.8)
+    assert duplicates(dedup_near(word_rows(spark, sets), finder)) == expected
+    found = {r.seq: (r.match_seq, round(r.similarity, 6)) for r in near_dup_pairs(word_rows(spark, sets), finder).collect()}
+    assert found == {s: (m, round(v, 6)) for s, (m, v) in matches.items()}

@@ -67,6 +67,9 @@ class WordSets:
 
     # Words told apart by frequency; beyond them all count as rare.
     FREQUENT_WORDS = 4_096
+    # Rows of one side of a word that meet in one task, and the longest list of words split so.
+    TILE_ROWS = 2_048
+    MOST_HOT = 100_000
 
     def __init__(self, threshold: float) -> None:
         self.threshold = threshold
@@ -109,6 +112,30 @@ class WordSets:
         the pairs to look at."""
         return _pairs_per_key(self._prefix(rows, "a"), None if others is None else self._prefix(others, "a"), "word")
 
+    def _tiled(self, a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Both prefix sides with tile numbers ``ta, tb``: a word held by more than ``TILE_ROWS``
+        rows on a side meets in ``ceil(m_a / TILE_ROWS) x ceil(m_b / TILE_ROWS)`` tiles, each
+        row of one side copied to every tile of the other. The plan comes from counts per word;
+        only words over the floor travel to the tasks, at most ``MOST_HOT`` of them (the floor
+        rises with the table so that the list never grows past that)."""
+        counts = a.groupBy("word").agg(F.count(F.lit(1)).alias("m_a")).join(b.groupBy("word").agg(F.count(F.lit(1)).alias("m_b")), "word")
+        total = counts.agg(F.coalesce(F.sum(F.col("m_a") + F.col("m_b")), F.lit(0))).first()[0]
+        floor = max(self.TILE_ROWS, total // self.MOST_HOT)
+        hot = counts.where((F.col("m_a") > floor) | (F.col("m_b") > floor)).select(
+            "word",
+            F.ceil(F.col("m_a") / self.TILE_ROWS).cast("int").alias("n_ta"),
+            F.ceil(F.col("m_b") / self.TILE_ROWS).cast("int").alias("n_tb"),
+        )
+        hot = F.broadcast(materialize(hot, "hot-words"))  # MOST_HOT rows at most, by the floor
+        tiles = lambda n: F.coalesce(F.col(n), F.lit(1))
+        a = a.join(hot, "word", "left").select(
+            "*", F.pmod(F.xxhash64("a"), tiles("n_ta")).cast("int").alias("ta"), F.explode(F.sequence(F.lit(0), tiles("n_tb") - 1)).alias("tb")
+        ).drop("n_ta", "n_tb")
+        b = b.join(hot, "word", "left").select(
+            "*", F.explode(F.sequence(F.lit(0), tiles("n_ta") - 1)).alias("ta"), F.pmod(F.xxhash64("b"), tiles("n_tb")).cast("int").alias("tb")
+        ).drop("n_ta", "n_tb")
+        return a, b
+
     def firsts(self, rows: DataFrame) -> DataFrame:
         """The rows that come first among those holding one of their prefix words."""
         least = self._prefix(rows, "a").groupBy("word").agg(F.min("a").alias("seq")).select("seq").distinct()
@@ -122,9 +149,9 @@ class WordSets:
         # shorter rest, that word included.
         reachable = F.least(F.col("n_a") - F.col("p_a"), F.col("n_b") - F.col("p_b"))
         order = F.col("a") < F.col("b") if ordered else F.lit(True)
+        a_side, b_side = self._tiled(self._prefix(left, "a"), self._prefix(right, "b"))
         candidates = (
-            self._prefix(left, "a")
-            .join(self._prefix(right, "b"), "word")
+            a_side.join(b_side, ["word", "ta", "tb"])
             .filter(order & (reachable >= needed))
             .select("a", "b")
             .distinct()
