@@ -29,7 +29,6 @@ an empty result.
 
 from __future__ import annotations
 
-import heapq
 import math
 from collections.abc import Iterator
 
@@ -54,11 +53,11 @@ CENTROIDS = 256
 #: Anchors of one cluster part.
 MEMBERS = 64
 #: Anchors of one task (whole parts).
-ANCHORS_PER_TASK = 4096
-#: Vector cells of one candidate shard (64 MB of int64).
-SHARD_CELLS = 1 << 23
-#: Candidates scored at once by one anchor.
-STEP = 256
+ANCHORS_PER_TASK = 512
+#: Vector cells of one candidate shard (8 MB of int64).
+SHARD_CELLS = 1 << 20
+#: Candidates of the shared list scored at once by all members of a part.
+STEP = 512
 
 WAVE_COLUMNS = (
     ["anchor_rk", "anchor_vid", "anchor_vnull", "positive_rk", "positive_vid", "positive_vnull", "positive_score"],
@@ -108,6 +107,22 @@ def _order(scores: list, ids: np.ndarray, missing: np.ndarray) -> list[int]:
     return sorted(range(len(scores)), key=lambda k: (-scores[k], bool(missing[k]), int(ids[k])))
 
 
+def _product(x: np.ndarray, a: np.ndarray) -> np.ndarray:
+    """Exact integer scores ``x @ a.T``: by float64 BLAS where every partial sum is an integer
+    below 2^53, else in Python integers."""
+    if x.dtype != object and a.dtype != object:
+        top = float(np.abs(x).max(initial=0)) * float(np.abs(a).max(initial=0)) * max(x.shape[1], 1)
+        if top < 2.0**53:
+            return x.astype(np.float64) @ a.astype(np.float64).T
+    return x.astype(object) @ a.astype(object).T
+
+
+def _best(top: np.ndarray, block: np.ndarray, k: int) -> np.ndarray:
+    """The ``k`` largest values per column of ``top`` and ``block`` together, descending."""
+    both = np.concatenate((top, block), axis=0)
+    return -np.sort(-both, axis=0)[:k] if both.dtype != object else np.array([sorted(c, reverse=True)[:k] for c in both.T], dtype=object).T
+
+
 class _Shard:
     def __init__(self, frame: pd.DataFrame, width: int):
         self.rk = frame["rk"].to_numpy(np.int64)
@@ -116,15 +131,28 @@ class _Shard:
         self.label = frame["label"].to_numpy(np.int64)
         self.x = quantize(frame["embedding"].tolist(), width)
 
-    def walk(self, a: np.ndarray, lists: np.ndarray, bound: np.ndarray, need):
-        """Scores along the shared list until ``need(next_bound)`` says stop; yields index arrays and scores."""
-        norm = math.sqrt(float((a.astype(np.float64) ** 2).sum()))
-        for start in range(0, len(lists), STEP):
-            top = norm * bound[lists[start]]
-            if top + abs(top) * 1e-9 + 1.0 < need():
-                return
-            idx = lists[start : start + STEP]
-            yield idx, self.x[idx] @ a
+
+def _walk(shard: _Shard, a: np.ndarray, lists: np.ndarray, bound: np.ndarray, update, need) -> tuple[np.ndarray, np.ndarray]:
+    """All members of a part walk the shared list together, one matrix product per step. A
+    member is done once ``|a|`` times the next bound (plus a margin for rounding) is below
+    ``need()``; as bounds only fall and needs only rise, it stays done. Returns the walked
+    positions of the list and, per member, how far it walked."""
+    norms = np.sqrt((a.astype(np.float64) ** 2).sum(axis=1))
+    reach = np.zeros(len(a), dtype=np.int64)
+    done = np.zeros(len(a), dtype=bool)
+    scores = []
+    for start in range(0, len(lists), STEP):
+        top = norms * bound[lists[start]]
+        done |= top + np.abs(top) * 1e-9 + 1.0 < need()
+        if done.all():
+            break
+        idx = lists[start : start + STEP]
+        block = _product(shard.x[idx], a)
+        update(idx, block)
+        scores.append(block)
+        reach[~done] = start + len(idx)
+    walked = int(reach.max(initial=0))
+    return (np.concatenate(scores, axis=0) if scores else np.zeros((0, len(a)))), reach[:, None] > np.arange(walked)[None, :]
 
 
 def _tasks(width: int, wave: int):
@@ -137,13 +165,7 @@ def _tasks(width: int, wave: int):
             centroid = np.asarray(part["centroid"].iloc[0], dtype=np.float64)
             bound = _bounds(shard.x, centroid, float(part["theta"].iloc[0]))
             lists = np.argsort(-bound, kind="stable")
-            vectors = quantize(part["embedding"].tolist(), width)
-            for i, row in enumerate(part.itertuples(index=False)):
-                a = vectors[i]
-                if wave == 1:
-                    out.extend(_positives(shard, row, a, lists, bound))
-                else:
-                    out.extend(_negatives(shard, row, a, lists, bound))
+            out.extend((_positives if wave == 1 else _negatives)(shard, part, quantize(part["embedding"].tolist(), width), lists, bound))
         return _frame(out, wave)
 
     return run
@@ -157,49 +179,78 @@ def _frame(out: list[tuple], wave: int) -> pd.DataFrame:
     return frame
 
 
-def _positives(shard: _Shard, row, a: np.ndarray, lists: np.ndarray, bound: np.ndarray) -> list[tuple]:
-    scores: list[int] = []
-    idxs: list[int] = []
-    state = {"t": -math.inf}
-    for idx, s in shard.walk(a, lists, bound, lambda: state["t"]):
-        same = (shard.label[idx] == row.label) & (shard.rk[idx] != row.rk)
-        if same.any():
-            scores.extend(int(v) for v in s[same])
-            idxs.extend(idx[same].tolist())
-            if len(scores) >= K_POSITIVES:
-                state["t"] = float(heapq.nlargest(K_POSITIVES, scores)[-1])
-    keep = _order(scores, shard.ids[idxs], shard.missing[idxs])[:K_POSITIVES] if idxs else []
-    return [(row.rk, row.vid, row.vnull, int(shard.rk[idxs[k]]), int(shard.ids[idxs[k]]), bool(shard.missing[idxs[k]]), scores[k]) for k in keep]
-
-
-def _negatives(shard: _Shard, row, a: np.ndarray, lists: np.ndarray, bound: np.ndarray) -> list[tuple]:
-    positives = [(p["rk"], p["vid"], p["vnull"], int(p["score"])) for p in row.positives]
-    found: list[list[tuple[int, int]]] = [[] for _ in positives]
-    floors = [(-((-LOW * ps) // HIGH) if ps >= 0 else math.inf) for *_, ps in positives]
-    if all(f == math.inf for f in floors):
-        return []
+def _positives(shard: _Shard, part: pd.DataFrame, a: np.ndarray, lists: np.ndarray, bound: np.ndarray) -> list[tuple]:
+    label, rk = part["label"].to_numpy(np.int64), part["rk"].to_numpy(np.int64)
+    top = np.full((K_POSITIVES, len(part)), -np.inf)
+
+    def same(idx: np.ndarray) -> np.ndarray:
+        return (shard.label[idx][:, None] == label[None, :]) & (shard.rk[idx][:, None] != rk[None, :])
 
-    def need() -> float:
-        t = math.inf
-        for k, got in enumerate(found):
-            if floors[k] != math.inf:
-                t = min(t, float(heapq.nlargest(K_NEGATIVES, got)[-1][0]) if len(got) >= K_NEGATIVES else float(floors[k]))
+    def update(idx: np.ndarray, block: np.ndarray) -> None:
+        nonlocal top
+        top = _best(top, np.where(same(idx), block, -np.inf), K_POSITIVES)
+
+    scores, walked = _walk(shard, a, lists, bound, update, lambda: top[-1].astype(np.float64))
+    idx = lists[: len(scores)]
+    hit = same(idx) & walked.T & (scores >= top[-1][None, :])
+    out = []
+    for m, row in enumerate(part.itertuples(index=False)):
+        at = np.flatnonzero(hit[:, m])
+        found = [int(v) for v in scores[at, m]]
+        rows = idx[at]
+        for k in _order(found, shard.ids[rows], shard.missing[rows])[:K_POSITIVES]:
+            r = rows[k]
+            out.append((row.rk, row.vid, row.vnull, int(shard.rk[r]), int(shard.ids[r]), bool(shard.missing[r]), found[k]))
+    return out
+
+
+def _negatives(shard: _Shard, part: pd.DataFrame, a: np.ndarray, lists: np.ndarray, bound: np.ndarray) -> list[tuple]:
+    label = part["label"].to_numpy(np.int64)
+    given = [list(p) for p in part["positives"]]
+    slots = max((len(p) for p in given), default=0)
+    ps = np.full((slots, len(part)), np.nan)
+    for m, p in enumerate(given):
+        for k, q in enumerate(p):
+            ps[k, m] = float(q["score"])
+    exact_ps = [[int(q["score"]) for q in p] for p in given]
+    floors = np.where(ps >= 0, np.ceil(LOW * np.where(np.isnan(ps), 0, ps) / HIGH), np.inf)
+    tops = [np.full((K_NEGATIVES, len(part)), -np.inf) for _ in range(slots)]
+
+    def qualifies(idx: np.ndarray, block: np.ndarray, k: int) -> np.ndarray:
+        other = shard.label[idx][:, None] != label[None, :]
+        with np.errstate(invalid="ignore"):
+            return other & (LOW * ps[k][None, :] <= HIGH * block) & (block <= ps[k][None, :])
+
+    def update(idx: np.ndarray, block: np.ndarray) -> None:
+        for k in range(slots):
+            tops[k] = _best(tops[k], np.where(qualifies(idx, block, k), block, -np.inf), K_NEGATIVES)
+
+    def need() -> np.ndarray:
+        t = np.full(len(part), np.inf)
+        for k in range(slots):
+            t = np.minimum(t, np.where(np.isfinite(tops[k][-1].astype(np.float64)), tops[k][-1].astype(np.float64), floors[k]))
         return t
 
-    for idx, s in shard.walk(a, lists, bound, need):
-        other = shard.label[idx] != row.label
-        if not other.any():
-            continue
-        cand_s, cand_i = s[other], idx[other]
-        for k, (*_, ps) in enumerate(positives):
-            ok = (LOW * ps <= HIGH * cand_s) & (HIGH * cand_s <= HIGH * ps)
-            found[k].extend((int(cand_s[j]), int(cand_i[j])) for j in np.flatnonzero(ok))
+    if not slots:
+        return []
+    scores, walked = _walk(shard, a, lists, bound, update, need)
+    idx = lists[: len(scores)]
     out = []
-    for (prk, pvid, pnull, ps), got in zip(positives, found, strict=True):
-        scores = [g[0] for g in got]
-        idxs = [g[1] for g in got]
-        for k in _order(scores, shard.ids[idxs], shard.missing[idxs])[:K_NEGATIVES] if got else []:
-            out.append((row.rk, row.vid, row.vnull, prk, pvid, pnull, ps, int(shard.ids[idxs[k]]), bool(shard.missing[idxs[k]]), scores[k]))
+    for k in range(slots):
+        least = np.where(np.isfinite(tops[k][-1].astype(np.float64)), tops[k][-1].astype(np.float64), floors[k])
+        hit = qualifies(idx, scores, k) & walked.T & (scores >= least[None, :])
+        for m, row in enumerate(part.itertuples(index=False)):
+            if k >= len(given[m]):
+                continue
+            p = given[m][k]
+            if exact_ps[m][k] != ps[k, m]:  # beyond float precision: check the exact bounds again
+                hit[:, m] &= np.array([LOW * exact_ps[m][k] <= HIGH * int(v) <= HIGH * exact_ps[m][k] for v in scores[:, m]], dtype=bool)
+            at = np.flatnonzero(hit[:, m])
+            found = [int(v) for v in scores[at, m]]
+            rows = idx[at]
+            for j in _order(found, shard.ids[rows], shard.missing[rows])[:K_NEGATIVES]:
+                r = rows[j]
+                out.append((row.rk, row.vid, row.vnull, p["rk"], p["vid"], p["vnull"], exact_ps[m][k], int(shard.ids[r]), bool(shard.missing[r]), found[j]))
     return out
 
 
