@@ -188,3 +188,20 @@ def test_hot_prefix_words_meet_in_tiles(spark):
     assert duplicates(dedup_near(word_rows(spark, sets), finder)) == expected
     found = {r.seq: (r.match_seq, round(r.similarity, 6)) for r in near_dup_pairs(word_rows(spark, sets), finder).collect()}
     assert found == {s: (m, round(v, 6)) for s, (m, v) in matches.items()}
+
+
+def test_probe_reads_only_the_buckets_of_its_prefix_words(spark, tmp_path):
+    stored = word_rows(spark, {1: {"a", "b", "c"}, 2: {"x", "y"}, 3: {"p", "q", "r", "s"}})
+    fresh = word_rows(spark, {10: {"a", "b", "c"}, 11: {"p", "q", "r", "s", "t"}, 12: {"k"}})
+    finder = WordSets(0.8)
+    WordSets.postings(stored).write.partitionBy("bucket").parquet(str(tmp_path / "postings"))
+    postings = spark.read.parquet(str(tmp_path / "postings"))
+    found = finder.probe(stored, fresh, postings)
+    plain = finder.probe(stored, fresh)
+    assert sorted(tuple(r) for r in found.collect()) == sorted(tuple(r) for r in plain.collect())
+    assert {(r.a, r.b) for r in found.collect()} == {(1, 10), (3, 11)}
+    import re
+
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    pruned = re.findall(r"PartitionFilters: \[bucket#\d+ IN \(([0-9,]+)\)\]", plan)
+    assert pruned and len(pruned[0].split(",")) < WordSets.BUCKETS

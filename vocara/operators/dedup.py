@@ -70,6 +70,8 @@ class WordSets:
     # Rows of one side of a word that meet in one task, and the longest list of words split so.
     TILE_ROWS = 2_048
     MOST_HOT = 100_000
+    # Buckets of stored word postings; a probe reads those of its prefix words alone.
+    BUCKETS = 1_024
 
     def __init__(self, threshold: float) -> None:
         self.threshold = threshold
@@ -167,21 +169,30 @@ class WordSets:
             .filter(F.col("similarity") >= self.threshold)
         )
 
-    def probe(self, stored: DataFrame, rows: DataFrame) -> DataFrame:
+    @classmethod
+    def postings(cls, rows: DataFrame) -> DataFrame:
+        """``seq, word, bucket`` of rows with ``seq, words``: one row per distinct word, to be
+        stored partitioned by ``bucket`` (a hash of the word)."""
+        words = rows.select("seq", F.explode(F.array_distinct("words")).alias("word"))
+        return words.withColumn("bucket", F.pmod(F.xxhash64("word"), F.lit(cls.BUCKETS)).cast("int"))
+
+    def probe(self, stored: DataFrame, rows: DataFrame, postings: DataFrame | None = None) -> DataFrame:
         """Similar pairs of a large stored table and a few prepared rows.
 
         Stored rows may share a ``seq`` with each other and with the rows. Only the rows need
-        their prefix: any stored set that is similar enough holds one
-        of those words, wherever it stands. The stored table is read once and keeps its
-        place when the prefixes are small enough for Spark to ship.
+        their prefix: any stored set that is similar enough holds one of those words, wherever
+        it stands. With ``postings`` of the stored rows (see :meth:`postings`, partitioned by
+        ``bucket``), only the buckets of the prefix words are read, at most ``BUCKETS`` of them:
+        the filter on the partition column prunes the scan. Without, all stored words are read.
         """
         prefix = self._prefix(rows, "b").select("b", "word")
-        candidates = (
-            stored.select(F.col("seq").alias("a"), F.explode("words").alias("word"))
-            .join(prefix, "word")
-            .select("a", "b")
-            .distinct()
-        )
+        if postings is None:
+            held = stored.select(F.col("seq").alias("a"), F.explode("words").alias("word"))
+        else:
+            wanted = prefix.select(F.pmod(F.xxhash64("word"), F.lit(self.BUCKETS)).cast("int").alias("bucket")).distinct()
+            buckets = sorted(r["bucket"] for r in wanted.collect())  # BUCKETS values at most
+            held = postings.where(F.col("bucket").isin(buckets)).select(F.col("seq").alias("a"), "word")
+        candidates = held.join(prefix, "word").select("a", "b").distinct()
         a_words = stored.select(F.col("seq").alias("a"), F.col("words").alias("a_words"))
         b_words = rows.select(F.col("seq").alias("b"), F.col("words").alias("b_words"))
         shared = F.size(F.array_intersect("a_words", "b_words"))
@@ -299,7 +310,7 @@ class DenseVectors:
         tiles = a.groupBy("cell", "ta", "tb").cogroup(b.groupBy("cell_b", "ta_b", "tb_b"))
         return tiles.applyInPandas(compare, self.PAIR)
 
-    def probe(self, stored: DataFrame, rows: DataFrame) -> DataFrame:
+    def probe(self, stored: DataFrame, rows: DataFrame, postings: DataFrame | None = None) -> DataFrame:
         return self.pairs(stored, rows, ordered=False)
 
 
@@ -374,16 +385,18 @@ def dedup_near(
     finder: Finder,
     stored: DataFrame | None = None,
     pair_budget: int | None = None,
+    postings: DataFrame | None = None,
 ) -> DataFrame:
     """``seq, is_duplicate`` for every row, greedy in the order of ``seq`` (a unique BIGINT).
 
-    Rows of ``stored`` (same columns, other ``seq``) count as earlier and kept.
+    Rows of ``stored`` (same columns, other ``seq``) count as earlier and kept; ``postings``
+    of them, where stored, narrow what is read (see :meth:`WordSets.probe`).
     """
     rows = materialize(rows, "near-input")
     distinct, _ = _collapse(rows, finder)
     prepared = materialize(finder.prepare(distinct), "near-distinct")
     if stored is not None:
-        similar = finder.probe(stored, prepared).select(F.col("b").alias("seq")).distinct()
+        similar = finder.probe(stored, prepared, postings).select(F.col("b").alias("seq")).distinct()
         prepared = materialize(prepared.join(similar, "seq", "left_anti"), "near-new")
     kept = greedy_kept(prepared, finder, pair_budget).select("seq", F.lit(True).alias("kept"))
     return rows.select("seq", finder.is_zero().alias("zero")).join(kept, "seq", "left").select(

@@ -146,6 +146,7 @@ def ingest_scanned(
     cache: DataFrame | None = None,
     index: DataFrame | None = None,
     fast_retries: int = 1,
+    postings: DataFrame | None = None,
 ) -> Ingested:
     """All stages after the page was fetched: ``seq, source, url, text, text_hash, error``.
 
@@ -191,7 +192,7 @@ def ingest_scanned(
         F.concat(F.lit("index failed: "), F.col("why")).alias("error"),
     )
     billed = rendered.select("text_hash", token_estimate(F.col("text")).alias("input_tokens"))
-    verdict = materialize(dedup_near(vectors, finder, index), "verdict")
+    verdict = materialize(dedup_near(vectors, finder, index, postings=postings), "verdict")
     judged = extracted.join(verdict, "seq")
     as_item = lambda df: df.select(
         "seq", F.col("item_source").alias("source"), F.col("item_url").alias("url")

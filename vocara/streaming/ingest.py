@@ -1,7 +1,8 @@
 """Incremental ingest: every micro-batch runs the batch plan against what is stored.
 
-The store is three parquet tables under one root (``outcomes``, ``jobs`` with their words,
-``runs``), one folder per micro-batch. A batch overwrites its own folder and looks only at
+The store is parquet tables under one root (``outcomes``, ``index`` with their words, ``cache``,
+``runs``, and ``postings``: the index's words by batch and word-hash bucket, so that a batch
+reads only the buckets of its own prefix words), one folder per micro-batch. A batch overwrites its own folder and looks only at
 earlier ones, so a replayed batch changes nothing. Rows are ordered by batch, then by page id.
 """
 
@@ -17,7 +18,7 @@ from pyspark.sql.streaming import StreamingQuery
 from vocara import schemas as S
 from vocara.functions.keys import text_hash
 from vocara.functions.text import html_to_text
-from vocara.operators.dedup import DenseVectors, Finder
+from vocara.operators.dedup import DenseVectors, Finder, WordSets
 from vocara.operators.extraction import Provider
 from vocara.operators.index import latest_per_hash
 from vocara.operators.outcomes import ingest_summary
@@ -38,13 +39,22 @@ STORED_CACHE = T.StructType(
 )
 
 
-def _stored(spark: SparkSession, path: str, schema: T.StructType, before: int) -> DataFrame | None:
+POSTINGS = "seq bigint, word string, batch_id bigint, bucket int"
+
+
+def _stored(spark: SparkSession, path: str, schema: T.StructType | str, before: int) -> DataFrame | None:
     """What earlier batches stored; the folder name prunes the scan."""
     if before == 0:
         return None
     return spark.read.schema(schema).parquet(path).filter(F.col("batch_id") < before)
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
 def ingest_batch(
     root: str, provider: Provider, embedder: Embedder = embed_words, finder: Finder | None = None
 ) -> Callable[[DataFrame, int], None]:
@@ -54,11 +64,14 @@ def ingest_batch(
     batches may be equal: they order the rows of one batch only.
     """
     other = "words" if isinstance(finder, DenseVectors) else "vector"
+    by_words = not isinstance(finder, DenseVectors)
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         index = _stored(spark, f"{root}/index", STORED_JOB, batch_id)
         cache = _stored(spark, f"{root}/cache", STORED_CACHE, batch_id)
+        # word postings of earlier batches, by batch and bucket: a probe reads its buckets alone
+        postings = _stored(spark, f"{root}/postings", POSTINGS, batch_id) if by_words and _exists(spark, f"{root}/postings") else None
         text = html_to_text(F.col("html"))
         scanned = batch.select(
             F.col("page_id").alias("seq"),
@@ -75,12 +88,16 @@ def ingest_batch(
             finder,
             cache=None if cache is None else cache.drop("batch_id"),
             index=None if index is None else index.drop("batch_id", other),
+            postings=postings,
         )
         write = lambda df, name: df.write.mode("overwrite").parquet(f"{root}/{name}/batch_id={batch_id}")
         write(done.entries, "index")
         write(done.fresh, "cache")
         write(done.outcomes, "outcomes")
         write(ingest_summary(done.outcomes), "runs")
+        if by_words:
+            entries = done.entries.select("seq", "words")
+            WordSets.postings(entries).write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/postings/batch_id={batch_id}")
 
     return run
 
