@@ -123,3 +123,20 @@ def test_silent_and_raising_calls_lose_no_text(spark):
         "fine": (1, 1, None), "boom": (None, 1, "quota spent"), "late": (3, 3, None),
         "mute": (None, 3, "extraction failed: unanswered"),
     }
+
+
+def test_cache_store_rewrites_only_the_prefixes_it_touches(spark, tmp_path):
+    import os
+
+    from vocara.operators.extraction import cache_store_at
+
+    path = str(tmp_path / "cache")
+    first = spark.createDataFrame([("aa01", 1, "x"), ("aa02", 2, "x"), ("bb01", 3, "x")], "text_hash string, doc_id long, note string")
+    cache_store_at(path, first)
+    untouched = sorted(os.listdir(f"{path}/prefix=bb"))
+    stamps = {n: os.stat(f"{path}/prefix=bb/{n}").st_mtime_ns for n in untouched}
+    fresh = spark.createDataFrame([("aa02", 20), ("aa03", 30)], "text_hash string, doc_id long")
+    got = {(r.text_hash, r.doc_id, r.note) for r in cache_store_at(path, fresh).collect()}
+    assert got == {("aa01", 1, "x"), ("aa02", 20, None), ("aa03", 30, None), ("bb01", 3, "x")}
+    assert sorted(os.listdir(f"{path}/prefix=bb")) == untouched
+    assert all(os.stat(f"{path}/prefix=bb/{n}").st_mtime_ns == t for n, t in stamps.items())

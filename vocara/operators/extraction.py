@@ -263,6 +263,35 @@ def cache_lookup(postings: DataFrame, cache: DataFrame | None) -> tuple[DataFram
     return postings.join(keys, "text_hash", "left_semi"), postings.join(keys, "text_hash", "left_anti")
 
 
+#: Hex characters of ``text_hash`` that name a cache partition: 256 folders.
+CACHE_PREFIX = 2
+
+
+def cache_store_at(path: str, fresh: DataFrame, prefix: int = CACHE_PREFIX) -> DataFrame:
+    """Writes ``fresh`` into the cache folder ``path``, partitioned by the first ``prefix``
+    characters of ``text_hash``, and returns the cache read back.
+
+    Only the partitions that ``fresh`` touches are rewritten (dynamic partition overwrite): their
+    stored rows without fresh keys, and the fresh rows. The merge is written to the shared folder
+    first, so the overwrite never reads what it replaces, and a lost executor only repeats work.
+    The touched prefixes (at most ``16 ** prefix``) are gathered to prune the read of the store.
+    Keys are unique on both sides; columns missing on one side are null.
+    """
+    spark = fresh.sparkSession
+    fresh = fresh.withColumn("prefix", F.substring("text_hash", 1, prefix))
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    if where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+        touched = sorted(r["prefix"] for r in fresh.select("prefix").distinct().collect())
+        stored = spark.read.parquet(path).where(F.col("prefix").isin(touched))
+        kept = stored.join(fresh.select("text_hash"), "text_hash", "left_anti")
+        fresh = materialize(kept.unionByName(fresh, allowMissingColumns=True), "cache-merge")
+    # rows of one prefix go to one writer (hashes spread evenly over prefixes), not every task to every folder
+    fresh = fresh.repartition("prefix")
+    fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("prefix").parquet(path)
+    return spark.read.parquet(path)
+
+
 def cache_store(cache: DataFrame | None, fresh: DataFrame) -> DataFrame:
     """The cache after ``fresh`` overwrote its keys; keys are unique on both sides."""
     if cache is None:

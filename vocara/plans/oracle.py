@@ -358,6 +358,7 @@ ORACLE["cache_lookup"] = f"""WITH {CACHE} SELECT d.doc_id, sha256(d.text) AS tex
 ORACLE["cache_store"] = f"""WITH {CACHE}, fresh AS (SELECT sha256(text) AS text_hash, max(doc_id) AS doc_id FROM documents GROUP BY 1)
 SELECT sha256(text) AS text_hash, -max(item_id) AS doc_id FROM benchmark WHERE text NOT IN (SELECT text FROM documents) GROUP BY 1
 UNION ALL SELECT * FROM fresh"""
+ORACLE["cache_store_prefixes"] = ORACLE["cache_store"]
 ORACLE["index_upsert"] = f"""WITH {JOBS} SELECT content_hash, seq, title, company, location, visa_sponsorship FROM jobs
 QUALIFY row_number() OVER (PARTITION BY content_hash ORDER BY seq % 2 DESC, seq DESC) = 1"""
 EXPORTED = f"""SELECT company, title, coalesce(country, '') AS country, remote, seniority, visa_sponsorship AS visa,

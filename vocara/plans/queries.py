@@ -228,6 +228,19 @@ def cache_store(spark, sf):
     return extraction.cache_store(stored.groupBy("text_hash").agg(F.max("doc_id").alias("doc_id")), fresh)
 
 
+@query
+def cache_store_prefixes(spark, sf):
+    """``cache_store`` on disk: the stored cache is written by hash prefix, then the fresh rows
+    replace only the prefixes they touch."""
+    texts = D.table(spark, sf, "documents").select("doc_id", keys.text_hash(F.col("text")).alias("text_hash"))
+    fresh = texts.groupBy("text_hash").agg(F.max("doc_id").alias("doc_id"))
+    passages = D.table(spark, sf, "benchmark").groupBy(keys.text_hash(F.col("text")).alias("text_hash"))
+    stored = _cache(spark, sf).unionByName(passages.agg(F.min(-F.col("item_id")).alias("doc_id")))
+    path = scratch_path(spark, "cache")
+    extraction.cache_store_at(path, stored.groupBy("text_hash").agg(F.max("doc_id").alias("doc_id")))
+    return extraction.cache_store_at(path, fresh).select("text_hash", "doc_id")
+
+
 @query
 def index_upsert(spark, sf):
     rows = job_rows(spark, sf)
