@@ -97,3 +97,24 @@ def test_scan_hands_on_whole_texts(spark):
     items = spark.createDataFrame([(1, "a", "u1")], "seq bigint, source string, url string")
     pages = spark.createDataFrame([("u1", "<p>" + "word " * 4000 + "visa sponsorship</p>")], "url string, html string")
     assert readers.scan_pages(items, pages).first().text.endswith("visa sponsorship")
+
+
+def test_lenient_jobs_say_what_is_wrong(spark, tmp_path):
+    good = {"title": "T", "company": "C", "source": "s", "content_hash": "h", "url": "https://x/1", "remote": "onsite"}
+    lines = [
+        json.dumps(good),
+        "{}",
+        json.dumps(good | {"remote": "moon", "url": "x"}),
+        json.dumps(good | {"seniority": "boss", "company": None}),
+        '{"title": ',
+    ]
+    (tmp_path / "mixed.jsonl").write_text("\n".join(lines) + "\n")
+    valid, quarantine = readers.load_jobs_checked(spark, str(tmp_path / "mixed.jsonl"))
+    assert [r.title for r in valid.collect()] == ["T"] and valid.columns == S.JOB.fieldNames()
+    got = sorted(("; ".join(r.reasons), r.line == '{"title": ') for r in quarantine.collect())
+    assert got == sorted([
+        ("title: missing; company: missing; source: missing; content_hash: missing; url: not a web address", False),
+        ("remote: outside its values; url: not a web address", False),
+        ("company: missing; seniority: outside its values", False),
+        ("line: not a job object", True),
+    ])

@@ -350,6 +350,12 @@ SELECT url, CAST(attempt AS BIGINT) AS attempt, sha256(html) AS html_hash, error
 ORACLE["save_jobs"] = "SELECT count(*) AS lines, count(*) AS objects FROM documents"
 ORACLE["load_jobs"] = f"""WITH {JOBS} SELECT url, title, company, location, visa_sponsorship,
   replace(stack_csv, ',', '|') AS stack, description_summary, 1700000000 + seq AS fetched_epoch, content_hash FROM jobs"""
+ORACLE["load_jobs_quarantine"] = """WITH k AS (SELECT coalesce(doc_id, 0) AS id, ((coalesce(doc_id, 0) % 7) + 7) % 7 AS kind FROM documents)
+SELECT CASE WHEN kind = 5 THEN NULL WHEN kind = 3 THEN 'x' ELSE 'https://docs.test/' || CAST(id AS VARCHAR) END AS url,
+  CASE kind WHEN 0 THEN NULL WHEN 1 THEN 'title: missing' WHEN 2 THEN 'remote: outside its values'
+    WHEN 3 THEN 'url: not a web address' WHEN 4 THEN 'company: missing; source: missing'
+    WHEN 5 THEN 'line: not a job object' ELSE 'seniority: outside its values; visa_sponsorship: outside its values' END AS reasons
+FROM k"""
 ORACLE["load_gold"] = f"""WITH {PAGES} SELECT concat('case', seq) AS case_id, title, company, seniority, visa_sponsorship, remote,
   sha256(html) AS html_hash FROM posting_pages"""
 ORACLE["load_cv"] = f"SELECT {norm('text')} AS cv_words FROM benchmark"

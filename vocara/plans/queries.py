@@ -185,6 +185,33 @@ def load_jobs(spark, sf):
     )
 
 
+@query
+def load_jobs_quarantine(spark, sf):
+    """Job lines derived from every document, each breaking one rule by ``doc_id % 7`` (0: none),
+    read leniently: the url of each line and why it was set apart (null: valid)."""
+    docs = D.table(spark, sf, "documents")
+    ident = F.coalesce(F.col("doc_id"), F.lit(0))
+    kind = F.pmod(ident, F.lit(7))
+    url = F.when(kind == 3, F.lit("x")).otherwise(F.concat(F.lit("https://docs.test/"), ident.cast("string")))
+    job = F.struct(
+        F.when(kind != 1, F.concat(F.lit("Role "), ident.cast("string"))).alias("title"),
+        F.when(kind != 4, F.lit("Company")).alias("company"),
+        url.alias("url"),
+        F.when(kind != 4, F.coalesce(F.col("source"), F.lit("unknown"))).alias("source"),
+        F.sha2(ident.cast("string"), 256).alias("content_hash"),
+        F.when(kind == 2, F.lit("moon")).otherwise(F.lit("remote")).alias("remote"),
+        F.when(kind == 6, F.lit("boss")).otherwise(F.lit("mid")).alias("seniority"),
+        F.when(kind == 6, F.lit("maybe")).otherwise(F.lit("no")).alias("visa_sponsorship"),
+    )
+    broken = F.concat(F.lit('{"title": "Role '), ident.cast("string"), F.lit('", "company": '))
+    path = scratch_path(spark, "lenient-jobs")
+    docs.select(F.when(kind == 5, broken).otherwise(F.to_json(job)).alias("value")).write.text(path)
+    valid, quarantine = readers.load_jobs_checked(spark, path)
+    return valid.select("url", F.lit(None).cast("string").alias("reasons")).unionByName(
+        quarantine.select(F.get_json_object("line", "$.url").alias("url"), F.array_join("reasons", "; ").alias("reasons"))
+    )
+
+
 @query
 def load_gold(spark, sf):
     path = scratch_path(spark, "gold")

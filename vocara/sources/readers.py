@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from vocara import schemas as S
 from vocara.functions.keys import text_hash
 from vocara.functions.text import html_to_text
+from vocara.session import materialize
 
 
 def _required(value: Column, message: str) -> Column:
@@ -67,15 +68,35 @@ def scan_pages(items: DataFrame, pages: DataFrame, max_chars: int | None = None)
     )
 
 
+def _job_checks() -> dict[str, tuple[Column, str]]:
+    """Per field, in order: the predicate a valid job meets, and what is wrong otherwise."""
+    enums = {"remote": S.REMOTE_VALUES, "seniority": S.SENIORITY_VALUES, "visa_sponsorship": S.VISA_VALUES}
+    checks = {name: (F.col(name).isNotNull(), "missing") for name in ("title", "company", "source", "content_hash")}
+    checks |= {name: (F.col(name).isNull() | F.col(name).isin(*values), "outside its values") for name, values in enums.items()}
+    checks["url"] = (F.coalesce(F.col("url").rlike("(?i)^https?://[^/?#]+"), F.lit(False)), "not a web address")
+    return checks
+
+
 def checked_jobs(jobs: DataFrame) -> DataFrame:
     """The rows, with an error on the first that lacks a required field, has a value outside an
     enumeration or a url that is none."""
-    enums = {"remote": S.REMOTE_VALUES, "seniority": S.SENIORITY_VALUES, "visa_sponsorship": S.VISA_VALUES}
-    checks = {name: F.col(name).isNotNull() for name in ("title", "company", "source", "content_hash")}
-    checks |= {name: F.col(name).isNull() | F.col(name).isin(*values) for name, values in enums.items()}
-    checks["url"] = F.coalesce(F.col("url").rlike("(?i)^https?://[^/?#]+"), F.lit(False))
     bad = lambda name: F.raise_error(F.lit(f"a job has no valid {name}")).cast(S.JOB[name].dataType)
-    return jobs.withColumns({name: F.when(fine, F.col(name)).otherwise(bad(name)) for name, fine in checks.items()})
+    return jobs.withColumns({name: F.when(fine, F.col(name)).otherwise(bad(name)) for name, (fine, _) in _job_checks().items()})
+
+
+def load_jobs_checked(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Jobs from JSON lines, leniently: ``(valid, quarantine)``. Valid rows have the job schema;
+    the quarantine holds every other line as ``line`` (the raw text of an unreadable one, else
+    the record as JSON) with ``reasons``, one ``field: what`` per broken rule in field order, or
+    ``line: not a job object``. Both come from one read; nothing is dropped."""
+    schema = T.StructType(S.JOB.fields + [T.StructField("_corrupt_record", T.StringType())])
+    raw = spark.read.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
+    found = F.filter(F.array(*[F.when(~fine, F.lit(f"{name}: {why}")) for name, (fine, why) in _job_checks().items()]), lambda x: x.isNotNull())
+    unreadable = F.col("_corrupt_record").isNotNull()
+    marked = materialize(raw.withColumn("reasons", F.when(unreadable, F.array(F.lit("line: not a job object"))).otherwise(found)), "jobs-read")
+    valid = marked.where(F.size("reasons") == 0).select(*S.JOB.fieldNames())
+    line = F.coalesce("_corrupt_record", F.to_json(F.struct(*S.JOB.fieldNames())))
+    return valid, marked.where(F.size("reasons") > 0).select(line.alias("line"), "reasons")
 
 
 def load_jobs(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
