@@ -48,8 +48,9 @@ SCALE = 1_000_000_000
 SMOOTH = 5
 TOP_TERMS = 50
 
-#: Cells of one dense block of p values (sources x terms), 32 MB of int64.
-CELLS = 1 << 22
+#: Cells of one dense block of p values (sources x terms), 512 kB of int64; a lang's present
+#: cells are spread over its blocks, so a hot lang takes as many tasks as it needs.
+CELLS = 1 << 16
 #: Bytes of text a task turns into arrays at once (about 40 bytes of arrays each at the peak).
 CHUNK_BYTES = 1 << 21
 #: Slices of a group's terms ranked apart before the final top 50.
