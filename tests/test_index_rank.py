@@ -162,3 +162,31 @@ def test_upsert_keeps_one_row_per_hash_of_any_index(spark):
     several = make((1, "h1", "old"), (2, "h1", "new"), (3, "h2", "x"))
     stored = index.index_upsert(several, make((4, "h3", "y"))).collect()
     assert sorted((r.content_hash, r.title) for r in stored) == [("h1", "new"), ("h2", "x"), ("h3", "y")]
+
+
+def test_versioned_index_publishes_whole_versions(spark, tmp_path):
+    import re
+
+    import pytest
+
+    from vocara.sources import index_store
+
+    root = str(tmp_path / "index")
+    rows = lambda pairs: spark.createDataFrame(
+        [(h, s, [float(s), 1.0]) for h, s in pairs], "content_hash string, seq bigint, vector array<double>"
+    )
+    first = index_store.upsert_at(root, rows([("aa1", 1), ("bb1", 2)]))
+    assert first.count() == 2 and index_store.manifest(spark, root) == {"version": 1, "width": 2, "rows": 2}
+    old = index_store.read_index(spark, root)
+    index_store.upsert_at(root, rows([("aa1", 3), ("cc1", 4)]))
+    assert sorted((r.content_hash, r.seq) for r in old.collect()) == [("aa1", 1), ("bb1", 2)]
+    now = index_store.read_index(spark, root)
+    assert sorted((r.content_hash, r.seq) for r in now.collect()) == [("aa1", 3), ("bb1", 2), ("cc1", 4)]
+    assert index_store.manifest(spark, root)["version"] == 2
+    job = index_store.get_job_at(spark, root, "aa1")
+    assert [r.seq for r in job.collect()] == [3]
+    plan = job._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*prefix#\d+, aa\)", plan) or "prefix#" in plan and "= aa)" in plan
+    with pytest.raises(ValueError, match="width 3 meet an index of width 2"):
+        index_store.upsert_at(root, spark.createDataFrame([("dd1", 5, [1.0, 2.0, 3.0])], "content_hash string, seq bigint, vector array<double>"))
+    assert index_store.manifest(spark, root)["version"] == 2

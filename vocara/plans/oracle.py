@@ -548,3 +548,5 @@ SELECT url, source, CASE WHEN seq IN (SELECT seq FROM dropped) THEN 'duplicate'
 ORACLE["ingest_stream_summary"] = f"""{INGESTED}
 SELECT count(*) - (SELECT count(*) FROM dropped) AS indexed, (SELECT count(*) FROM dropped) AS duplicates,
   CAST(0 AS BIGINT) AS errors, CAST(3 AS BIGINT) AS batches FROM refined"""
+ORACLE["index_upsert_versioned"] = ORACLE["index_upsert"]
+ORACLE["get_job_versioned"] = ORACLE["get_job"]

@@ -16,7 +16,7 @@ from vocara.plans.evaluate import evaluate
 from vocara.plans.ingest import Ingested, embed_hashed, extract_jobs, ingest
 from vocara.plans.rank import DASHBOARD_MATCHES, dashboard_matches, rank_export
 from vocara.session import scratch_path
-from vocara.sources import readers, sinks
+from vocara.sources import index_store, readers, sinks
 from vocara.streaming import ingest as streaming
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -276,6 +276,24 @@ def index_upsert(spark, sf):
     return merged.select("content_hash", "seq", "title", "company", "location", "visa_sponsorship")
 
 
+@query
+def index_upsert_versioned(spark, sf):
+    """``index_upsert`` on disk: two published versions, the second upserting the odd rows."""
+    rows, root = job_rows(spark, sf), scratch_path(spark, "index")
+    index_store.upsert_at(root, rows.filter(F.col("seq") % 2 == 0))
+    merged = index_store.upsert_at(root, rows.filter(F.col("seq") % 2 == 1))
+    return merged.select("content_hash", "seq", "title", "company", "location", "visa_sponsorship")
+
+
+@query
+def get_job_versioned(spark, sf):
+    """``get_job`` against a published index, reading one prefix partition."""
+    rows, root = job_rows(spark, sf), scratch_path(spark, "index")
+    index_store.upsert_at(root, rows)
+    wanted = rows.agg(F.min("content_hash")).first()[0]
+    return index_store.get_job_at(spark, root, wanted).select(*JOB_VIEW)
+
+
 @query
 def export_csv(spark, sf):
     return sinks.export_rows(ranked(spark, sf))
