@@ -117,7 +117,7 @@ def _signed(words: int, bands: int, rows: int):
 def verify_tile(ids: np.ndarray, weights: np.ndarray, sets: list[np.ndarray], side: np.ndarray, crossed: bool, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """(documents linked to each member, root of each member). A crossed tile counts left-right
     pairs alone."""
-    size = np.array([len(s) for s in sets], dtype=np.int64)
+    size = np.array([len(s) for s in sets], dtype=np.int32)
     left = np.flatnonzero(side == 0)
     right = np.flatnonzero(side == 1)
     owner = np.repeat(np.arange(len(sets)), size)
@@ -130,8 +130,8 @@ def verify_tile(ids: np.ndarray, weights: np.ndarray, sets: list[np.ndarray], si
     where = np.zeros(len(sets), dtype=np.int64)
     where[left] = np.arange(len(left))
     where[right] = np.arange(len(right))
-    common = np.zeros((len(a), len(b)), dtype=np.float32)
-    step = 4096
+    common = np.zeros((len(a), len(b)), dtype=np.float32)  # exact: a chunk holds far fewer than 2^24 n-grams
+    step = 1024
     for first in range(0, int(column[-1]) + 1 if len(column) else 0, step):
         lo, hi = np.searchsorted(column, (first, first + step))
         block = [np.zeros((len(x), step), dtype=np.float32) for x in ((a, b) if crossed else (a,))]
@@ -139,19 +139,23 @@ def verify_tile(ids: np.ndarray, weights: np.ndarray, sets: list[np.ndarray], si
             mine = side[owner[lo:hi]] == s
             matrix[where[owner[lo:hi][mine]], column[lo:hi][mine] - first] = 1
         common += block[0] @ block[-1].T
-    exact = common.astype(np.int64)
+    exact = common.astype(np.int32)
+    del common
     limit = Fraction(str(threshold))
     union = size[a][:, None] + size[b][None, :] - exact
-    linked = exact * limit.denominator >= limit.numerator * union
+    linked = exact.astype(np.int64) * limit.denominator >= limit.numerator * union.astype(np.int64)
+    del exact, union
+    links, root = np.zeros(len(ids), dtype=np.int64), np.zeros(len(ids), dtype=np.int64)
     if crossed:
-        linked = symmetric(linked)
+        # each side counts the other's weights; no square matrix of both sides is cast to integers
+        links[left] = linked.astype(np.int32) @ weights[right]
+        links[right] = linked.T.astype(np.int32) @ weights[left]
         members = np.concatenate((left, right))
+        root[members] = roots(symmetric(linked), ids[members])
     else:
         np.fill_diagonal(linked, False)
-        members = left
-    links, root = np.zeros(len(ids), dtype=np.int64), np.zeros(len(ids), dtype=np.int64)
-    links[members] = linked @ weights[members]
-    root[members] = roots(linked, ids[members])
+        links[left] = linked.astype(np.int32) @ weights[left]
+        root[left] = roots(linked, ids[left])
     return links, root
 
 

@@ -42,26 +42,32 @@ LONG_WORDS = 200
 SLICES = 64
 
 
-@lru_cache(maxsize=2)
-def _encoders(folder: str):
+@lru_cache(maxsize=1)
+def _fast(folder: str):
     import tiktoken
     from public_tokenizers import PATTERN
-    from tokenizers import Tokenizer
 
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     with open(os.path.join(folder, "byte_bpe_50k.tiktoken"), "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    fast = tiktoken.Encoding("byte_bpe_50k", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return fast, Tokenizer.from_file(os.path.join(folder, "byte_bpe_50k.json"))
+    return tiktoken.Encoding("byte_bpe_50k", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+@lru_cache(maxsize=1)
+def _exact(folder: str):
+    """The linear encoder, loaded only by a worker that meets a text of very long words."""
+    from tokenizers import Tokenizer
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    return Tokenizer.from_file(os.path.join(folder, "byte_bpe_50k.json"))
 
 
 def token_ids(text: str | None, folder: str) -> np.ndarray:
     """Ids of a whole text with the end id, as unsigned 32-bit little-endian."""
     text = text or ""
-    fast, exact = _encoders(folder)
     if len(text) > LONG_WORDS * (text.count(" ") + text.count("\n") + 1):
-        ids = exact.encode(text, add_special_tokens=False).ids
+        ids = _exact(folder).encode(text, add_special_tokens=False).ids
     else:
+        fast = _fast(folder)
         ids = []
         for i, part in enumerate(text.split(SPECIAL)):
             if i:

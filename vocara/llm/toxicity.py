@@ -56,6 +56,9 @@ VOTERS = 1 + GROUPS + len(MANY) + len(SHARE) + 2
 #: Features besides the entries: at least so many words, at least such a share of them.
 COUNTS, SHARES = (1, 2, 3, 4, 6, 10), (0.005, 0.01, 0.015, 0.02, 0.025, 0.03, 0.04, 0.06, 0.1)
 
+#: Words a worker remembers the lexicon entries of, per task.
+REMEMBERED = 50_000
+
 
 def held_out(doc_id):
     return F.pmod(F.crc32(doc_id.cast("string")), F.lit(5)) == 0
@@ -140,7 +143,7 @@ def _votes(lexicon: dict[str, int]):
                     if hit is None:
                         names = [word, *(word[:n] + "*" for n in PREFIXES if n <= len(word))]
                         hit = known[word] = tuple(number[x] for x in names if x in number)
-                        if len(known) > 400_000:
+                        if len(known) > REMEMBERED:
                             known = {}
                     if hit:
                         entries.update(hit)
