@@ -201,3 +201,19 @@ def test_fullest_is_the_best_sum():
 
 def test_cut_keeps_full_pieces_last():
     assert packing.cut(1024) == [(0, 1024)] and packing.cut(2500) == [(0, 452), (452, 1024), (1476, 1024)] and packing.cut(2048) == [(0, 1024), (1024, 1024)]
+
+
+def test_top_k_leaves_out_only_the_query_row(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in np.round(rng.standard_normal(4), 2)]) for i in range(120)]
+    rows += [(50, [float(x) for x in np.round(rng.standard_normal(4), 2)]), (100, rows[100][1]), (7, rows[0][1])]
+    whole = [(i, [int(np.floor(256 * x)) for x in v]) for i, v in rows]
+    want = []
+    for j, (q, x) in enumerate(whole):
+        if q % 50 == 0:
+            best = sorted((-sum(a * b for a, b in zip(x, y, strict=True)), i) for k, (i, y) in enumerate(whole) if k != j)[:5]
+            want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(2)
+    got = sorted(tuple(r) for r in ball_tree.ball_tree_top_k(frame, F.col("vec_id") % 50 == 0).collect())
+    assert got == sorted(want)
+    assert sum(1 for r in got if r[0] == 100 and r[2] == 100) == 2  # each copy answers the other

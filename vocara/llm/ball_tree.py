@@ -12,8 +12,9 @@ integers up to 2^53. Vectors with a component over 2^20, or of more than ``WIDES
 are scored beside the tree in Python integers. Only what 64 bits cannot hold, a component or a
 score, is an error, as it is in the SQL. Cases: vectors that are null, empty
 or hold null or non-finite components take no part, nor do rows without an id; vectors of
-another width than the query's are no candidates; repeated ids are rows of their own and a row
-never answers a query of the same id; ties go to the smaller id; fewer candidates than k give
+another width than the query's are no candidates; repeated ids and repeated rows are rows of
+their own: only the query's own row is left out of its candidates (rows are keyed when first
+written), and every query row is answered; ties go to the smaller id; fewer candidates than k give
 fewer rows; an empty table gives an empty result.
 """
 
@@ -39,9 +40,11 @@ WIDEST = 1 << 13
 class BallTree:
     """Nodes in arrays; the rows of a node are ``order[low:high]``."""
 
-    def __init__(self, vectors: np.ndarray, ids: np.ndarray):
+    def __init__(self, vectors: np.ndarray, ids: np.ndarray, keys: np.ndarray | None = None):
         self.order = np.arange(len(ids))
         self.vectors, self.ids = vectors, ids
+        #: the rows' own keys, by which a query leaves out its own row (ids by default)
+        self.keys = ids if keys is None else keys
         self.nodes: list[tuple[int, int, int, int]] = []
         self.centres: list[np.ndarray] = []
         self.radii: list[float] = []
@@ -106,7 +109,7 @@ def search(tree: BallTree, queries: np.ndarray, own: np.ndarray, floor: np.ndarr
             for at in range(low, high, 4 * LEAF):
                 members = tree.order[at : min(high, at + 4 * LEAF)]
                 score = queries[rows] @ tree.vectors[members].T
-                score[own[rows][:, None] == tree.ids[members][None, :]] = -np.inf
+                score[own[rows][:, None] == tree.keys[members][None, :]] = -np.inf
                 hit = (score >= best.bound(rows)[:, None]).any(axis=1)
                 if hit.any():
                     best.add(rows[hit], score[hit], tree.ids[members])
@@ -120,15 +123,17 @@ def search(tree: BallTree, queries: np.ndarray, own: np.ndarray, floor: np.ndarr
     return best
 
 
-def exact(x: np.ndarray, ids: np.ndarray, q: np.ndarray, own: np.ndarray, k: int) -> tuple[list[int], list[int], list[int]]:
-    """(row of the query, id, score) of the k best of each query, in integers of any size."""
+def exact(x: np.ndarray, ids: np.ndarray, q: np.ndarray, own: np.ndarray, k: int, keys: np.ndarray | None = None) -> tuple[list[int], list[int], list[int]]:
+    """(row of the query, id, score) of the k best of each query, in integers of any size; a
+    candidate whose key (its id by default) is the query's ``own`` is left out."""
+    keys = ids if keys is None else keys
     rows: list[int] = []
     found: list[int] = []
     scores: list[int] = []
     turned = x.astype(object).T
     for row in range(len(q)):
         score = q[row].astype(object) @ turned
-        for negative, vec_id in heapq.nsmallest(k, ((-s, i) for s, i in zip(score, ids.tolist(), strict=True) if i != own[row])):
+        for negative, vec_id in heapq.nsmallest(k, ((-s, i) for s, i, key in zip(score, ids.tolist(), keys.tolist(), strict=True) if key != own[row])):
             rows.append(row)
             found.append(vec_id)
             scores.append(-negative)
@@ -150,21 +155,23 @@ def _wave(k: int):
             if not len(mine):
                 continue
             x, q = np.stack(mine["x"].to_numpy()).astype(np.int64), np.stack(block["q"].to_numpy()).astype(np.int64)
-            ids, own, line = mine["vec_id"].to_numpy(np.int64), block["query_id"].to_numpy(np.int64), block["line"].to_numpy()
+            ids, keys = mine["vec_id"].to_numpy(np.int64), mine["rk"].to_numpy(np.int64)
+            asker, line = block["query_id"].to_numpy(np.int64), block["line"].to_numpy(np.int64)
+            own = line  # a query row's line is its key
             large, asks_large = _large(x), _large(q)
             small, rest = np.flatnonzero(~large), np.flatnonzero(~asks_large)
             if len(small) and len(rest):
-                tree = BallTree(x[small].astype(np.float64), ids[small])
+                tree = BallTree(x[small].astype(np.float64), ids[small], keys[small])
                 best = search(tree, q[rest].astype(np.float64), own[rest], block["floor"].to_numpy(np.float64)[rest], k)
                 row, place = np.nonzero(best.score > -np.inf)
                 found.append(
-                    pd.DataFrame({"query_id": own[rest][row], "line": line[rest][row], "vec_id": best.id[row, place], "score": best.score[row, place].astype(np.int64)})
+                    pd.DataFrame({"query_id": asker[rest][row], "line": line[rest][row], "vec_id": best.id[row, place], "score": best.score[row, place].astype(np.int64)})
                 )
             for asked, against in ((rest, np.flatnonzero(large)), (np.flatnonzero(asks_large), np.arange(len(x)))):
                 if len(asked) and len(against):
-                    row, vec_id, score = exact(x[against], ids[against], q[asked], own[asked], k)
+                    row, vec_id, score = exact(x[against], ids[against], q[asked], own[asked], k, keys[against])
                     found.append(
-                        pd.DataFrame({"query_id": own[asked][row], "line": line[asked][row], "vec_id": np.array(vec_id, dtype=np.int64), "score": np.array(score, dtype=np.int64)})
+                        pd.DataFrame({"query_id": asker[asked][row], "line": line[asked][row], "vec_id": np.array(vec_id, dtype=np.int64), "score": np.array(score, dtype=np.int64)})
                     )
         return pd.concat(found) if found else pd.DataFrame({"query_id": [], "line": [], "vec_id": [], "score": []}, dtype=np.int64)
 
@@ -177,16 +184,17 @@ def ball_tree_top_k(embeddings: DataFrame, is_query: Column, k: int = 5, scale:
     fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     rows = embeddings.where("vec_id is not null").where(F.coalesce(fine & (F.size("embedding") > 0), F.lit(False)))
     rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), whole.cast("array<long>").alias("x"), F.coalesce(is_query, F.lit(False)).alias("asks"))
-    rows = materialize(rows, "vectors")
+    rows = materialize(rows.withColumn("rk", F.monotonically_increasing_id()), "vectors")
     n, asking = rows.agg(F.count("*"), F.coalesce(F.sum(F.col("asks").cast("long")), F.lit(0))).first()
     shards, blocks = max(1, -(-n // SHARD)), max(1, -(-asking // BLOCK))
-    dealt = rows.withColumn("line", F.xxhash64("vec_id", "x", F.lit(2))).withColumn("shard", F.pmod(F.xxhash64("vec_id", "x"), F.lit(shards)).cast("int"))
-    questions = dealt.where("asks").select(F.col("vec_id").alias("query_id"), F.col("x").alias("q"), "line", F.pmod("line", F.lit(blocks)).cast("int").alias("block"))
-    questions = questions.dropDuplicates(["query_id", "line"])
+    dealt = rows.withColumn("line", F.col("rk")).withColumn("shard", F.pmod(F.xxhash64("rk"), F.lit(shards)).cast("int"))
+    questions = dealt.where("asks").select(
+        F.col("vec_id").alias("query_id"), F.col("x").alias("q"), "line", F.pmod(F.xxhash64("line", F.lit(2)), F.lit(blocks)).cast("int").alias("block")
+    )
     all_blocks = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
 
     def wave(candidates: DataFrame, asked: DataFrame, name: str) -> DataFrame:
-        left = candidates.select("vec_id", "x", "shard", all_blocks.alias("block")).groupBy("shard", "block")
+        left = candidates.select("vec_id", "rk", "x", "shard", all_blocks.alias("block")).groupBy("shard", "block")
         right = asked.groupBy("shard", "block")
         return materialize(left.cogroup(right).applyInPandas(_wave(k), "query_id long, line long, vec_id long, score long"), name)
 
@@ -203,9 +211,9 @@ def ball_tree_top_k(embeddings: DataFrame, is_query: Column, k: int = 5, scale:
 
 def oracle(every: int = 50, k: int = 5, scale: int = 256) -> str:
     """The same rows in SQL, by all scores of each query."""
-    return f"""with v as (select vec_id, list_transform(embedding, lambda x: cast(floor({scale} * x::double) as bigint)) as x from embeddings
- where vec_id is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
-s as (select q.vec_id as query_id, c.vec_id, cast(list_sum(list_transform(list_zip(q.x, c.x), lambda z: z[1] * z[2])) as bigint) as score
- from v q join v c on c.vec_id <> q.vec_id and len(c.x) = len(q.x) where q.vec_id % {every} = 0)
-select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank, vec_id, score from s
-qualify row_number() over (partition by query_id order by score desc, vec_id) <= {k}"""
+    return f"""with v as (select row_number() over () as rk, vec_id, list_transform(embedding, lambda x: cast(floor({scale} * x::double) as bigint)) as x
+ from embeddings where vec_id is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select q.rk as qk, q.vec_id as query_id, c.vec_id, cast(list_sum(list_transform(list_zip(q.x, c.x), lambda z: z[1] * z[2])) as bigint) as score
+ from v q join v c on c.rk <> q.rk and len(c.x) = len(q.x) where q.vec_id % {every} = 0)
+select query_id, cast(row_number() over (partition by qk order by score desc, vec_id) as int) as rank, vec_id, score from s
+qualify row_number() over (partition by qk order by score desc, vec_id) <= {k}"""
