@@ -1,8 +1,8 @@
 """Incremental ingest: every micro-batch runs the batch plan against what is stored.
 
 The store is parquet tables under one root (``outcomes``, ``index`` with their words, ``cache``,
-``runs``, and ``postings``: the index's words by batch and word-hash bucket, so that a batch
-reads only the buckets of its own prefix words), one folder per micro-batch. A batch overwrites its own folder and looks only at
+``runs``, and ``postings``: the signatures of the index's word sets by batch and bucket, so that
+a batch reads only the buckets of its own signatures), one folder per micro-batch. A batch overwrites its own folder and looks only at
 earlier ones, so a replayed batch changes nothing. Rows are ordered by batch, then by page id.
 """
 
@@ -18,7 +18,7 @@ from pyspark.sql.streaming import StreamingQuery
 from vocara import schemas as S
 from vocara.functions.keys import text_hash
 from vocara.functions.text import html_to_text
-from vocara.operators.dedup import DenseVectors, Finder, WordSets
+from vocara.operators.dedup import THRESHOLD, DenseVectors, Finder, WordSets
 from vocara.operators.extraction import Provider
 from vocara.operators.index import latest_per_hash
 from vocara.operators.outcomes import ingest_summary
@@ -39,7 +39,7 @@ STORED_CACHE = T.StructType(
 )
 
 
-POSTINGS = "seq bigint, word string, batch_id bigint, bucket int"
+POSTINGS = "seq bigint, n int, word bigint, batch_id bigint, bucket int"
 
 
 def _stored(spark: SparkSession, path: str, schema: T.StructType | str, before: int) -> DataFrame | None:
@@ -65,12 +65,13 @@ def ingest_batch(
     """
     other = "words" if isinstance(finder, DenseVectors) else "vector"
     by_words = not isinstance(finder, DenseVectors)
+    keyed = finder or WordSets(THRESHOLD)
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         index = _stored(spark, f"{root}/index", STORED_JOB, batch_id)
         cache = _stored(spark, f"{root}/cache", STORED_CACHE, batch_id)
-        # word postings of earlier batches, by batch and bucket: a probe reads its buckets alone
+        # signatures of earlier batches, by batch and bucket: a probe reads its buckets alone
         postings = _stored(spark, f"{root}/postings", POSTINGS, batch_id) if by_words and _exists(spark, f"{root}/postings") else None
         text = html_to_text(F.col("html"))
         scanned = batch.select(
@@ -96,8 +97,8 @@ def ingest_batch(
         write(done.outcomes, "outcomes")
         write(ingest_summary(done.outcomes), "runs")
         if by_words:
-            entries = done.entries.select("seq", "words")
-            WordSets.postings(entries).write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/postings/batch_id={batch_id}")
+            entries = spark.read.schema(STORED_JOB).parquet(f"{root}/index/batch_id={batch_id}").select("seq", "words")
+            keyed.stored_signatures(entries).write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/postings/batch_id={batch_id}")
 
     return run
 
