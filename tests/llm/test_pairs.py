@@ -195,3 +195,25 @@ def test_cap_filters_odd_tables(spark):
     assert cap_filters.cap_filter_join(spark.createDataFrame([], schema)).count() == 0
     got = cap_filters.cap_filter_join(spark.createDataFrame([(5, [1.0, 0.0]), (5, [1.0, 0.0]), (None, [1.0, 0.0]), (7, None)], schema)).collect()
     assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got) == [(5, 1, 5), (5, 1, 5), (7, 0, 7)]
+
+
+def test_small_rounds_are_not_written_by_every_shuffle_partition(spark):
+    from pathlib import Path
+
+    from vocara.llm import common
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    coalesced = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    most, written = spark.sparkContext.defaultParallelism, []
+    held = common.materialize(spark.createDataFrame([(i, i + 1) for i in range(400)], "u long, v long"), "test")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "37")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        got = common.materialize(common.packed(held.groupBy("u").agg({"v": "min"}), 400), "test")
+        written = list(Path(got.scratch.removeprefix("file:")).glob("part-*"))
+        found = components(held, 400).groupBy("component").count().collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesced)
+    assert len(written) <= most < 37 and got.count() == 400
+    assert [tuple(r) for r in found] == [(0, 401)]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -10,9 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from vocara.session import materialize, scratch_path, store
 
-__all__ = ["materialize", "scratch_path", "store", "read_table", "per_row", "mix64", "PARTS_PER_GB"]
+__all__ = ["materialize", "scratch_path", "store", "read_table", "packed", "per_row", "mix64", "PARTS_PER_GB"]
 
 PARTS_PER_GB = 100
+#: Narrow rows, of a few numbers each, that one task works on and writes.
+ROWS_PER_TASK = 250_000
 GOLDEN = 0x9E3779B97F4A7C15
 
 
@@ -20,6 +23,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def packed(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, made from at most ``rows`` narrow rows, in as many pieces as these need and at least
+    one per core: a small table is not written by hundreds of tasks. Nothing is shuffled."""
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, math.ceil(rows / ROWS_PER_TASK)))
+
+
 def per_row(fn: Callable[..., list[tuple]], columns: list[str]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     """``fn(*row)`` gives output rows; they leave in frames of bounded length, so a batch of long
     texts never multiplies in memory."""

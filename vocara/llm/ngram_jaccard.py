@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vocara.llm.common import materialize, mix64, per_row
+from vocara.llm.common import materialize, mix64, packed, per_row
 from vocara.llm.components import components
 from vocara.llm.tiles import CHUNK, roots, symmetric
 
@@ -190,24 +190,25 @@ def ngram_jaccard_join(
         ),
         "signed",
     )
-    classes = materialize(
+    count = signed.count()
+    classes = (
         signed.where("key is not null")
         .groupBy("key")
         .agg(F.min(F.struct("doc_id", "text_hash", "n", "bands")).alias("first"), F.count("*").alias("copies"))
-        .select("key", "copies", F.col("first.doc_id").alias("rep"), "first.text_hash", "first.n", "first.bands"),
-        "classes",
+        .select("key", "copies", F.col("first.doc_id").alias("rep"), "first.text_hash", "first.n", "first.bands")
     )
+    classes = materialize(packed(classes, count), "classes")
     banded = classes.select("rep", F.explode("bands").alias("band"))
     met = banded.groupBy("band").agg(F.min("rep").alias("least"), F.count("*").alias("members")).where("members > 1")
-    meetings = banded.join(materialize(met.select("band", "least"), "bands"), "band").where("rep <> least")
-    group = materialize(components(meetings.select(F.col("rep").alias("u"), F.col("least").alias("v"))), "groups")
+    meetings = banded.join(materialize(packed(met.select("band", "least"), count * bands), "bands"), "band").where("rep <> least")
+    group = materialize(packed(components(meetings.select(F.col("rep").alias("u"), F.col("least").alias("v")), count * bands), count), "groups")
     members = (
         classes.select("rep", "text_hash", "copies", "n")
         .join(group.withColumnRenamed("id", "rep"), "rep")
         .withColumn("sizes", F.floor(F.log(F.col("n")) / F.lit(math.log(1 / threshold) * 1.000001)).cast("int"))
     )
-    members = materialize(members, "members")
-    tiles = _tiled(members)
+    members = materialize(packed(members, count), "members")
+    tiles = _tiled(members, count)
     # the same plan at every size: a broadcast of the members would end where they outgrow it
     wanted = members.select("rep", "text_hash").hint("merge")
     held = texts.select(F.col("doc_id").alias("rep"), "text_hash", "text").join(wanted, ["rep", "text_hash"], "left_semi")
@@ -216,7 +217,7 @@ def ngram_jaccard_join(
         pieces.select("tile", "rep", "copies", "side", "crossed", "text").groupBy("tile").applyInPandas(_tile(words, threshold), "rep long, links long, root long"),
         "found",
     )
-    joined = components(found.select(F.col("rep").alias("u"), F.col("root").alias("v")))
+    joined = components(found.select(F.col("rep").alias("u"), F.col("root").alias("v")), found.count())
     result = (
         classes.select("key", "rep", "copies")
         .join(found.groupBy("rep").agg(F.sum("links").alias("links")), "rep", "left")
@@ -230,7 +231,7 @@ def ngram_jaccard_join(
     )
     return (
         signed.select("doc_id", "key")
-        .join(materialize(result, "classes"), "key", "left")
+        .join(materialize(packed(result, count), "classes"), "key", "left")
         .select(
             "doc_id",
             F.coalesce("class_id", "doc_id").alias("class_id"),
@@ -240,8 +241,8 @@ def ngram_jaccard_join(
     )
 
 
-def _tiled(members: DataFrame) -> DataFrame:
-    """``(tile, side, ...)`` rows. Chunks per (component, size class) follow from totals per
+def _tiled(members: DataFrame, count: int) -> DataFrame:
+    """``(tile, side, ...)`` rows of at most ``count`` members. Chunks per (component, size class) follow from totals per
     component, of which there are as many entries as size classes, about a hundred at most."""
     totals = members.groupBy("component", "sizes").agg(F.sum("n").alias("grams"), F.count("*").alias("rows"))
     totals = totals.withColumn("chunks", F.greatest(F.ceil(F.col("grams") / CHUNK_GRAMS), F.ceil(F.col("rows") / CHUNK)).cast("int"))
@@ -250,7 +251,7 @@ def _tiled(members: DataFrame) -> DataFrame:
         F.sum("grams").alias("grams"),
         F.sum("rows").alias("rows"),
     )
-    placed = members.join(materialize(plan, "plan"), "component")
+    placed = members.join(materialize(packed(plan, count), "plan"), "component")
     small = (F.col("grams") <= CHUNK_GRAMS) & (F.col("rows") <= CHUNK)
     chunks = lambda shift: F.coalesce(F.try_element_at("plan", F.col("sizes") + shift), F.lit(0))
     mine = F.pmod(F.xxhash64("rep"), chunks(0)).cast("int")
