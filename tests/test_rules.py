@@ -83,3 +83,34 @@ def test_every_pattern_holds_a_core():
         "highly skilled migrant", "hsm", "lmia", "work permit support",
     )
     assert all(any(core in s for core in rules.VISA_CORES) for s in samples)
+
+
+def test_faster_patterns_find_what_the_plain_ones_find(spark):
+    bodies = [
+        "Senior-level Go and gRPC, on-site; no visa\nsponsorship.\nWe can sponsor a Visa, unable to sponsor",
+        "xlead level lead level-level Mid-level mid level entry-levels sr level\r\nhsm\nLMIA ashsm",
+        "Golang Go, Java,JavaScript remote-first Remote on site hybrid_ onsiteİ EU BLUE CARD blue card",
+        "", "\n\n", None,
+    ]
+    rows = spark.createDataFrame([(i, b) for i, b in enumerate(bodies)], "i int, b string").orderBy("i")
+    b, low = F.col("b"), F.lower("b")
+    plain = lambda words, after="": F.lit(rf"\b({'|'.join(words)})\b{after}")
+    terms = [t for t, _ in rules.SENIORITY_TERMS]
+    got = rows.select(
+        rules.found_words(low, rules.TEXT_LEVEL).alias("level"),
+        F.regexp_extract_all(low, plain(terms, "[- ]level"), F.lit(1)).alias("plain_level"),
+        rules.found_words(b, rules.STACK_PATTERN).alias("stack"),
+        F.regexp_extract_all(b, plain(rules.STACK_TERMS), F.lit(1)).alias("plain_stack"),
+        rules.found_words(low, rules.REMOTE_PATTERN).alias("remote"),
+        F.regexp_extract_all(low, plain([t for t, _ in rules.REMOTE_TERMS]), F.lit(1)).alias("plain_remote"),
+        rules.visa_phrases(b, low).alias("visa"),
+        F.coalesce(F.regexp_extract_all(b, F.lit(rules.VISA_PHRASE), F.lit(0)), F.array()).alias("plain_visa"),
+    ).collect()
+    for row in got:
+        assert (row.level, row.stack, row.remote, row.visa) == (row.plain_level, row.plain_stack, row.plain_remote, row.plain_visa)
+    assert got[0].visa == ["We can sponsor", "unable to sponsor"] and got[1].level == ["lead", "mid", "mid", "entry", "sr"]
+
+
+def test_costly_patterns_look_at_few_places():
+    # before, the boundary was looked for at every character and every line got the visa patterns
+    assert rules.STACK_PATTERN.startswith("(?=[") and rules.TEXT_LEVEL.startswith("level(?<=")

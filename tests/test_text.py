@@ -98,3 +98,12 @@ def test_job_text_has_fallbacks(spark, sample_jobs):
     )
     lines = bare.select(text.job_text_of()).first()[0].split("\n")
     assert lines[2] == "location: unknown (?)" and lines[4] == "stack: n/a" and len(lines) == 6
+
+
+def test_steps_before_the_references_are_mentioned_once(spark):
+    # Each step of a page that is mentioned twice is run twice where Spark interprets it.
+    plan = spark.createDataFrame([("<p>a</p>",)], "h string").select(text.html_to_text(F.col("h")).alias("x"))
+    tree = plan._jdf.queryExecution().analyzed().toString()
+    assert tree.count("(?:head") == 1
+    page = "<nav\rx>out</NAV\r\n><p>a\rb &amp; <header >x<nav>y</header>c</nav>\u0001d</p>"
+    assert one(spark, text.html_to_text(F.col("h")), h=page) == "a\nb &\nc\nd"
