@@ -51,6 +51,8 @@ REMOTE_TERMS = (
 )
 SALARY_PATTERN = r"([0-9][0-9,]*) - ([0-9][0-9,]*) ([A-Z]{3}) per (year|month|day|hour)"
 YEARS_PATTERN = r"([0-9]{1,2})\+? years"
+# The same, looking back from the fixed word: of two digits or more, the last two count.
+YEARS_BEFORE = r" years(?<=((?<![0-9])[0-9]|[0-9]{2})\+? years)"
 
 
 def words_pattern(words, after: str = "") -> str:
@@ -101,8 +103,16 @@ def classify_visa(
     )
 
 
+def hinted_lines(low: Column) -> Column:
+    """The lines of a lower-cased text that hold a part of every visa phrase; none runs over a line end."""
+    has_core = lambda line: reduce(or_, [F.contains(line, F.lit(core)) for core in VISA_CORES])
+    return F.array_join(F.filter(F.split(low, "\n"), has_core), "\n")
+
+
 def refine_visa(signals: Column, summary: Column, model_value: Column, body: Column | None = None) -> Column:
-    return classify_visa(visa_text(signals, summary, body), model_value)
+    lines = hinted_lines(visa_text(signals, summary, body))
+    # An item of its own, so that the lines are looked for once, not once per pattern.
+    return F.transform(F.array(lines), lambda text: classify_visa(text, model_value))[0]
 
 
 def matched_patterns(text: Column, patterns: tuple[str, ...], label: str) -> Column:

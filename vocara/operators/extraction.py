@@ -138,7 +138,7 @@ def rule_extract(df: DataFrame, text: str = "text") -> DataFrame:
             "_head": F.split(F.substring_index(body, "\n", 3), "\n"),
             "_remote": rules.found_words(F.col("_low"), rules.REMOTE_PATTERN),
             "_level": rules.found_words(F.col("_low"), rules.TEXT_LEVEL),
-            "_years": F.regexp_extract("_low", rules.YEARS_PATTERN, 1),
+            "_years": F.regexp_extract("_low", rules.YEARS_BEFORE, 1),
             "_salary": F.regexp_extract(body, rules.SALARY_PATTERN, 0),
             "_phrases": rules.visa_phrases(body, F.col("_low")),
             "_stack": rules.stack_of(body),
